@@ -59,3 +59,161 @@ def photometric_band(filter_name: Column) -> Column:
 
 def band_source_rank(source: Column) -> Column:
     return F.coalesce(F.try_element_at(literal_map(BAND_SOURCE_RANK), source), F.lit(0))
+
+
+# Archive filter aliases.
+DECK_FILTER_ALIASES = {
+    "L": ("l", "lum", "luminance", "clear"),
+    "R": ("r", "red"),
+    "G": ("g", "green"),
+    "B": ("b", "blue"),
+    "Ha": ("ha", "h-alpha", "halpha", "hα"),
+    "SII": ("sii", "s2"),
+    "OIII": ("oiii", "o3"),
+    "OSC": ("osc",),
+    "RGB": ("rgb",),
+    "LRGB": ("lrgb",),
+}
+
+# Fixed value: type_object_exposure_binning_filter_date-time_sequence in a file stem.
+FILENAME_PATTERN = r"(?i)([A-Za-z]+)_(.+?)_(\d+(?:\.\d+)?)s_(Bin\d+)_([^_]+)_(\d{8})-(\d{6})_(\d+)"
+
+# Header keys that hold an exposure and their scale to seconds.
+EXPOSURE_KEYS = (("EXPTIME", 1.0), ("EXPOSURE", 1.0), ("EXPOSURE_TIME", 1.0), ("EXPOSUREMS", 0.001))
+
+# Accepted light and rejected calibration frame types.
+LIGHT_TYPES = ("light", "light frame", "lightframe", "science", "object")
+CALIBRATION_TYPES = (
+    "bias", "dark", "flat", "darkflat", "flatfield", "flat field", "offset", "bias frame", "dark frame", "flat frame",
+)
+
+# Folder names and stem tokens that tell the processing stage.
+LIGHT_DIRS = ("light", "lights", "sub", "subs", "subframe", "subframes", "raw", "raws")
+CALIBRATED_DIRS = ("calibrated", "calibrated_lights", "cfa", "debayered")
+REGISTERED_DIRS = ("registered", "aligned", "alignment", "drizzle", "registered_lights")
+NORMALIZED_DIRS = ("normalized", "normalization", "lnorm", "nml", "xnml", "lnml")
+INTEGRATION_DIRS = (
+    "integration", "integrations", "stack", "stacked", "stacks", "masterlights", "master_lights", "mosaic", "mosaics",
+)
+MASTER_DIRS = ("master", "masters")
+CALIBRATION_DIRS = (
+    "bias", "biases", "dark", "darks", "darkflat", "darkflats", "flat", "flats", "flatdarks", "offset", "offsets",
+    "calibration", "calib",
+)
+PROCESSED_DIRS = ("processed", "output", "outputs", "export", "exports", "final", "jpeg", "jpg", "preview")
+INTEGRATION_STEMS = ("integrated", "integration", "_stack", "stack_", "stacked", "_mosaic", "masterlight", "master_light")
+NORMALIZED_STEMS = ("_nml", "lnml", "xnml", "lnorm", "normalized")
+MASTER_STEMS = ("masterdark", "masterflat", "masterbias", "master_dark", "master_flat", "master_bias")
+
+
+def deck_filter_alias(value: Column) -> Column:
+    """Known alias, else the trimmed text, null when empty."""
+    lookup = literal_map({a: name for name, aliases in DECK_FILTER_ALIASES.items() for a in aliases})
+    text = F.trim(value)
+    return F.when(text != "", F.coalesce(F.try_element_at(lookup, F.lower(text)), text))
+
+
+def path_dirs(path: Column) -> Column:
+    """Folder names of a path, lower case, outermost first."""
+    return F.filter(F.split(F.lower(F.regexp_replace(path, r"/[^/]*$", "")), "/"), lambda x: x != "")
+
+
+def path_stem(path: Column) -> Column:
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", "")
+
+
+def deck_filter(header_filter: Column, path: Column) -> Column:
+    """Filter from the header, else the file name, else the innermost folder that names one."""
+    lookup = literal_map({a: name for name, aliases in DECK_FILTER_ALIASES.items() for a in aliases})
+    hits = F.filter(F.transform(F.reverse(path_dirs(path)), lambda p: F.try_element_at(lookup, p)), lambda x: x.isNotNull())
+    return F.coalesce(
+        deck_filter_alias(header_filter), deck_filter_alias(filename_field(path, 5)), F.try_element_at(hits, F.lit(1))
+    )
+
+
+def filename_field(path: Column, group: int) -> Column:
+    """1 type, 2 object, 3 exposure, 4 binning, 5 filter, 6 date, 7 time, 8 sequence; null when the name does not parse."""
+    text = F.trim(F.regexp_extract(path_stem(path), FILENAME_PATTERN, group))
+    return F.when(text != "", text)
+
+
+def filename_date(path: Column) -> Column:
+    return F.try_to_date(filename_field(path, 6), "yyyyMMdd")
+
+
+def header_exposure(header: Column) -> Column:
+    """First usable exposure of the known keys: a number, or the leading number of a text, above zero."""
+    tries = []
+    for key, scale in EXPOSURE_KEYS:
+        raw = F.try_element_at(header, F.lit(key))
+        number = F.coalesce(
+            raw.try_cast("double"), F.regexp_extract(raw, r"[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?", 0).try_cast("double")
+        )
+        scaled = number * F.lit(scale)
+        tries.append(F.when((scaled > 0) & ~F.isnan(scaled), scaled))
+    return F.coalesce(*tries)
+
+
+def has_explicit_zone(text: Column) -> Column:
+    return F.coalesce(F.trim(text).rlike(r"(?i)(?:Z|[+-]\d{2}:?\d{2})$"), F.lit(False))
+
+
+def observation_timestamp(text: Column) -> Column:
+    """Timestamp of the accepted layouts; fractions are cut to microseconds and a missing zone means UTC."""
+    t = F.regexp_replace(F.trim(text), r"(\.\d{6})\d+", "$1")
+    zoned = F.regexp_replace(F.regexp_replace(t, "(?i)Z$", "+00:00"), r"([+-]\d{2})(\d{2})$", "$1:$2")
+    plain = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,6})?)?)?$"
+    offset = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?[+-]\d{2}:\d{2}$"
+    return F.when(t.rlike(plain), F.concat(t, F.when(t.rlike("[T ]"), F.lit("+00:00")).otherwise(F.lit(" 00:00:00+00:00"))).try_cast("timestamp")).when(
+        zoned.rlike(offset), zoned.try_cast("timestamp")
+    )
+
+
+def _type_text(value: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(value), r"[\s_]+", " "))
+
+
+def is_light_type(frame_type: Column) -> Column:
+    t = _type_text(frame_type)
+    return F.coalesce(t.isin(*LIGHT_TYPES) | t.startswith("light"), F.lit(False))
+
+
+def is_calibration_type(frame_type: Column) -> Column:
+    t = _type_text(frame_type)
+    return F.coalesce(
+        t.isin(*CALIBRATION_TYPES) | t.startswith("bias") | t.startswith("dark") | t.startswith("flat"), F.lit(False)
+    )
+
+
+def image_kind(path: Column, root: Column, image_type: Column, master_type: Column) -> Column:
+    """Processing stage of an image from master type, folders below the root, stem tokens and image type."""
+    dirs = path_dirs(F.substring(path, F.length(root) + 1, F.length(path)))
+    stem = F.lower(path_stem(path))
+
+    def folder(names):
+        return F.arrays_overlap(dirs, F.array(*[F.lit(x) for x in names]))
+
+    def token(tokens):
+        hit = F.lit(False)
+        for t in tokens:
+            hit = hit | stem.contains(t)
+        return hit
+
+    mast = F.coalesce(_type_text(master_type), F.lit(""))
+    light, calib = is_light_type(image_type), is_calibration_type(image_type)
+    master_calibration = mast.startswith("bias") | mast.startswith("dark") | mast.startswith("flat") | mast.startswith("offset")
+    return (
+        F.when(mast.isin("masterlight", "master light") | mast.startswith("light"), "integration")
+        .when(master_calibration, "master_calibration")
+        .when(folder(NORMALIZED_DIRS) | token(NORMALIZED_STEMS), "normalized_light")
+        .when(folder(INTEGRATION_DIRS) | token(INTEGRATION_STEMS), "integration")
+        .when(folder(REGISTERED_DIRS), "registered_light")
+        .when(folder(CALIBRATED_DIRS), "calibrated_light")
+        .when(folder(MASTER_DIRS) & (stem.contains("light") | light), "integration")
+        .when(folder(MASTER_DIRS) | token(MASTER_STEMS), "master_calibration")
+        .when(stem.startswith("master") & stem.contains("light"), "integration")
+        .when(stem.startswith("master"), "master_calibration")
+        .when(folder(CALIBRATION_DIRS) | calib, "calibration_frame")
+        .when(folder(PROCESSED_DIRS), "other")
+        .otherwise("light_subframe")
+    )

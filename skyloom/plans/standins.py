@@ -113,3 +113,41 @@ def variables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jd_of(column) -> F.Column:
     return julian_date(column)
+
+
+def orders_with_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as image files: path text, root, header map, frame columns."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    t = table(spark, sf_dir, "orders").withColumn("d", F.col("o_orderdate").cast("date"))
+    root = F.when(c % 7 == 0, "/data/archive/nested").when(c % 7 == 1, "/data/mirror").otherwise("/data/archive")
+    folder = (
+        F.when(k % 11 == 0, "flats").when(k % 13 == 0, "masters").when(k % 17 == 0, "Integration").when(k % 19 == 0, "processed")
+        .when(F.col("o_orderstatus") == "F", "Lights").when(F.col("o_orderstatus") == "O", "calibrated").otherwise("registered")
+    )
+    flt = F.element_at(F.array(*[F.lit(x) for x in ("Lum", "red", "H-alpha", "o3", "Clear")]), (k % 5 + 1).cast("int"))
+    exposure = F.concat(F.floor(F.col("o_totalprice") / 1000.0).cast("string"), F.lit(".5"))
+    stem = F.concat(
+        F.when(k % 23 == 0, "snap-").otherwise(F.lit("Light_")),
+        F.lit("Target "), (c % 50).cast("string"), F.lit("_"), exposure, F.lit("s_Bin"), (k % 3 + 1).cast("string"), F.lit("_"), flt,
+        F.lit("_"), F.date_format("d", "yyyyMMdd"), F.lit("-213000_"), k.cast("string"),
+    )
+    ext = F.when(k % 29 == 0, ".png").when(k % 31 == 0, ".cr2").otherwise(F.lit(".fits"))
+    empty = F.lit(None).cast("string")
+    header = F.map_filter(
+        F.create_map(
+            F.lit("FILTER"), F.when(k % 2 == 0, flt),
+            F.lit("EXPTIME"), F.when(k % 4 == 0, exposure).when(k % 4 == 1, F.concat(exposure, F.lit(" sec"))).otherwise(empty),
+            F.lit("EXPOSUREMS"), F.when(k % 4 == 2, F.concat(F.floor(F.col("o_totalprice")).cast("string"), F.lit("000"))),
+            F.lit("IMAGETYP"), F.when(k % 37 == 0, "Dark Frame").when(k % 3 == 0, "Light"),
+            F.lit("MASTTYPE"), F.when(k % 41 == 0, "Master_Light").when(k % 43 == 0, "Dark"),
+            F.lit("INSTRUME"), F.concat(F.lit("cam"), (c % 4).cast("string")),
+            F.lit("WCS"), F.when(k % 5 != 0, "T"),
+            F.lit("DATE-OBS"), F.when(k % 2 == 1, F.concat(F.date_format("d", "yyyy-MM-dd"), F.lit("T21:30:00.1234567"))),
+        ),
+        lambda key, v: v.isNotNull(),
+    )
+    return t.withColumn("header", header).select(
+        F.concat(root, F.lit("/Target "), (c % 50).cast("string"), F.lit("/"), folder, F.lit("/"), stem, ext).alias("path"),
+        root.alias("root_path"), "header", k.alias("file_no"), "d", "o_totalprice", "o_custkey",
+        (F.unix_date("d").cast("double") * 86400.0 + (k % 86400)).alias("observation_time"),
+    )
