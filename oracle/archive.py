@@ -63,7 +63,7 @@ SQL = {
     "frame_groups": q(
         FILES,
         """SELECT coalesce(filter_name,'Unknown') AS filter_name, exposure_seconds, count(*) AS frame_count,
-        arg_min(path, (observation_date, path)) AS first_path, arg_max(path, (observation_date, path)) AS last_path
+        arg_min(path, (coalesce(observation_date, DATE '0001-01-01'), path)) AS first_path, arg_max(path, (coalesce(observation_date, DATE '0001-01-01'), path)) AS last_path
         FROM inv WHERE has_wcs GROUP BY ALL""",
     ),
     "frame_batches": q(
@@ -134,8 +134,8 @@ SQL = {
         FILES, COUNTING,
         """days AS (SELECT observation_date AS d, sum(exposure_seconds) AS s, count(*) AS n FROM cf GROUP BY ALL),
         b AS (SELECT min(d) AS a, max(d) AS z FROM days),
-        zf AS (SELECT *, year(z) + ((month(z)-1) + (day(z)-1)/day(last_day(z))::DOUBLE)/12 - 3.0::DOUBLE AS at FROM b),
-        zg AS (SELECT *, CAST(floor(at) AS INT) AS y, (at - floor(at))*12 AS m FROM zf),
+        zf AS (SELECT *, year(z) + ((month(z)-1) + (day(z)-1)/day(last_day(z))::DOUBLE)/12 - 3.0::DOUBLE AS aty FROM b),
+        zg AS (SELECT *, CAST(floor(aty) AS INT) AS y, (aty - floor(aty))*12 AS m FROM zf),
         sp AS (SELECT a, make_date(y, CAST(floor(m) AS INT)+1, CAST(floor((m-floor(m))*day(last_day(make_date(y, CAST(floor(m) AS INT)+1, 1)))) AS INT)+1) AS split FROM zg),
         bk AS (SELECT d, s, n, d < split AS old, CASE WHEN d < split THEN CAST(date_trunc('week', d) AS DATE) ELSE d END AS bucket, a FROM days CROSS JOIN sp),
         o0 AS (SELECT bucket, old, list(d ORDER BY d) AS ds, sum(s) AS s, count(*) AS nd, any_value(a) AS a FROM bk GROUP BY bucket, old),

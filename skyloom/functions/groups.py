@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.functions.numeric import MAD_TO_SIGMA, finite
+from skyloom.functions.numeric import MAD_TO_SIGMA, finite, let
 
 GROUP_ROW_LIMIT = 1_000_000
 BRACKET = 0.001
@@ -174,8 +174,11 @@ def with_previous(df: DataFrame, keys: list[str], time: str, ties: list[str], co
 
 def array_median(values: Column) -> Column:
     """Median of a short array, ignoring nulls."""
-    v = F.array_sort(F.filter(values, lambda x: x.isNotNull()))
-    n = F.size(v)
-    lo = F.element_at(v, F.floor((n + 1) / 2).cast("int"))
-    hi = F.element_at(v, F.floor((n + 2) / 2).cast("int"))
-    return F.when(n > 0, (lo + hi) / F.lit(2.0))
+
+    def middle(v):
+        n = F.size(v)
+        lo = F.try_element_at(v, F.floor((n + 1) / 2).cast("int"))
+        hi = F.try_element_at(v, F.floor((n + 2) / 2).cast("int"))
+        return F.when(n > 0, (lo + hi) / F.lit(2.0))
+
+    return let(F.array_sort(F.filter(values, lambda x: x.isNotNull())), middle)

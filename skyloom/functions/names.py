@@ -7,6 +7,8 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skyloom.functions.numeric import let
+
 # Prefixes of survey designations other than the four large variable-star surveys.
 OTHER_DESIGNATION_PREFIXES = (
     "2mass", "wise", "tic", "toi", "kic", "tess", "sdss", "ucac", "usno", "ps1", "panstarrs", "pan-starrs", "gsc", "tyc",
@@ -187,8 +189,18 @@ def is_calibration_type(frame_type: Column) -> Column:
 
 def image_kind(path: Column, root: Column, image_type: Column, master_type: Column) -> Column:
     """Processing stage of an image from master type, folders below the root, stem tokens and image type."""
-    dirs = path_dirs(F.substring(path, F.length(root) + 1, F.length(path)))
-    stem = F.lower(path_stem(path))
+    parts = F.struct(
+        path_dirs(F.substring(path, F.length(root) + 1, F.length(path))).alias("dirs"),
+        F.lower(path_stem(path)).alias("stem"),
+        F.coalesce(_type_text(master_type), F.lit("")).alias("mast"),
+        is_light_type(image_type).alias("light"),
+        is_calibration_type(image_type).alias("calib"),
+    )
+    return let(parts, _kind_of)
+
+
+def _kind_of(row: Column) -> Column:
+    dirs, stem, mast, light, calib = (row[c] for c in ("dirs", "stem", "mast", "light", "calib"))
 
     def folder(names):
         return F.arrays_overlap(dirs, F.array(*[F.lit(x) for x in names]))
@@ -199,8 +211,6 @@ def image_kind(path: Column, root: Column, image_type: Column, master_type: Colu
             hit = hit | stem.contains(t)
         return hit
 
-    mast = F.coalesce(_type_text(master_type), F.lit(""))
-    light, calib = is_light_type(image_type), is_calibration_type(image_type)
     master_calibration = mast.startswith("bias") | mast.startswith("dark") | mast.startswith("flat") | mast.startswith("offset")
     return (
         F.when(mast.isin("masterlight", "master light") | mast.startswith("light"), "integration")

@@ -19,6 +19,11 @@ def _c(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body`` (a lambda over a one-element array)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def finite(value) -> Column:
     """True for a non-null, non-NaN, non-infinite number."""
     v = _c(value)

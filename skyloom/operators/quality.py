@@ -50,14 +50,20 @@ def hampel(measurements: DataFrame, window: int = 2, fits: bool | None = None) -
     v = analysis_value(measurements)
     out = measurements.withColumn("__v", F.when(n.finite(v), v))
     out = neighbours(out, SERIES, "observation_time", ["file_path"], F.col("__v"), window, window, "__around", fits)
-    local = F.filter("__around", lambda x: x.isNotNull())
-    out = out.withColumn("__local", local).withColumn("__mid", array_median(F.col("__local")))
-    mad = array_median(F.transform("__local", lambda x: F.abs(x - F.col("__mid"))))
-    out = out.withColumn("__mad", mad)
-    z = F.when(
-        (F.size("__local") >= 3) & (F.col("__mad") > 0), F.abs(F.col("__v") - F.col("__mid")) / (F.lit(n.MAD_TO_SIGMA) * F.col("__mad"))
-    )
-    return out.withColumn("hampel_z", z).drop("__v", "__around", "__local", "__mid", "__mad")
+    window_values = F.filter("__around", lambda x: x.isNotNull())
+
+    def z_score(values):
+        def around(mid):
+            def scaled(mad):
+                return F.when(
+                    (F.size(values) >= 3) & (mad > 0), F.abs(F.col("__v") - mid) / (F.lit(n.MAD_TO_SIGMA) * mad)
+                )
+
+            return n.let(array_median(F.transform(values, lambda x: F.abs(x - mid))), scaled)
+
+        return n.let(array_median(values), around)
+
+    return out.withColumn("hampel_z", n.let(window_values, z_score)).drop("__v", "__around")
 
 
 def quality_score(

@@ -61,8 +61,14 @@ def hampel(spark, d):
     return rounded(ql.hampel(differential(spark, d), fits=series_fit(spark, d)).select(*KEY, "hampel_z"))
 
 
-def scored(spark, d):
-    return ql.quality_score(differential(spark, d), fits=series_fit(spark, d))
+def scored(spark, d, fits=None):
+    fits = series_fit(spark, d) if fits is None else fits
+    return ql.quality_score(differential(spark, d), fits=fits)
+
+
+def metrics(spark, d):
+    fits = series_fit(spark, d)
+    return ql.variability_metrics(scored(spark, d, fits), fits)
 
 
 def quality_score(spark, d):
@@ -79,11 +85,11 @@ def light_curve_points(spark, d):
 
 
 def variability_metrics(spark, d):
-    return rounded(ql.variability_metrics(scored(spark, d), series_fit(spark, d)).drop("candidate_score"), reduced_chi2=4, stetson_j=5)
+    return rounded(metrics(spark, d).drop("candidate_score"), reduced_chi2=4, stetson_j=5)
 
 
 def candidate_score(spark, d):
-    return ql.variability_metrics(scored(spark, d), series_fit(spark, d)).select("source_id", "filter_name", "candidate_score")
+    return metrics(spark, d).select("source_id", "filter_name", "candidate_score")
 
 
 def cadence(spark, d):
