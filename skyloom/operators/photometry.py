@@ -173,13 +173,13 @@ def nearest_references(targets: DataFrame, refs: DataFrame, k: int = 5, small: i
     return done
 
 
-def comparison_pairs(measurements: DataFrame, k: int = 5) -> DataFrame:
+def comparison_pairs(measurements: DataFrame, k: int = 5, automatic: bool = True) -> DataFrame:
     """Chosen comparisons of every science row: an explicit id list sets members and order, else the k nearest."""
     targets, refs = science_targets(measurements), eligible_references(measurements)
     if "comparison_source_ids" not in measurements.columns:
         return nearest_references(targets, refs, k)
     listed = F.coalesce(F.size("comparison_source_ids") > 0, F.lit(False))
-    automatic = nearest_references(targets.where(~listed), refs, k)
+    nearest = nearest_references(targets.where(~listed), refs, k) if automatic else None
     fields = _reference_fields(refs)
     explicit = (
         targets.where(listed)
@@ -190,7 +190,7 @@ def comparison_pairs(measurements: DataFrame, k: int = 5) -> DataFrame:
         .withColumn("d2", _planar_d2())
         .drop("__id", "__file_path", "__filter_name")
     )
-    return automatic.unionByName(explicit)
+    return explicit if nearest is None else nearest.unionByName(explicit)
 
 
 def _ensemble_aggs() -> tuple[list[Column], list[Column]]:
@@ -324,14 +324,14 @@ def comparison_summary(pairs: DataFrame, key: list[str] | None = None) -> DataFr
     return rows.groupBy(*key).agg(*aggs).select(*key, *[c for p in parts for c in p[1]])
 
 
-def differential_photometry(measurements: DataFrame, k: int = 5) -> DataFrame:
+def differential_photometry(measurements: DataFrame, k: int = 5, automatic: bool = True) -> DataFrame:
     """Differential, calibrated and standard magnitudes of every science row.
 
     Rows without a usable comparison stay and carry a hard flag. Everything after the pairing is keyed by the row and
     reuses the frame partitioning of the pairing join.
     """
     targets = science_targets(measurements)
-    pairs = comparison_pairs(measurements, k)
+    pairs = comparison_pairs(measurements, k, automatic)
     out = attach(targets.drop("comparison_source_ids"), comparison_summary(pairs), ROW)
     own = n.mag_error("flux", "flux_error")
     zp, zpe = F.col("zero_point_magnitude"), F.col("zero_point_magnitude_error")

@@ -8,7 +8,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ("photometry", "archive", "catalogs", "series")
+AREAS = ("photometry", "archive", "catalogs", "series", "reports")
 
 
 def _in_utc(fn):
