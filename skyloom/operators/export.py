@@ -21,9 +21,13 @@ FILTER_CODES = {
     "V": ("v", "johnsonv", "johnson_v"),
     "R": ("r", "rc", "r_c", "cousinsr", "cousins_r"),
     "I": ("i", "ic", "i_c", "cousinsi", "cousins_i"),
-    "J": ("j",), "H": ("h",), "K": ("k",),
-    "CV": ("cv", "clear"), "CR": ("cr",), "TG": ("tg",), "TB": ("tb",), "TR": ("tr",),
-    "SU": ("su",), "SG": ("sg",), "SR": ("sr",), "SI": ("si",), "SZ": ("sz",),
+    "J": ("j",), "H": ("h",), "K": ("k",), "Y": ("y",),
+    "SU": ("su", "sloanu", "sloan_u"), "SG": ("sg", "sloang", "sloan_g"), "SR": ("sr", "sloanr", "sloan_r"),
+    "SI": ("si", "sloani", "sloan_i"), "SZ": ("sz", "sloanz", "sloan_z"),
+    "TB": ("tb",), "TG": ("tg",), "TR": ("tr",), "CV": ("cv", "clear", "unfiltered"), "CR": ("cr",),
+    "HA": ("ha", "h_alpha"), "HAC": ("hac", "h_alpha_continuum"),
+    "STU": ("stu",), "STV": ("stv",), "STB": ("stb",), "STY": ("sty",), "STHBW": ("sthbw",), "STHBN": ("sthbn",),
+    "MA": ("ma",), "MB": ("mb",), "MI": ("mi",),
 }
 
 
