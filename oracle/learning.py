@@ -71,10 +71,10 @@ SQL = {
         a AS (SELECT night, u, count(*) AS n, (max(fi)-min(fi)+1)::DOUBLE AS sp, avg(snr) AS s1, min(snr) AS s2, max(snr) AS s3, stddev_pop(snr) AS s4, median(snr) AS s5, min(pk) AS p1, max(pk) AS p2, median(pk) AS p3,
           sqrt(avg(o2)) AS rms, sqrt(max(o2)) AS mx, stddev_pop(x) AS xs, stddev_pop(y) AS ys, (max(h)-min(h))*3600.0 AS span, any_value(ix+vx*t0) AS x0, any_value(iy+vy*t0) AS y0, any_value(ix+vx*t1) AS x1,
           any_value(iy+vy*t1) AS y1, any_value(sqrt(vx*vx+vy*vy)) AS mo FROM r GROUP BY night, u)""",
-        """SELECT night, u AS detection_id, n AS detection_count, sp AS frame_index_span, round(s1,4) AS average_snr, round(s2,4) AS local_snr_min, round(s3,4) AS local_snr_max, round(s4,4) AS local_snr_stddev,
-        round(s5,4) AS local_snr_median, round(p1,4) AS peak_min, round(p2,4) AS peak_max, round(p3,4) AS peak_median, round(rms,4)+0.0 AS fit_rms_px, round(mx,4) AS max_deflection_px, round(xs,4) AS x_stddev, round(ys,4) AS y_stddev,
-        span AS observation_span_seconds, round(x0,4) AS start_x, round(y0,4) AS start_y, round(x1,4) AS end_x, round(y1,4) AS end_y, round(mo,4) AS motion_px_per_hour, round(x1-x0,4)+0.0 AS delta_x, round(y1-y0,4)+0.0 AS delta_y,
-        round(abs(x1-x0),4) AS abs_delta_x, round(abs(y1-y0),4) AS abs_delta_y, round(sqrt(pow(x1-x0,2)+pow(y1-y0,2)),4) AS displacement_px, round(n/greatest(1.0,sp),4) AS linked_frame_fraction FROM a""",
+        """SELECT night, u AS detection_id, n AS detection_count, sp AS frame_index_span, round(s1,9) AS average_snr, round(s2,9) AS local_snr_min, round(s3,9) AS local_snr_max, round(s4,9) AS local_snr_stddev,
+        round(s5,9) AS local_snr_median, round(p1,9) AS peak_min, round(p2,9) AS peak_max, round(p3,9) AS peak_median, round(rms,9)+0.0 AS fit_rms_px, round(mx,9) AS max_deflection_px, round(xs,9) AS x_stddev, round(ys,9) AS y_stddev,
+        span AS observation_span_seconds, round(x0,9) AS start_x, round(y0,9) AS start_y, round(x1,9) AS end_x, round(y1,9) AS end_y, round(mo,9) AS motion_px_per_hour, round(x1-x0,9)+0.0 AS delta_x, round(y1-y0,9)+0.0 AS delta_y,
+        round(abs(x1-x0),9) AS abs_delta_x, round(abs(y1-y0),9) AS abs_delta_y, round(sqrt(pow(x1-x0,2)+pow(y1-y0,2)),9) AS displacement_px, round(n/greatest(1.0,sp),9) AS linked_frame_fraction FROM a""",
     ),
     "source_features": q(
         MEAS_RAW, PAIRS, DIFF, QUALITY,

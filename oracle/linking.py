@@ -28,8 +28,8 @@ SQL = {
         cm AS (SELECT a AS p, min(b) AS g FROM reach GROUP BY a),
         m AS (SELECT g, s.* FROM skyd s JOIN pl USING (ra_deg, dec_deg) JOIN cm USING (p)),
         v AS (SELECT g, count(*) AS n, count(DISTINCT frame_id) AS nf, max(snr) AS ms, avg(cos(radians(dec_deg))*cos(radians(ra_deg))) AS vx, avg(cos(radians(dec_deg))*sin(radians(ra_deg))) AS vy, avg(sin(radians(dec_deg))) AS vz FROM m GROUP BY g)""",
-        """SELECT g AS group_id, n AS detection_count, nf AS frame_count, round(ms,8) AS max_snr, round(degrees(atan2(vy,vx)),8) AS ra_deg,
-        round(degrees(asin(vz/sqrt(vx*vx+vy*vy+vz*vz))),8) AS dec_deg FROM v""",
+        """SELECT g AS group_id, n AS detection_count, nf AS frame_count, round(ms,11) AS max_snr, round(degrees(atan2(vy,vx)),11) AS ra_deg,
+        round(degrees(asin(vz/sqrt(vx*vx+vy*vy+vz*vz))),11) AS dec_deg FROM v""",
     ).removeprefix("WITH "),
     "transient_candidates": q(
         SKY,
