@@ -124,19 +124,31 @@ def path_stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", "")
 
 
-def deck_filter(header_filter: Column, path: Column) -> Column:
-    """Filter from the header, else the file name, else the innermost folder that names one."""
+def deck_filter(header_filter: Column, path: Column, fields: Column | None = None, dirs: Column | None = None) -> Column:
+    """Filter from the header, else the file name, else the innermost folder that names one.
+
+    ``fields`` and ``dirs`` take the already parsed file name and folders.
+    """
     lookup = literal_map({a: name for name, aliases in DECK_FILTER_ALIASES.items() for a in aliases})
-    hits = F.filter(F.transform(F.reverse(path_dirs(path)), lambda p: F.try_element_at(lookup, p)), lambda x: x.isNotNull())
-    return F.coalesce(
-        deck_filter_alias(header_filter), deck_filter_alias(filename_field(path, 5)), F.try_element_at(hits, F.lit(1))
-    )
+    dirs = path_dirs(path) if dirs is None else dirs
+    named = filename_field(path, 5) if fields is None else field_of(fields, 5)
+    hits = F.filter(F.transform(F.reverse(dirs), lambda p: F.try_element_at(lookup, p)), lambda x: x.isNotNull())
+    return F.coalesce(deck_filter_alias(header_filter), deck_filter_alias(named), F.try_element_at(hits, F.lit(1)))
 
 
-def filename_field(path: Column, group: int) -> Column:
+def filename_fields(path: Column) -> Column:
+    """The eight parts of a file name from one pattern match (an array of one element when it does not parse)."""
+    order = "\u0001".join(f"${i}" for i in range(1, 9))
+    return F.split(F.regexp_replace(path_stem(path), f"^.*?{FILENAME_PATTERN}.*$", order), "\u0001")
+
+
+def field_of(fields: Column, group: int) -> Column:
     """1 type, 2 object, 3 exposure, 4 binning, 5 filter, 6 date, 7 time, 8 sequence; null when the name does not parse."""
-    text = F.trim(F.regexp_extract(path_stem(path), FILENAME_PATTERN, group))
-    return F.when(text != "", text)
+    return F.when(F.size(fields) == 8, fields[group - 1])
+
+
+def filename_field(path: Column, group: int) -> Column:
+    return let(filename_fields(path), lambda f: field_of(f, group))
 
 
 def filename_date(path: Column) -> Column:

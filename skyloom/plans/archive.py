@@ -107,7 +107,8 @@ def filter_alias(spark, d):
 def filename_parse(spark, d):
     f = si.orders_with_path(spark, d)
     names = ["frame_type", "object_name", "exposure_text", "binning", "filter_name", "date_text", "time_text", "sequence"]
-    return f.select("file_no", *[nm.filename_field(F.col("path"), i + 1).alias(n) for i, n in enumerate(names)])
+    parsed = f.select("file_no", nm.filename_fields(F.col("path")).alias("fields"))
+    return parsed.select("file_no", *[nm.field_of(F.col("fields"), i + 1).alias(n) for i, n in enumerate(names)])
 
 
 def timestamp_parse(spark, d):
@@ -138,7 +139,7 @@ def deck_stats(spark, d):
 
 
 def _lights(spark, d):
-    return ar.counting_frames(_deck(spark, d))
+    return ar.counting_totals(_deck(spark, d))
 
 
 def observation_map(spark, d):
