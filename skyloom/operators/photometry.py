@@ -92,8 +92,13 @@ def _same_frame() -> Column:
     return (F.col("file_path") == F.col("__file_path")) & (F.col("filter_name") == F.col("__filter_name"))
 
 
+def _row_keys(pairs: DataFrame, key: list[str]) -> list[str]:
+    """Grouping key of the pairs; a leading hash makes sorting by it a comparison of numbers."""
+    return ["row_hash", *key] if key == ROW and "row_hash" in pairs.columns else key
+
+
 def _top_k(pairs: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy(*ROW).orderBy("d2", "ref_source_id")
+    w = Window.partitionBy(*_row_keys(pairs, ROW)).orderBy("d2", "ref_source_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -106,7 +111,7 @@ def nearest_references(targets: DataFrame, refs: DataFrame, k: int = 5, small: i
     """
     small = SMALL_REFERENCE_SET if small is None else small
     fields = _reference_fields(refs)
-    carried = targets.select(*dict.fromkeys([*ROW, "ra_deg", "dec_deg"]))
+    carried = targets.select(*dict.fromkeys([*ROW, "ra_deg", "dec_deg"]), F.xxhash64(*ROW).alias("row_hash"))
     sizes = (
         refs.groupBy(*FRAME)
         .agg(
@@ -183,8 +188,8 @@ def comparison_pairs(measurements: DataFrame, k: int = 5, automatic: bool = True
     fields = _reference_fields(refs)
     explicit = (
         targets.where(listed)
-        .select(*ROW, "ra_deg", "dec_deg", F.posexplode("comparison_source_ids").alias("rank", "__id"))
-        .groupBy(*ROW, "ra_deg", "dec_deg", "__id")
+        .select(*ROW, "ra_deg", "dec_deg", F.xxhash64(*ROW).alias("row_hash"), F.posexplode("comparison_source_ids").alias("rank", "__id"))
+        .groupBy(*ROW, "ra_deg", "dec_deg", "row_hash", "__id")
         .agg((F.min("rank") + 1).alias("rank"))
         .join(fields, _same_frame() & (F.col("__id") == F.col("ref_source_id")))
         .withColumn("d2", _planar_d2())
@@ -229,7 +234,7 @@ def _ensemble_aggs() -> tuple[list[Column], list[Column]]:
 def _with_center(pairs: DataFrame, key: list[str]) -> DataFrame:
     e = F.col("ref_flux_error")
     w = F.when(e > 0, F.lit(1.0) / (e * e))
-    span = Window.partitionBy(*key)
+    span = Window.partitionBy(*_row_keys(pairs, key))
     return pairs.withColumn("__c", F.sum(w * F.col("ref_flux")).over(span) / F.sum(w).over(span))
 
 
@@ -241,7 +246,7 @@ def ensemble(pairs: DataFrame, key: list[str] | None = None) -> DataFrame:
     """
     key = key or ROW
     aggs, finish = _ensemble_aggs()
-    return _with_center(pairs, key).groupBy(*key).agg(*aggs).select(*key, *finish)
+    return _with_center(pairs, key).groupBy(*_row_keys(pairs, key)).agg(*aggs).select(*key, *finish)
 
 
 def _zero_point_aggs(zp: Column, err: Column, prefix: str) -> tuple[list[Column], list[Column]]:
@@ -279,7 +284,7 @@ def _catalog_zero_point_aggs():
 def zero_points(pairs: DataFrame, key: list[str] | None = None) -> DataFrame:
     key = key or ROW
     aggs, finish = _catalog_zero_point_aggs()
-    return pairs.groupBy(*key).agg(*aggs).select(*key, *finish).where(F.col("zero_point_source_count") > 0)
+    return pairs.groupBy(*_row_keys(pairs, key)).agg(*aggs).select(*key, *finish).where(F.col("zero_point_source_count") > 0)
 
 
 def _with_band_source(pairs: DataFrame, key: list[str]) -> DataFrame:
@@ -288,7 +293,7 @@ def _with_band_source(pairs: DataFrame, key: list[str]) -> DataFrame:
     ok = n.finite(mag - F.col("ref_instrumental_magnitude"))
     source = F.when(has, F.coalesce("ref_band_source", F.lit("unknown"))).otherwise(F.lit("gaia-g"))
     rows = pairs.withColumn("__bmag", mag).withColumn("__src", F.when(ok, source))
-    return rows.withColumn("__uses", F.count("__src").over(Window.partitionBy(*key, "__src")))
+    return rows.withColumn("__uses", F.count("__src").over(Window.partitionBy(*_row_keys(pairs, key), "__src")))
 
 
 def _standard_aggs():
@@ -311,7 +316,7 @@ def standard_zero_points(pairs: DataFrame, key: list[str] | None = None) -> Data
     """
     key = key or ROW
     aggs, finish = _standard_aggs()
-    rows = _with_band_source(pairs, key).groupBy(*key).agg(*aggs).select(*key, *finish)
+    rows = _with_band_source(pairs, key).groupBy(*_row_keys(pairs, key)).agg(*aggs).select(*key, *finish)
     return rows.where(F.col("standard_zero_point_source_count") > 0)
 
 
@@ -321,7 +326,7 @@ def comparison_summary(pairs: DataFrame, key: list[str] | None = None) -> DataFr
     parts = [_ensemble_aggs(), _catalog_zero_point_aggs(), _standard_aggs()]
     rows = _with_band_source(_with_center(pairs, key), key)
     aggs = [a for p in parts for a in p[0]]
-    return rows.groupBy(*key).agg(*aggs).select(*key, *[c for p in parts for c in p[1]])
+    return rows.groupBy(*_row_keys(pairs, key)).agg(*aggs).select(*key, *[c for p in parts for c in p[1]])
 
 
 def differential_photometry(measurements: DataFrame, k: int = 5, automatic: bool = True) -> DataFrame:

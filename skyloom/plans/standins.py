@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.functions.numeric import instrumental_magnitude, julian_date
+from skyloom.functions.numeric import instrumental_magnitude, julian_date, ratio
 
 FRAME_SECONDS = 21600
 
@@ -68,7 +68,7 @@ def raw_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
         "peak_pixel_value",
         F.lit(450.0).alias("saturation_threshold"),
         (F.col("peak_pixel_value") >= 450.0).alias("is_saturated"),
-        (F.col("flux") / (F.sqrt("flux") / F.sqrt(F.col("n").cast("double")))).alias("snr"),
+        ratio("flux", F.sqrt("flux") / F.sqrt(F.col("n").cast("double"))).alias("snr"),
         (F.col("n") * 1.5).alias("centroid_shift_pixels"),
         F.when(F.col("n") > 2, F.array(F.lit("Source recentred."))).otherwise(F.array().cast("array<string>")).alias("flags"),
         F.array().cast("array<string>").alias("comparison_source_ids"),
