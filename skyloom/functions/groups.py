@@ -24,6 +24,12 @@ def groups_fit(df: DataFrame, keys: list[str], limit: int | None = None) -> bool
     return df.groupBy(*keys).count().where(F.col("count") > bound).isEmpty()
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash partitions that stay apart: small rows with costly work per group must not be coalesced into one task."""
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(wanted, df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join per-group columns back to the rows. Keys are never null (readers write "unknown" for a missing filter)."""
     return df.join(stats, keys, how)
