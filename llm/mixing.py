@@ -95,6 +95,22 @@ def _uniform(*columns: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), *columns), 11) + 0.5) / F.lit(float(1 << 53))
 
 
+def _draw(depth: int):
+    """Step over the sources of a node: draw from this one, given what is still wanted and left."""
+
+    def step(state: Column, quota: Column) -> Column:
+        others = state["left"] - quota
+        drawn = _hypergeometric(quota, others, state["want"], _uniform(F.lit(depth), F.col("shard"), state["i"]))
+        return F.aggregate(
+            F.array(drawn), state,
+            lambda s, x: F.struct(
+                (s["want"] - x).alias("want"), others.alias("left"), (s["i"] + 1).alias("i"), F.concat(s["out"], F.array(x)).alias("out")
+            ),
+        )
+
+    return step
+
+
 def split_quotas(quotas: DataFrame, shards: int) -> DataFrame:
     """``source_index, quota`` -> ``shard, source_index, first_block, n_blocks``; ``shards`` is a power of two.
 
@@ -111,17 +127,7 @@ def split_quotas(quotas: DataFrame, shards: int) -> DataFrame:
             F.array().cast("array<bigint>").alias("out"),
         )
 
-        def draw(state: Column, quota: Column, level: int = depth) -> Column:
-            others = state["left"] - quota
-            uniform = _uniform(F.lit(level), F.col("shard"), state["i"])
-            return F.aggregate(
-                F.array(_hypergeometric(quota, others, state["want"], uniform)), state,
-                lambda s, x: F.struct(
-                    (s["want"] - x).alias("want"), others.alias("left"), (s["i"] + 1).alias("i"), F.concat(s["out"], F.array(x)).alias("out")
-                ),
-            )
-
-        drawn = placed.withColumn("l", F.aggregate("q", start, draw, lambda s: s["out"]))
+        drawn = placed.withColumn("l", F.aggregate("q", start, _draw(depth), lambda s: s["out"]))
         tree = drawn.select("ids", F.explode(F.array(
             F.struct((F.col("shard") * 2).alias("shard"), F.col("l").alias("q")),
             F.struct((F.col("shard") * 2 + 1).alias("shard"), F.zip_with("q", "l", lambda a, b: a - b).alias("q")),

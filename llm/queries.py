@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from llm import mixing
+from llm import decontam, mixing
 
 QUERIES = {
+    "op3_decontamination": decontam.op3_decontamination,
     "op7_mixing": mixing.op7_mixing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_decontamination": decontam.ORACLE,
+}
