@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from llm import decontam, mixing
+from llm import decontam, langid, mixing
 
 QUERIES = {
     "op3_decontamination": decontam.op3_decontamination,
+    "op6_language": langid.op6_language,
     "op7_mixing": mixing.op7_mixing,
 }
 
