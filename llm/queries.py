@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from llm import decontam, langid, mixing
+from llm import decontam, langid, mixing, tokens
 
 QUERIES = {
     "op3_decontamination": decontam.op3_decontamination,
     "op6_language": langid.op6_language,
+    "op8_token_shards": tokens.op8_token_shards,
     "op7_mixing": mixing.op7_mixing,
 }
 
