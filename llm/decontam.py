@@ -184,40 +184,56 @@ def merge(one: list[int], two: list[int]) -> list[int]:
 def _pass(docs: DataFrame, phrases: Phrases) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", SHARD_BYTES):
-            columns = batch.to_pydict()
-            found = find(columns["text"], phrases)
-            columns["n_words"] = [f[0] for f in found]
-            columns["spans"] = [merge(s, f[1]) if s else f[1] for s, f in zip(columns["spans"], found, strict=True)]
-            columns["items"] = [sorted(set(i) | f[2]) for i, f in zip(columns["items"], found, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in batch.schema], schema=batch.schema)
+            found = find(batch.column("text").to_pylist(), phrases)
+            spans, items = batch.column("__spans").to_pylist(), batch.column("__items").to_pylist()
+            made = {
+                "__n_words": [f[0] for f in found],
+                "__spans": [merge(s, f[1]) if s else f[1] for s, f in zip(spans, found, strict=True)],
+                "__items": [sorted(set(i) | f[2]) for i, f in zip(items, found, strict=True)],
+            }
+            columns = [pa.array(made[f.name], type=f.type) if f.name in made else batch.column(f.name) for f in batch.schema]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``keep`` columns of every document with n_words, merged word ``spans`` to remove, ``items``, n_hit, n_items,
-    items_sha256 and contaminated."""
+def _found(docs: DataFrame, benchmark: DataFrame, keep: list[str], block_bytes: int) -> DataFrame:
+    """``keep`` columns with the words, merged spans and items found, and the number of words hit."""
     test = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = int(test.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item_id")), F.lit(0))).first()[0])
     blocks = max(1, -(-size // block_bytes))
     work = docs.select(
-        *keep, *([] if "text" in keep else ["text"]), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("spans"),
-        F.array().cast("array<string>").alias("items"),
+        *keep, *([] if "text" in keep else ["text"]), F.lit(0).cast("long").alias("__n_words"), F.array().cast("array<bigint>").alias("__spans"),
+        F.array().cast("array<string>").alias("__items"),
     )
     for block in range(blocks):
         rows = test.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         work = _pass(work, Phrases([(r[0], r[1]) for r in rows]))
-    ends = F.aggregate("spans", F.struct(F.lit(-1).cast("long").alias("s"), F.lit(0).cast("long").alias("n")), lambda a, x: F.struct(
+    ends = F.aggregate("__spans", F.struct(F.lit(-1).cast("long").alias("s"), F.lit(0).cast("long").alias("n")), lambda a, x: F.struct(
         F.when(a["s"] < 0, x).otherwise(F.lit(-1)).alias("s"), F.when(a["s"] < 0, a["n"]).otherwise(a["n"] + x - a["s"]).alias("n")
     ), lambda a: a["n"])
-    return (
-        work.withColumn("n_hit", ends)
-        .withColumn("n_items", F.size("items").cast("long"))
-        .withColumn("items_sha256", F.sha2(F.array_join(F.array_sort("items"), ","), 256))
-        .withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return work.withColumn("__n_hit", ends)
+
+
+def _contaminated():
+    return (F.col("__n_hit") > 0) & (20 * F.col("__n_hit") >= F.col("__n_words"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``keep`` columns (none named like a result) of every document with n_words, merged word ``spans`` to remove,
+    ``items``, n_hit, n_items, items_sha256 and contaminated."""
+    return _found(docs, benchmark, keep, block_bytes).select(
+        *keep, F.col("__n_words").alias("n_words"), F.col("__spans").alias("spans"), F.col("__items").alias("items"), F.col("__n_hit").alias("n_hit"),
+        F.size("__items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("__items"), ","), 256).alias("items_sha256"),
+        _contaminated().alias("contaminated"),
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, unchanged."""
+    return _found(docs, benchmark, docs.columns, BLOCK_BYTES).where(~_contaminated()).select(*docs.columns)
+
+
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
     docs, test = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return decontaminate(docs, test, ["doc_id"]).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from llm import decontam, langid, mixing, tokens
+from llm import decontam, langid, mixing, orderminhash, tokens
 
 QUERIES = {
     "op3_decontamination": decontam.op3_decontamination,
+    "op4_order_minhash": orderminhash.op4_order_minhash,
     "op6_language": langid.op6_language,
     "op8_token_shards": tokens.op8_token_shards,
     "op7_mixing": mixing.op7_mixing,
