@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.lineage import checkpoint_dir, cut
 
-__all__ = ["cut", "checkpoint_dir", "table", "held_out", "small_batches", "text_bytes", "row_keys", "pieces_for"]
+__all__ = ["cut", "checkpoint_dir", "table", "held_out", "small_batches", "text_bytes", "row_keys", "pieces_for", "stored"]
 
 #: Rows handed to numpy code at a time; a batch of long texts is cut at this many bytes.
 BATCH_BYTES = 8 << 20
@@ -49,3 +50,12 @@ def row_keys(*columns: str) -> tuple[Column, Column]:
 def pieces_for(df: DataFrame, total: int, each: int) -> int:
     """Number of groups so that one holds about ``each`` units, and no fewer than twice the cores."""
     return max(1, -(-total // each), 2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table into the session's shared folder and read it back (a lost executor loses nothing)."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return spark.read.parquet(folder)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from llm import decontam, langid, mixing, orderminhash, tokens
+from llm import decontam, langid, mixing, orderminhash, repeats, tokens
 
 QUERIES = {
     "op3_decontamination": decontam.op3_decontamination,
     "op4_order_minhash": orderminhash.op4_order_minhash,
     "op6_language": langid.op6_language,
     "op8_token_shards": tokens.op8_token_shards,
+    "op9_suffix_dedup": repeats.op9_suffix_dedup,
     "op7_mixing": mixing.op7_mixing,
 }
 
