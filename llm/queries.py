@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from llm import decontam, langid, mixing, orderminhash, repeats, tokens
+from llm import decontam, langid, mixing, orderminhash, pii, repeats, tokens
 
 QUERIES = {
     "op3_decontamination": decontam.op3_decontamination,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_language": langid.op6_language,
     "op8_token_shards": tokens.op8_token_shards,
     "op9_suffix_dedup": repeats.op9_suffix_dedup,
+    "op10_personal_data": pii.op10_personal_data,
     "op7_mixing": mixing.op7_mixing,
 }
 
