@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from llm.common import cut, row_keys, small_batches
+from llm.common import cut, row_keys, small_batches, stored
 from llm.decontam import words_of
 from skyloom.functions.components import connected_components
 
@@ -39,6 +39,8 @@ BANDS = 16
 LEADERS = 24
 PAIRS_PER_TASK = 256
 REMEMBERED = 300_000
+#: Shingles hashed together.
+SLICE = 2048
 
 _RNG = np.random.default_rng(97)
 _ODD = (_RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -73,26 +75,33 @@ def shingles(words: list[bytes], hashes: WordHashes) -> np.ndarray:
 
 
 def bands_of(grams: np.ndarray) -> list[int]:
-    """One hash per band."""
+    """One hash per band; all sketches of a text are made together, long texts in slices."""
     order = np.argsort(grams, kind="stable")
     ranked = grams[order]
     fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
     begin = np.maximum.accumulate(np.where(fresh, np.arange(len(ranked)), 0))
     labelled = np.empty_like(grams)
     labelled[order] = _stir(ranked + (np.arange(len(ranked)) - begin).astype(np.uint64) * _BASE)
-    out = []
-    for s in range(0, BANDS * ROWS, ROWS):
-        band = np.full(1, s + 1, dtype=np.uint64)
-        for k in range(s, s + ROWS):
-            value = _stir(labelled * _ODD[k] + _ADD[k])
-            at = []
-            for _ in range(min(KEPT, len(value))):
-                at.append(int(value.argmin()))
-                value[at[-1]] = np.uint64(0xFFFFFFFFFFFFFFFF)
-            for p in sorted(at):
-                band = _stir(band * _BASE + grams[p : p + 1])
-        out.append(int(band.astype(np.int64)[0]))
-    return out
+    every = np.arange(len(_ODD))
+    at = np.zeros((0, len(_ODD)), dtype=np.int64)
+    least = np.zeros((0, len(_ODD)), dtype=np.uint64)
+    for start in range(0, len(labelled), SLICE):
+        value = _stir(labelled[start : start + SLICE] * _ODD[:, None] + _ADD[:, None])
+        for _ in range(min(KEPT, value.shape[1])):
+            low = value.argmin(axis=1)
+            at, least = np.vstack([at, low + start]), np.vstack([least, value[every, low]])
+            value[every, low] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        if len(at) > KEPT:
+            best = np.argsort(least, axis=0, kind="stable")[:KEPT]
+            at, least = at[best, every], least[best, every]
+    out = every.astype(np.uint64)
+    for row in np.sort(at, axis=0):
+        out = _stir(out * _BASE + grams[row])
+    bands = out.reshape(BANDS, ROWS)
+    joined = bands[:, 0]
+    for k in range(1, ROWS):
+        joined = _stir(joined * _BASE + bands[:, k])
+    return joined.astype(np.int64).tolist()
 
 
 def _within_band(a: list, b: list, band: int) -> int:
@@ -199,11 +208,20 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return left.groupBy("a", "part").cogroup(right.groupBy("leader", "share")).applyInPandas(check, "a bigint, b bigint, ok boolean")
 
 
-def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Written table of one text for each node; the documents are shuffled once for all rounds."""
+    k1, k2 = row_keys("text")
+    raw = docs.where("text is not null and text != ''").select(k1.alias("k1"), k2.alias("k2"), "text")
+    pointer = cut(nodes.select("node", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2")))
+    return stored(raw.join(pointer, ["k1", "k2"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+
+def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified links ``a, b`` that connect all members of every bucket that align with a leader."""
     member = nodes.select("node", "n_words", F.posexplode("bands").alias("band", "value"))
     buckets = member.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     open_ = cut(member.join(cut(buckets), ["band", "value"]).withColumn("order", F.xxhash64("node")))
+    texts = _texts(docs, nodes.join(cut(open_.select("node").distinct()), "node"))
     links, leaders = None, 1
     while not open_.isEmpty():
         if leaders == 1:
@@ -220,8 +238,7 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         met = open_.alias("o").join(head.alias("h"), ["band", "value"]).where(after & near)
         pairs = met.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
         wanted = cut(pairs)
-        needed = cut(wanted.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        good = cut(_verified(wanted, texts.join(needed, "node")).where("ok").select("a", "b"))
+        good = cut(_verified(wanted, texts).where("ok").select("a", "b"))
         links = good if links is None else links.union(good)
         done = met.select("band", "value", "node", "leader").join(good, (F.col("leader") == F.col("a")) & (F.col("node") == F.col("b")))
         gone = done.select("band", "value", "node").union(head.select("band", "value", F.col("leader").alias("node"))).distinct()
@@ -238,11 +255,7 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = cut(sketched.groupBy("node").agg(
         F.min("doc_id").alias("id"), F.first("n_words").alias("n_words"), F.min_by("bands", F.struct("k1", "k2")).alias("bands"), F.min(F.struct("k1", "k2")).alias("k")
     ))
-    k1, k2 = row_keys("text")
-    pointer = nodes.select("node", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"))
-    raw = docs.where("text is not null and text != ''").select(k1.alias("k1"), k2.alias("k2"), "text")
-    texts = raw.join(pointer, ["k1", "k2"]).groupBy("node").agg(F.first("text").alias("text"))
-    component = cut(connected_components(nodes, links(nodes, texts), "node"))
+    component = cut(connected_components(nodes, links(nodes, docs), "node"))
     named = nodes.join(component, "node").groupBy("component").agg(
         F.min("id").alias("class_id"), F.coalesce(F.min_by("node", "id"), F.min("node")).alias("class_node")
     )
