@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from llm import decontam, langid, mixing, orderminhash, pii, repeats, tokens
+from llm import decontam, langid, mixing, nndescent, orderminhash, pii, repeats, tokens
 
 QUERIES = {
+    "op2_nn_descent": nndescent.op2_nn_descent,
     "op3_decontamination": decontam.op3_decontamination,
     "op4_order_minhash": orderminhash.op4_order_minhash,
     "op6_language": langid.op6_language,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_nn_descent": nndescent.ORACLE,
     "op3_decontamination": decontam.ORACLE,
 }
