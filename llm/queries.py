@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from llm import decontam, langid, mixing, nndescent, orderminhash, pii, repeats, tokens
+from llm import decontam, langid, licenses, mixing, nndescent, orderminhash, pii, repeats, tokens
 
 QUERIES = {
     "op2_nn_descent": nndescent.op2_nn_descent,
     "op3_decontamination": decontam.op3_decontamination,
     "op4_order_minhash": orderminhash.op4_order_minhash,
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_language": langid.op6_language,
     "op8_token_shards": tokens.op8_token_shards,
     "op9_suffix_dedup": repeats.op9_suffix_dedup,
