@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from llm import decontam, langid, licenses, mixing, nndescent, orderminhash, pii, repeats, tokens
+from llm import decontam, langid, licenses, mixing, nndescent, orderminhash, pii, repeats, suffixtree, tokens
 
 QUERIES = {
+    "op1_suffix_tree": suffixtree.op1_suffix_tree,
     "op2_nn_descent": nndescent.op2_nn_descent,
     "op3_decontamination": decontam.op3_decontamination,
     "op4_order_minhash": orderminhash.op4_order_minhash,
