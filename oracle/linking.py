@@ -75,15 +75,23 @@ SQL = {
         """SELECT night, object_id, pf AS predicted_frames, coalesce(rf,0) AS residual_frames, coalesce(oc,0) AS overlap_count, CASE WHEN coalesce(rec,false) THEN 'recovered' WHEN coalesce(rf,0)=0 THEN 'no residuals'
         WHEN rf<3 THEN 'too few residual frames' WHEN coalesce(oc,0)=0 THEN 'not linked' ELSE 'conflict' END AS stage FROM b LEFT JOIN s USING (night, object_id) LEFT JOIN m USING (night, object_id)""",
     ),
-    "visible_limit": q(
+    "visible_limit": "WITH RECURSIVE " + q(
         MEAS_RAW, FRAME,
-        """t AS (SELECT frame_id, CAST(floor(catalog_magnitude/0.5) AS BIGINT) AS bin, snr>=5 AND centroid_shift_pixels*2<=5 AS ok FROM fs
-          QUALIFY row_number() OVER (PARTITION BY frame_id, bin ORDER BY abs(catalog_magnitude-(bin+0.5)*0.5), source_id) <= 5),
-        b AS (SELECT frame_id, bin, count(*) FILTER (ok)=0 AS fail FROM t GROUP BY ALL),
-        c AS (SELECT *, fail AND coalesce(lag(fail) OVER w,false) AS two FROM b WINDOW w AS (PARTITION BY frame_id ORDER BY bin)),
-        e AS (SELECT *, max(two) OVER (PARTITION BY frame_id ORDER BY bin ROWS UNBOUNDED PRECEDING) AS st FROM c)""",
-        "SELECT frame_id, max((bin+1)*0.5::DOUBLE) FILTER (NOT st AND NOT fail) AS magnitude_limit, count(*) AS bin_count, count(*) FILTER (NOT fail) AS seen_bins FROM e GROUP BY frame_id",
-    ),
+        # Walk the bins of a frame in order, as the search is described: count failures in a row, stop at two.
+        """t AS (SELECT frame_id, CAST(floor(catalog_magnitude/0.5) AS BIGINT) AS bin, catalog_magnitude AS mag, snr>=5 AND centroid_shift_pixels*2<=5 AS ok,
+          count(*) OVER (PARTITION BY frame_id, CAST(floor(catalog_magnitude/0.5) AS BIGINT)) AS stars,
+          row_number() OVER (PARTITION BY frame_id, CAST(floor(catalog_magnitude/0.5) AS BIGINT) ORDER BY abs(catalog_magnitude-(CAST(floor(catalog_magnitude/0.5) AS BIGINT)+0.5)*0.5), source_id) AS place FROM fs),
+        b AS (SELECT frame_id, bin, any_value(stars) AS stars, CASE WHEN any_value(stars)>=2 THEN count(*) FILTER (ok AND place<=5) ELSE 0 END AS seen, max(mag) FILTER (ok AND place<=5) AS dim FROM t GROUP BY ALL),
+        o AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY bin) AS i FROM b),
+        walk AS (SELECT frame_id, 0::BIGINT AS i, 0 AS fails, false AS shown, false AS used, NULL::DOUBLE AS good, NULL::DOUBLE AS last_any, 0 AS bins, 0 AS good_bins FROM (SELECT DISTINCT frame_id FROM o)
+          UNION ALL SELECT w.frame_id, o.i,
+            CASE WHEN o.seen>=2 THEN 0 WHEN o.stars>=2 OR w.shown THEN w.fails+1 ELSE w.fails END, w.shown OR o.seen>0, true,
+            CASE WHEN o.seen>=2 THEN o.dim ELSE w.good END, CASE WHEN o.seen>0 THEN o.dim ELSE w.last_any END,
+            w.bins + CASE WHEN o.stars>=2 OR w.shown THEN 1 ELSE 0 END, w.good_bins + CASE WHEN o.seen>=2 THEN 1 ELSE 0 END
+          FROM walk w JOIN o ON o.frame_id=w.frame_id AND o.i=w.i+1 WHERE w.fails<2),
+        z AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY i DESC)=1)""",
+        "SELECT frame_id, round(coalesce(good, last_any),5) AS magnitude_limit, CAST(bins AS BIGINT) AS bin_count, CAST(good_bins AS BIGINT) AS seen_bins FROM z WHERE bins > 0",
+    ).removeprefix("WITH "),
     "astrometry_check": q(
         MEAS_RAW, FRAME,
         """p AS (SELECT frame_id, source_no AS a, ra_deg*1000 AS x, dec_deg*1000 AS y FROM fs),
@@ -110,9 +118,9 @@ SQL = {
     ),
     "alignment_shift": q(
         MEAS_RAW,
-        """r AS (SELECT DISTINCT ra_deg*1000 AS x, dec_deg*1000 AS y FROM meas),
-        a AS (SELECT frame_no AS frame_id, ra_deg*1000+frame_no%4+source_no%3*0.2::DOUBLE AS x, dec_deg*1000-frame_no%3 AS y FROM meas),
-        o AS (SELECT frame_id, a.x-r.x AS dx, a.y-r.y AS dy FROM a JOIN r ON abs(a.x-r.x)<=8 AND abs(a.y-r.y)<=8),
+        """r AS (SELECT DISTINCT object_name, ra_deg*1000 AS x, dec_deg*1000 AS y FROM meas),
+        a AS (SELECT object_name, frame_no || '/' || object_name AS frame_id, ra_deg*1000+frame_no%4+source_no%3*0.2::DOUBLE AS x, dec_deg*1000-frame_no%3 AS y FROM meas),
+        o AS (SELECT frame_id, a.x-r.x AS dx, a.y-r.y AS dy FROM a JOIN r ON a.object_name=r.object_name AND abs(a.x-r.x)<=8 AND abs(a.y-r.y)<=8),
         b AS (SELECT *, CAST(floor(dx+0.5) AS BIGINT) AS bx, CAST(floor(dy+0.5) AS BIGINT) AS bb FROM o),
         f0 AS (SELECT frame_id, bx, bb, count(*) AS c FROM b GROUP BY ALL), f AS (SELECT * FROM f0 QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY c DESC, bx, bb)=1),
         m AS (SELECT frame_id, median(dx) AS mx, median(dy) AS my FROM b JOIN f USING (frame_id, bx, bb) GROUP BY ALL)""",

@@ -123,15 +123,14 @@ SQL = {
         s AS (SELECT kind, vector_id, 1.4826*median(abs(sv-md)) AS sc FROM st JOIN m USING (kind, vector_id) GROUP BY ALL)""",
         """SELECT kind, vector_id, y, x, round(sv,5) AS stack_value, n AS frame_count, round((sv-md)/sc,5) AS snr,
         row_number() OVER (PARTITION BY kind, vector_id ORDER BY (sv-md)/sc DESC, y, x) AS rank FROM st JOIN m USING (kind, vector_id) JOIN s USING (kind, vector_id)
-        WHERE (sv-md)/sc >= 2.5 QUALIFY rank <= 4""",
+        WHERE (sv-md)/sc >= 2.5""",
     ),
     "residual_detections": q(
         PIX, RES,
         """m AS (SELECT frame_id, median(value) AS md FROM res GROUP BY ALL),
         s AS (SELECT frame_id, 1.4826*median(abs(value-md)) AS sc, any_value(md) AS md FROM res JOIN m USING (frame_id) GROUP BY ALL)""",
         """SELECT frame_id, y, x, round(value,5) AS value, round((value-md)/sc,5) AS local_snr FROM res r JOIN s USING (frame_id) WHERE value > md+1.5*sc AND y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6
-        AND NOT EXISTS (SELECT 1 FROM res b WHERE b.frame_id=r.frame_id AND abs(b.y-r.y)<=1 AND abs(b.x-r.x)<=1 AND b.value > r.value)
-        QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY r.value DESC, y, x) <= 24""",
+        AND NOT EXISTS (SELECT 1 FROM res b WHERE b.frame_id=r.frame_id AND abs(b.y-r.y)<=1 AND abs(b.x-r.x)<=1 AND b.value > r.value)""",
     ),
     "streaks": "WITH RECURSIVE " + q(
         PIX, RES,

@@ -123,11 +123,12 @@ def with_robust_scale(
 def numbered(df: DataFrame, keys: list[str], time: str, ties: list[str], name: str, fits: bool, slot: float = 86400.0) -> DataFrame:
     """Row number in time order per group.
 
-    Large-group form: number rows inside (group, time slot), then add the running count of earlier slots.
+    Large-group form: number rows inside (group, time slot), then add the running count of earlier slots. Rows without a
+    time come first in both forms; they share one slot before all others.
     """
     if fits:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(time, *ties)).cast("long"))
-    slotted = df.withColumn("__slot", F.floor(F.col(time).cast("double") / F.lit(slot)))
+    slotted = df.withColumn("__slot", F.coalesce(F.floor(F.col(time).cast("double") / F.lit(slot)), F.lit(-(1 << 62))))
     base = (
         slotted.groupBy(*keys, "__slot")
         .agg(F.count(F.lit(1)).alias("__cnt"))

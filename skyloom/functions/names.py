@@ -90,7 +90,6 @@ CALIBRATION_TYPES = (
 )
 
 # Folder names and stem tokens that tell the processing stage.
-LIGHT_DIRS = ("light", "lights", "sub", "subs", "subframe", "subframes", "raw", "raws")
 CALIBRATED_DIRS = ("calibrated", "calibrated_lights", "cfa", "debayered")
 REGISTERED_DIRS = ("registered", "aligned", "alignment", "drizzle", "registered_lights")
 NORMALIZED_DIRS = ("normalized", "normalization", "lnorm", "nml", "xnml", "lnml")
@@ -124,13 +123,18 @@ def path_stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", "")
 
 
-def deck_filter(header_filter: Column, path: Column, fields: Column | None = None, dirs: Column | None = None) -> Column:
-    """Filter from the header, else the file name, else the innermost folder that names one.
+def below_root(path: Column, root: Column) -> Column:
+    """The part of a path under its root folder."""
+    return F.substring(path, F.length(root) + 1, F.length(path))
 
-    ``fields`` and ``dirs`` take the already parsed file name and folders.
+
+def deck_filter(header_filter: Column, path: Column, root: Column, fields: Column | None = None, dirs: Column | None = None) -> Column:
+    """Filter from the header, else the file name, else the innermost folder below the root that names one.
+
+    ``fields`` and ``dirs`` take the already parsed file name and the folders below the root.
     """
     lookup = literal_map({a: name for name, aliases in DECK_FILTER_ALIASES.items() for a in aliases})
-    dirs = path_dirs(path) if dirs is None else dirs
+    dirs = path_dirs(below_root(path, root)) if dirs is None else dirs
     named = filename_field(path, 5) if fields is None else field_of(fields, 5)
     hits = F.filter(F.transform(F.reverse(dirs), lambda p: F.try_element_at(lookup, p)), lambda x: x.isNotNull())
     return F.coalesce(deck_filter_alias(header_filter), deck_filter_alias(named), F.try_element_at(hits, F.lit(1)))
@@ -202,7 +206,7 @@ def is_calibration_type(frame_type: Column) -> Column:
 def image_kind(path: Column, root: Column, image_type: Column, master_type: Column) -> Column:
     """Processing stage of an image from master type, folders below the root, stem tokens and image type."""
     parts = F.struct(
-        path_dirs(F.substring(path, F.length(root) + 1, F.length(path))).alias("dirs"),
+        path_dirs(below_root(path, root)).alias("dirs"),
         F.lower(path_stem(path)).alias("stem"),
         F.coalesce(_type_text(master_type), F.lit("")).alias("mast"),
         is_light_type(image_type).alias("light"),

@@ -6,13 +6,13 @@ Pixels are long rows ``frame_id, y, x, value`` (plus kind, group or plane column
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions import numeric as n
 from skyloom.functions.components import connected_components
 from skyloom.functions.groups import attach, group_quantiles, groups_fit, with_robust_scale
+from skyloom.functions.lineage import cut
 
 
 def master_frames(pixels: DataFrame, keys: list[str], fits: bool | None = None) -> DataFrame:
@@ -246,8 +246,8 @@ def motion_grid(spark, max_speed: float = 12.0, speed_step: float = 1.0, angle_s
     return grid.withColumn("vx", F.col("speed") * F.cos(F.radians("angle"))).withColumn("vy", F.col("speed") * F.sin(F.radians("angle")))
 
 
-def shift_stack_sweep(residuals: DataFrame, group: str, vectors: DataFrame, min_snr: float = 6.0, top: int = 4) -> DataFrame:
-    """Mean stack of the positive residuals along every trial motion, and its strongest peaks.
+def shift_stack_sweep(residuals: DataFrame, group: str, vectors: DataFrame, min_snr: float = 6.0, top: int | None = None) -> DataFrame:
+    """Mean stack of the positive residuals along every trial motion, and its peaks by strength (the first ``top``, or all).
 
     Residual rows are expanded by the fixed vector grid and summed map-side per (group, vector, pixel). Needs ``hours``.
     """
@@ -261,7 +261,8 @@ def shift_stack_sweep(residuals: DataFrame, group: str, vectors: DataFrame, min_
     rows = with_robust_scale(stack, at, F.col("stack_value"), "__m", "__s", groups_fit(stack, at))
     rows = rows.withColumn("snr", (F.col("stack_value") - F.col("__m")) / F.col("__s")).where(F.col("snr") >= min_snr)
     w = Window.partitionBy(*at).orderBy(F.desc("snr"), "y", "x")
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select(*at, "y", "x", "stack_value", "frame_count", "snr", "rank")
+    ranked = rows.withColumn("rank", F.row_number().over(w)).select(*at, "y", "x", "stack_value", "frame_count", "snr", "rank")
+    return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
 def residual_pixels(pixels: DataFrame, group: str, fits: bool | None = None) -> DataFrame:
@@ -271,25 +272,39 @@ def residual_pixels(pixels: DataFrame, group: str, fits: bool | None = None) ->
     return diff
 
 
-def _merge_bright_first(radius: float, limit: int):
-    def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["value", "y", "x"], ascending=[False, True, True], kind="stable")
-        xs, ys, kept = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), []
-        for i in range(len(pdf)):
-            if all((xs[i] - xs[j]) ** 2 + (ys[i] - ys[j]) ** 2 > radius * radius for j in kept):
-                kept.append(i)
-                if len(kept) >= limit:
-                    break
-        return pdf.iloc[kept]
+def _merge_bright_first(peaks: DataFrame, radius: float) -> DataFrame:
+    """Peaks without a brighter kept one within the radius (ties: smaller y, then x).
 
-    return merge
+    Rounds over pairs that meet in cells: a peak with no brighter open one near it stays, and those near it go.
+    """
+    order = F.struct(-F.col("value"), F.col("y"), F.col("x"))
+    rows = cut(peaks.withColumn("__o", order))
+    cell = lambda c: F.floor(F.col(c) / float(radius)).cast("long")
+    at = rows.select("frame_id", "y", "x", "__o", cell("y").alias("__cy"), cell("x").alias("__cx"))
+    near = rows.select("frame_id", F.col("y").alias("by"), F.col("x").alias("bx"), F.col("__o").alias("__b"), *[F.explode(F.sequence(cell("y") - 1, cell("y") + 1)).alias("__cy")])
+    near = near.withColumn("__cx", F.explode(F.sequence(cell("bx") - 1, cell("bx") + 1)))
+    dy, dx = F.col("y") - F.col("by"), F.col("x") - F.col("bx")
+    pairs = at.join(near, ["frame_id", "__cy", "__cx"]).where((F.col("__b") < F.col("__o")) & (dy * dy + dx * dx <= float(radius) ** 2))
+    open_, gone = cut(pairs.select("frame_id", "y", "x", "by", "bx")), None
+    while not open_.isEmpty():
+        waiting = open_.select("frame_id", F.col("y").alias("by"), F.col("x").alias("bx")).distinct()
+        beaten = cut(open_.join(waiting, ["frame_id", "by", "bx"], "left_anti").select("frame_id", "y", "x").distinct())
+        gone = beaten if gone is None else gone.union(beaten)
+        left = open_.join(beaten, ["frame_id", "y", "x"], "left_anti")
+        dead = beaten.select("frame_id", F.col("y").alias("by"), F.col("x").alias("bx"))
+        open_ = cut(left.join(dead, ["frame_id", "by", "bx"], "left_anti").select("frame_id", "y", "x", "by", "bx"))
+    kept = rows if gone is None else rows.join(gone, ["frame_id", "y", "x"], "left_anti")
+    return kept.select(*peaks.columns)
 
 
 def residual_detections(
-    residuals: DataFrame, sigma: float = 5.0, edge: int = 6, size: tuple[int, int] | None = None, merge_radius: float = 2.0, limit: int = 24,
+    residuals: DataFrame, sigma: float = 5.0, edge: int = 6, size: tuple[int, int] | None = None, merge_radius: float = 2.0, limit: int | None = None,
     known: DataFrame | None = None, known_radius: float = 6.0,
 ) -> DataFrame:
-    """Local maxima above sigma times the clipped frame spread, merged brightest first within a frame."""
+    """Local maxima above sigma times the clipped frame spread, merged brightest first within a frame.
+
+    ``limit`` keeps the brightest of each frame and is off by default.
+    """
     key = ["frame_id"]
     rows = with_robust_scale(residuals, key, F.col("value"), "__m", "__s", groups_fit(residuals, key))
     hot = rows.where(F.col("value") > F.col("__m") + sigma * F.col("__s"))
@@ -311,7 +326,11 @@ def residual_detections(
         near = p.join(k, ["frame_id", "__ty", "__tx"]).where(d2 <= side * side).select("frame_id", "y", "x").distinct()
         peaks = peaks.join(near, ["frame_id", "y", "x"], "left_anti")
     slim = peaks.select("frame_id", "y", "x", "value", ((F.col("value") - F.col("__m")) / F.col("__s")).alias("local_snr"))
-    return slim.groupBy("frame_id").applyInPandas(_merge_bright_first(merge_radius, limit), slim.schema)
+    kept = _merge_bright_first(slim, merge_radius)
+    if limit is None:
+        return kept
+    brightest = Window.partitionBy("frame_id").orderBy(F.desc("value"), "y", "x")
+    return kept.withColumn("__r", F.row_number().over(brightest)).where(F.col("__r") <= limit).drop("__r")
 
 
 def streaks(residuals: DataFrame, sigma: float, width: int, min_area: int = 6, fwhm: float = 3.0, elongation: float = 1.8) -> DataFrame:

@@ -98,7 +98,7 @@ def band_normalize(spark, d):
 
 def filter_alias(spark, d):
     f = si.orders_with_path(spark, d)
-    got = nm.deck_filter(F.try_element_at("header", F.lit("FILTER")), F.col("path"))
+    got = nm.deck_filter(F.try_element_at("header", F.lit("FILTER")), F.col("path"), F.col("root_path"))
     return f.groupBy(got.alias("filter_name"), F.try_element_at("header", F.lit("FILTER")).alias("header_filter")).agg(
         F.count(F.lit(1)).alias("frame_count")
     )

@@ -70,3 +70,16 @@ def test_components_match_closure(spark):
         parent[max(ra, rb)] = min(ra, rb)
     got = connected_components(spark.range(300).withColumnRenamed("id", "n"), spark.createDataFrame(edges, "a long, b long"), "n")
     assert {r["n"]: r["component"] for r in got.collect()} == {n: root(n) for n in range(300)}
+
+
+def test_rows_without_a_time_number_alike(spark):
+    rows = [("a", None, i) for i in range(3)] + [("a", float(i * 50000), 10 + i) for i in range(4)] + [("b", None, 20)]
+    df = spark.createDataFrame(rows, "k string, t double, i long")
+    for make in (
+        lambda f: groups.numbered(df, ["k"], "t", ["i"], "out", f),
+        lambda f: groups.neighbours(df, ["k"], "t", ["i"], F.col("i"), 1, 1, "out", f),
+        lambda f: groups.with_previous(df, ["k"], "t", ["i"], {"out": "i"}, f),
+    ):
+        plain, divided = ({r["i"]: r["out"] for r in make(f).collect()} for f in (True, False))
+        assert plain == divided
+    assert {r["i"]: r["out"] for r in groups.numbered(df, ["k"], "t", ["i"], "out", False).collect()}[10] == 4

@@ -153,8 +153,8 @@ def test_box_search_recovers_injected_eclipse(spark):
     rows = []
     for i in range(300):
         t = i * 0.05
-        rows.append(("s", "V", t, 1.0 - (0.2 if (t % 2.3) < 0.25 else 0.0), 0.01))
-    p = spark.createDataFrame(rows, "source_id string, filter_name string, t double, y double, e double")
+        rows.append(("s", "V", t, 12.0 + (0.25 if (t % 2.3) < 0.25 else 0.0), 0.01))  # magnitudes: an eclipse is fainter
+    p = sr.as_flux(spark.createDataFrame(rows, "source_id string, filter_name string, t double, y double, e double"))
     b = sr.period_bounds(p, min_hours=36.0, max_hours=24 * 6.0)
     out = sr.best_box(sr.box_power(p, b), b).first()
     ratio = out["period_hours"] / 24 / 2.3
@@ -196,7 +196,7 @@ def test_tracklet_recovers_moving_object(spark):
         rows.append((1, k, k * 1.0, 0 + k * 10, 100.0 + 3.0 * k, 50.0 + 2.0 * k, 8.0, 90.0))
         rows += [(1, k, k * 1.0, 1 + k * 10 + j, rng.uniform(0, 400), rng.uniform(0, 400), 6.0, 50.0) for j in range(4)]
     det = spark.createDataFrame(rows, "night long, frame_index int, hours double, detection_id long, x double, y double, local_snr double, peak_value double")
-    seeds = lk.tracklet_seeds(det, 5.0, longest_gap_hours=2.0)
+    seeds = lk.tracklet_seeds(det, 5.0)
     out = lk.rank_candidates(lk.tracklets(det, seeds)).orderBy("candidate_no").first()
     assert out["frame_count"] == 5 and out["fit_rms_px"] < 0.05 and out["review_class"] == "potential"
     assert abs(out["motion_px_per_hour"] - math.hypot(3, 2)) < 1e-6
@@ -238,3 +238,62 @@ def test_cone_and_entities_and_text(spark):
 def test_outermost_roots(spark):
     roots = spark.createDataFrame([("/a",), ("/a/b",), ("/c/",), ("/ab",)], "root_path string")
     assert {r[0] for r in ar.outermost_roots(roots).collect()} == {"/a", "/c", "/ab"}
+
+
+def test_seeds_at_any_gap(spark):
+    for step in (3.0, 12.0, 200.0):
+        det = spark.createDataFrame(
+            [(1, 0, 0.0, 1, 23.0, 5.0), (1, 1, step, 2, 23.0 + 3.92 * step, 5.0), (1, 1, step, 3, 23.0 + 4.2 * step, 5.0)],
+            "night long, frame_index int, hours double, detection_id long, x double, y double",
+        )
+        assert [(r["start_id"], r["end_id"]) for r in lk.tracklet_seeds(det, 4.0).collect()] == [(1, 2)]
+
+
+def test_candidates_past_any_count(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(120):  # pairs of near duplicates and chains of them
+        x = (i // 3) * 50.0 + (i % 3) * 1.5
+        rows.append((1, f"s{i:03d}", 3 + rng.randrange(3), rng.random() * 2.5, 5.0, 9.0, 2.0, x, 0.0, x + 5.0, 0.0))
+    fields = "night long, signature string, frame_count long, fit_rms_px double, average_snr double, displacement_px double, motion_px_per_hour double, start_x double, start_y double, end_x double, end_y double"
+    got = [r["signature"] for r in lk.rank_candidates(spark.createDataFrame(rows, fields)).orderBy("candidate_no").collect()]
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[2], r[3], -r[4], -r[5], r[1])):
+        if all(math.hypot(r[7] - k[7], r[8] - k[8]) > 2 or math.hypot(r[9] - k[9], r[10] - k[10]) > 2 for k in kept):
+            kept.append(r)
+    assert len(kept) > 25 and got == [r[1] for r in kept]
+
+
+def test_peaks_past_any_count(spark):
+    rng = random.Random(9)
+    rows = [(1, y, x, float(rng.randrange(40))) for y in range(14) for x in range(14)]
+    df = spark.createDataFrame(rows, "frame_id long, y long, x long, value double")
+    got = {(r["y"], r["x"]) for r in px._merge_bright_first(df, 2.0).collect()}
+    kept = []
+    for _, y, x, _ in sorted(rows, key=lambda r: (-r[3], r[1], r[2])):
+        if all((y - b) ** 2 + (x - a) ** 2 > 4 for b, a in kept):
+            kept.append((y, x))
+    assert len(kept) > 24 and got == set(kept)
+
+
+def test_visible_limit_counts_failures_in_a_row(spark):
+    def frame(bins):
+        return [(f, f"{f}{b}{i}", b / 2 + 0.1 + i / 100, 9.0 if seen else 1.0, 0.0) for f, stars in bins.items() for b, many in stars.items() for i, seen in enumerate(many)]
+
+    rows = frame({
+        "a": {20: [1, 1, 1], 21: [1, 0], 22: [1, 1], 23: [0, 0], 24: [1], 25: [1, 1]},  # 24 has too few stars: the second failure
+        "b": {18: [0], 19: [0], 20: [1, 0, 0], 21: [0, 0], 22: [1, 1]},  # never enough: the last bin with any
+        "c": {20: [1, 1], 21: [0, 0], 22: [1, 1], 23: [0, 0], 24: [1, 1]},
+    })
+    df = spark.createDataFrame(rows, "frame_id string, source_id string, magnitude double, snr double, offset_px double")
+    got = {r["frame_id"]: round(r["magnitude_limit"], 2) for r in lk.visible_limit(df).collect()}
+    assert got == {"a": 11.11, "b": 10.1, "c": 12.11}
+
+
+def test_filter_folder_below_the_root(spark):
+    from skyloom.functions import names
+
+    rows = [("/data/red/Target 1/lights/x.fits", "/data/red"), ("/data/red/Target 1/blue/x.fits", "/data/red")]
+    df = spark.createDataFrame(rows, "path string, root string")
+    got = [r["f"] for r in df.select(names.deck_filter(F.lit(None).cast("string"), F.col("path"), F.col("root")).alias("f")).collect()]
+    assert got == [None, "B"]
