@@ -2,8 +2,8 @@
 
 Every document becomes a sequence of lower-cased words and its five-word shingles. A shingle is labelled with its
 occurrence number, so repeats count. A sketch takes the ``KEPT`` smallest hashes of the labelled shingles and keeps
-those shingles in text order; ``ROWS`` sketches make a band, and documents that agree on a band are candidates. That
-favours documents with the same shingles in the same order, that is, a high edit similarity.
+those shingles in text order; two sketches make a band. Documents that agree on a band and on ``SHARED`` sketches in all are
+candidates. That favours documents with the same shingles in the same order, that is, a high edit similarity.
 
 Equal word sequences collapse to one node first. Inside a band's bucket a leader is compared with the other members;
 those that do not align with it go to the next round with new leaders, until every member has aligned or has been
@@ -33,18 +33,24 @@ from skyloom.functions.components import connected_components
 SHINGLE = 5
 SIMILARITY = 0.8
 KEPT = 2
-ROWS = 2
-BANDS = 16
+SKETCHES = 32
+BANDS = 64
+#: Sketches two texts must share before they are aligned (of ``SKETCHES``; at the similarity wanted about eight agree).
+SHARED = 3
 #: Members without a leader are compared with this many leaders at once after the first round.
-LEADERS = 24
+LEADERS = 256
 PAIRS_PER_TASK = 256
 REMEMBERED = 300_000
 #: Shingles hashed together.
 SLICE = 2048
 
 _RNG = np.random.default_rng(97)
-_ODD = (_RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_ODD = (_RNG.integers(0, 1 << 63, SKETCHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_ADD = _RNG.integers(0, 1 << 63, SKETCHES, dtype=np.uint64)
+#: The pairs of sketches that make the bands: neighbours at growing distances.
+_PAIRS = [(i, (i + 1 + 4 * (b // SKETCHES)) % SKETCHES) for b in range(BANDS) for i in [b % SKETCHES]]
+#: A sketch keeps seven bits in a lane of a number when texts are compared; the top lane stays empty.
+LANES = 7
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,8 +80,8 @@ def shingles(words: list[bytes], hashes: WordHashes) -> np.ndarray:
     return _stir(out)
 
 
-def bands_of(grams: np.ndarray) -> list[int]:
-    """One hash per band; all sketches of a text are made together, long texts in slices."""
+def sketches_of(grams: np.ndarray) -> list[int]:
+    """The sketches of a text; all of them are made together, long texts in slices."""
     order = np.argsort(grams, kind="stable")
     ranked = grams[order]
     fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
@@ -97,11 +103,7 @@ def bands_of(grams: np.ndarray) -> list[int]:
     out = every.astype(np.uint64)
     for row in np.sort(at, axis=0):
         out = _stir(out * _BASE + grams[row])
-    bands = out.reshape(BANDS, ROWS)
-    joined = bands[:, 0]
-    for k in range(1, ROWS):
-        joined = _stir(joined * _BASE + bands[:, k])
-    return joined.astype(np.int64).tolist()
+    return out.astype(np.int64).tolist()
 
 
 def _within_band(a: list, b: list, band: int) -> int:
@@ -163,10 +165,10 @@ def similar(a: list, b: list) -> bool:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2 (text key), node (hash of the word sequence), n_words, bands; rows without text are left out."""
+    """doc_id, k1, k2 (text key), node (hash of the word sequence), n_words, sketch; rows without text are left out."""
     k1, k2 = row_keys("text")
     rows = docs.where("text is not null and text != ''").select("doc_id", k1.alias("k1"), k2.alias("k2"), "text")
-    schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("node", pa.int64()), ("n_words", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("node", pa.int64()), ("n_words", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -176,11 +178,11 @@ def sketch(docs: DataFrame) -> DataFrame:
                 words = words_of(text) or [text.encode("utf-8", "surrogatepass")]
                 nodes.append(int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True))
                 sizes.append(len(words))
-                bands.append(bands_of(shingles(words, hashes)))
+                bands.append(sketches_of(shingles(words, hashes)))
             made = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(pa.int64()) for c in ("doc_id", "k1", "k2")), *made], schema=schema)
 
-    return rows.mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, node bigint, n_words bigint, bands array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, node bigint, n_words bigint, sketch array<bigint>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -218,24 +220,42 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified links ``a, b`` that connect all members of every bucket that align with a leader."""
-    member = nodes.select("node", "n_words", F.posexplode("bands").alias("band", "value"))
+    bands = F.array(*[F.xxhash64(F.lit(b), F.col("sketch")[i], F.col("sketch")[j]) for b, (i, j) in enumerate(_PAIRS)])
+    member = nodes.select("node", F.posexplode(bands).alias("band", "value"))
     buckets = member.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    open_ = cut(member.join(cut(buckets), ["band", "value"]).withColumn("order", F.xxhash64("node")))
+    in_buckets = stored(member.join(stored(buckets, "buckets"), ["band", "value"]), "members")
+    lanes = [
+        F.aggregate(F.slice("sketch", k + 1, LANES), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 8).bitwiseOR(x.bitwiseAND(127)))
+        for k in range(0, SKETCHES, LANES)
+    ]
+    details = nodes.select("node", "n_words", F.xxhash64("node").alias("order"), *[x.alias(f"lane{i}") for i, x in enumerate(lanes)])
+    open_ = stored(in_buckets.join(details, "node"), "open")
     texts = _texts(docs, nodes.join(cut(open_.select("node").distinct()), "node"))
+    count = len(lanes)
+    ones, tops = int("7f" * LANES, 16), int("80" * LANES, 16)
+
+    def agreeing():
+        """Sketches that agree: lanes whose difference is zero."""
+        total = F.lit(-(LANES * count - SKETCHES))
+        for i in range(count):
+            apart = F.col(f"o.lane{i}").bitwiseXOR(F.col(f"h.lane{i}"))
+            total = total + LANES - F.bit_count((apart + F.lit(ones)).bitwiseAND(F.lit(tops)))
+        return total
+
     links, leaders = None, 1
     while not open_.isEmpty():
         if leaders == 1:
-            head = open_.groupBy("band", "value").agg(F.min(F.struct("order", "node", "n_words")).alias("h"))
-            head = head.select("band", "value", F.lit(1).alias("place"), "h.order", F.col("h.node").alias("leader"), F.col("h.n_words").alias("m"))
+            head = open_.groupBy("band", "value").agg(F.min(F.struct("order", "node", "n_words", *[f"lane{i}" for i in range(count)])).alias("h"))
+            head = head.select("band", "value", "h.order", F.col("h.node").alias("leader"), F.col("h.n_words").alias("m"), *[f"h.lane{i}" for i in range(count)])
         else:
             first = Window.partitionBy("band", "value").orderBy("order", "node")
             head = open_.withColumn("place", F.row_number().over(first)).where(F.col("place") <= leaders).select(
-                "band", "value", "place", "order", F.col("node").alias("leader"), F.col("n_words").alias("m")
+                "band", "value", "order", F.col("node").alias("leader"), F.col("n_words").alias("m"), *[f"lane{i}" for i in range(count)]
             )
-        head = cut(head)
+        head = stored(head, "leaders")
         near = (F.least("m", "n_words") >= F.lit(SIMILARITY) * F.greatest("m", "n_words") - 1e-6)
         after = (F.col("o.order") > F.col("h.order")) | ((F.col("o.order") == F.col("h.order")) & (F.col("node") > F.col("leader")))
-        met = open_.alias("o").join(head.alias("h"), ["band", "value"]).where(after & near)
+        met = open_.alias("o").join(head.alias("h"), ["band", "value"]).where(after & near & (agreeing() >= SHARED))
         pairs = met.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
         wanted = cut(pairs)
         good = cut(_verified(wanted, texts).where("ok").select("a", "b"))
@@ -244,7 +264,7 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         gone = done.select("band", "value", "node").union(head.select("band", "value", F.col("leader").alias("node"))).distinct()
         rest = open_.join(gone, ["band", "value", "node"], "left_anti")
         several = rest.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        open_ = cut(rest.join(cut(several), ["band", "value"]))
+        open_ = stored(rest.join(cut(several), ["band", "value"]), "open")
         leaders = LEADERS
     return links if links is not None else nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
 
@@ -253,7 +273,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """``k1, k2, node, class_id`` of every distinct text, and ``class_node``: the node that stands for the class."""
     sketched = cut(sketch(docs))
     nodes = cut(sketched.groupBy("node").agg(
-        F.min("doc_id").alias("id"), F.first("n_words").alias("n_words"), F.min_by("bands", F.struct("k1", "k2")).alias("bands"), F.min(F.struct("k1", "k2")).alias("k")
+        F.min("doc_id").alias("id"), F.first("n_words").alias("n_words"), F.min_by("sketch", F.struct("k1", "k2")).alias("sketch"), F.min(F.struct("k1", "k2")).alias("k")
     ))
     component = cut(connected_components(nodes, links(nodes, docs), "node"))
     named = nodes.join(component, "node").groupBy("component").agg(
