@@ -3,6 +3,8 @@
 import math
 import random
 
+import pytest
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -168,6 +170,29 @@ def test_curve_fit_prefers_the_true_model(spark):
     assert out["point_count"] == 30 and out["rms"] < 0.8
 
 
+def test_curve_fit_equals_reweighted_least_squares(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    t = np.sort(rng.uniform(0, 9, 60))
+    y = np.sin(2 * np.pi * t / 2.5) + 0.1 * rng.normal(size=60)
+    y[7] += 6
+    e = rng.uniform(0.05, 0.2, 60)
+    p = spark.createDataFrame([("s", "V", *map(float, r)) for r in zip(t, y, e, strict=True)], "source_id string, filter_name string, t double, y double, e double")
+    got = ft.curve_fit(p, rounds=4, period_days=2.5).first()
+    base = (1 / e**2) / np.mean(1 / e**2)
+    d = np.column_stack([np.ones(60), *[f(2 * np.pi * k * (t - t.min()) / 2.5) for k in (1, 2) for f in (np.cos, np.sin)]])
+    w = base
+    for _ in range(4):
+        c = np.linalg.lstsq(d * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0]
+        r = y - d @ c
+        u = r / (4.685 * 1.4826 * np.median(np.abs(r - np.median(r))))
+        w = np.maximum(base * np.where(np.abs(u) < 1, (1 - u * u) ** 2, 0), 1e-12)
+    assert got["model"] == "periodic" and got["parameters"] == 5 and got["point_count"] == 60
+    assert got["rms"] == pytest.approx(np.sqrt(np.mean(r * r)), rel=1e-6)
+    assert got["bic"] == pytest.approx(60 * np.log((base * r * r).sum() / 60) + 5 * np.log(60), rel=1e-6)
+
+
 def test_sequential_bins_large_form_agrees(spark):
     rng = random.Random(2)
     t, rows = 0.0, []
