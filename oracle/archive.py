@@ -146,6 +146,12 @@ SQL = {
         """SELECT grain, label, round(sum(s),3) AS exposure_seconds, CAST(sum(nd) AS BIGINT) AS night_count, count(*) AS entry_count,
         round(min(el),6) AS elapsed_years FROM g GROUP BY ALL""",
     ),
+    "longest_night": q(
+        FILES, COUNTING,
+        """days AS (SELECT observation_date AS d, sum(exposure_seconds) AS s FROM cf GROUP BY ALL)""",
+        "SELECT CAST(d AS VARCHAR) AS longest_night_date, round(s,3) AS longest_night_seconds FROM days ORDER BY s DESC, d LIMIT 1",
+    ),
+    "library_without_root": q(FILES, "SELECT path, root_path, kind FROM inv WHERE root_path <> '/data/mirror'"),
     "timing_summary": """SELECT event_type, user_id, count(*) AS event_count, round(avg(value),6) AS mean_seconds, min(value) AS min_seconds,
         max(value) AS max_seconds, round(sum(value),6) AS total_seconds, round(median(value),6) AS median_seconds,
         round(quantile_cont(value,0.95),6) AS p95_seconds FROM events GROUP BY ALL""",

@@ -23,6 +23,14 @@ TYPES = {
 }
 
 SQL = {
+    "stamp_bands": q(
+        MEAS_RAW,
+        """SELECT file_path, filter_name, source_id, CASE WHEN source_no%7<>0 THEN round(catalog_magnitude+0.05,5) END AS v_mag,
+        CASE WHEN source_no%3<>0 THEN round(catalog_magnitude+0.6,5) END AS b_mag, CASE WHEN source_no%3<>0 THEN 'vsp' END AS b_source FROM meas""",
+    ),
+    "folder_match": """WITH c AS (SELECT c_custkey AS source_no, regexp_replace(c_name, '#0*', '-') AS name, lower(regexp_replace(c_name, '#0*', ' ')) AS t FROM customer),
+        f AS (SELECT source_no, name, CASE source_no%5 WHEN 0 THEN t WHEN 1 THEN t || ' V band' WHEN 2 THEN 'Customer' WHEN 3 THEN 'other field' ELSE '' END AS folder FROM c)
+        SELECT *, source_no%5 IN (0, 1, 2) AS kept FROM f""",
     "reference_stars": q(CATALOG, VARIABLES, REFSTARS, "SELECT field, source_id, rank, round(magnitude,6) AS magnitude FROM refstars"),
     "crossmatch_bands": q(
         CATALOG, VARIABLES,

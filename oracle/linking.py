@@ -67,6 +67,12 @@ SQL = {
         CASE WHEN coalesce(snr>=3,false) AND cf>=0.75 THEN 'High-confidence match' WHEN coalesce(snr>=3,false) AND cf>=0.5 THEN 'Plausible visible match' WHEN pm<=15 THEN 'Predicted in field; visual confirmation weak'
         ELSE 'Predicted in field' END AS status FROM c""",
     ),
+    "best_variant": q(
+        DET,
+        """v AS (SELECT u AS object_id, fi AS variant, count(*) FILTER (snr >= 10) AS vc, count(*) FILTER (abs(x-floor(x))*4.0 <= 2.0) AS cm, round(sum(snr),6) AS ss,
+          round(median(abs(x-floor(x))*4.0),6) AS mo, round(avg(snr)/50.0,6) AS cf FROM det GROUP BY ALL)""",
+        "SELECT object_id, CAST(variant AS BIGINT) AS variant FROM v QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY vc DESC, cm DESC, ss DESC, mo, cf DESC, variant DESC) = 1",
+    ),
     "recovery_report": q(
         DET,
         """b AS (SELECT night, object_id, count(*) AS pf FROM known GROUP BY ALL),

@@ -125,6 +125,20 @@ SQL = {
         row_number() OVER (PARTITION BY kind, vector_id ORDER BY (sv-md)/sc DESC, y, x) AS rank FROM st JOIN m USING (kind, vector_id) JOIN s USING (kind, vector_id)
         WHERE (sv-md)/sc >= 2.5""",
     ),
+    "cumulative_stack": q(
+        PIX,
+        """SELECT frame_id, kind, y, x, count(*) OVER w AS stack_count, round(avg(value) OVER w, 5) AS stack_value FROM pix
+        WINDOW w AS (PARTITION BY kind, y, x ORDER BY frame_id ROWS UNBOUNDED PRECEDING)""",
+    ),
+    "stack_peak": q(
+        PIX,
+        """s AS (SELECT kind, y, x, avg(value) AS v FROM pix GROUP BY ALL),
+        n AS (SELECT * FROM s WHERE abs(x-3.5) <= 2.5 AND abs(y-3.5) <= 2.5),
+        m AS (SELECT kind, median(v) AS md FROM n GROUP BY kind),
+        d AS (SELECT kind, 1.4826*median(abs(v-md)) AS sd FROM n JOIN m USING (kind) GROUP BY kind),
+        p AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY kind ORDER BY v DESC, y, x) = 1)""",
+        "SELECT kind, x, y, round(v,4) AS peak_value, round((v-md)/sd,4) AS snr FROM p JOIN m USING (kind) JOIN d USING (kind)",
+    ),
     "residual_detections": q(
         PIX, RES,
         """m AS (SELECT frame_id, median(value) AS md FROM res GROUP BY ALL),

@@ -17,16 +17,13 @@ OTHER_DESIGNATION_PREFIXES = (
 
 # Normalised filter text -> standard photometric band.
 FILTER_BANDS = {
-    "U": ("u", "johnsonu", "johnson_u"),
-    "B": ("b", "johnsonb", "johnson_b", "tb"),
-    "V": ("v", "johnsonv", "johnson_v", "tg", "cv", "clear", "unfiltered", "l", "lum", "luminance"),
-    "R": ("r", "rc", "r_c", "cousinsr", "cousins_r", "tr", "cr"),
-    "I": ("i", "ic", "i_c", "cousinsi", "cousins_i"),
-    "SU": ("su", "sloanu", "sloan_u"),
-    "SG": ("sg", "sloang", "sloan_g", "g", "gp", "g_prime"),
-    "SR": ("sr", "sloanr", "sloan_r", "rp", "r_prime"),
-    "SI": ("si", "sloani", "sloan_i", "ip", "i_prime"),
-    "SZ": ("sz", "sloanz", "sloan_z", "z", "zp", "z_prime"),
+    "u": "U", "johnsonu": "U", "johnson_u": "U", "b": "B", "johnsonb": "B", "johnson_b": "B", "tb": "B", "v": "V", "johnsonv": "V",
+    "johnson_v": "V", "tg": "V", "cv": "V", "clear": "V", "unfiltered": "V", "l": "V", "lum": "V", "luminance": "V", "r": "R",
+    "rc": "R", "r_c": "R", "cousinsr": "R", "cousins_r": "R", "tr": "R", "cr": "R", "i": "I", "ic": "I", "i_c": "I",
+    "cousinsi": "I", "cousins_i": "I", "su": "SU", "sloanu": "SU", "sloan_u": "SU", "sg": "SG", "sloang": "SG", "sloan_g": "SG",
+    "g": "SG", "gp": "SG", "g_prime": "SG", "sr": "SR", "sloanr": "SR", "sloan_r": "SR", "rp": "SR", "r_prime": "SR", "si": "SI",
+    "sloani": "SI", "sloan_i": "SI", "ip": "SI", "i_prime": "SI", "sz": "SZ", "sloanz": "SZ", "sloan_z": "SZ", "z": "SZ",
+    "zp": "SZ", "z_prime": "SZ",
 }
 
 # Catalog source -> rank when the same band comes from several sources.
@@ -54,7 +51,7 @@ def designation_family(name: Column) -> Column:
 
 
 def photometric_band(filter_name: Column) -> Column:
-    lookup = literal_map({alias: band for band, aliases in FILTER_BANDS.items() for alias in aliases})
+    lookup = literal_map(FILTER_BANDS)
     text = F.regexp_replace(F.regexp_replace(F.lower(F.trim(filter_name)), "[ '′]", ""), "-", "_")
     return F.coalesce(F.try_element_at(lookup, text), F.try_element_at(lookup, F.regexp_replace(text, "_", "")))
 
@@ -65,16 +62,9 @@ def band_source_rank(source: Column) -> Column:
 
 # Archive filter aliases.
 DECK_FILTER_ALIASES = {
-    "L": ("l", "lum", "luminance", "clear"),
-    "R": ("r", "red"),
-    "G": ("g", "green"),
-    "B": ("b", "blue"),
-    "Ha": ("ha", "h-alpha", "halpha", "hα"),
-    "SII": ("sii", "s2"),
-    "OIII": ("oiii", "o3"),
-    "OSC": ("osc",),
-    "RGB": ("rgb",),
-    "LRGB": ("lrgb",),
+    "l": "L", "lum": "L", "luminance": "L", "clear": "L", "r": "R", "red": "R", "g": "G", "green": "G", "b": "B", "blue": "B",
+    "ha": "Ha", "h-alpha": "Ha", "halpha": "Ha", "hα": "Ha", "sii": "SII", "s2": "SII", "oiii": "OIII", "o3": "OIII", "osc": "OSC",
+    "rgb": "RGB", "lrgb": "LRGB",
 }
 
 # Fixed value: type_object_exposure_binning_filter_date-time_sequence in a file stem.
@@ -109,7 +99,7 @@ MASTER_STEMS = ("masterdark", "masterflat", "masterbias", "master_dark", "master
 
 def deck_filter_alias(value: Column) -> Column:
     """Known alias, else the trimmed text, null when empty."""
-    lookup = literal_map({a: name for name, aliases in DECK_FILTER_ALIASES.items() for a in aliases})
+    lookup = literal_map(DECK_FILTER_ALIASES)
     text = F.trim(value)
     return F.when(text != "", F.coalesce(F.try_element_at(lookup, F.lower(text)), text))
 
@@ -133,7 +123,7 @@ def deck_filter(header_filter: Column, path: Column, root: Column, fields: Colum
 
     ``fields`` and ``dirs`` take the already parsed file name and the folders below the root.
     """
-    lookup = literal_map({a: name for name, aliases in DECK_FILTER_ALIASES.items() for a in aliases})
+    lookup = literal_map(DECK_FILTER_ALIASES)
     dirs = path_dirs(below_root(path, root)) if dirs is None else dirs
     named = filename_field(path, 5) if fields is None else field_of(fields, 5)
     hits = F.filter(F.transform(F.reverse(dirs), lambda p: F.try_element_at(lookup, p)), lambda x: x.isNotNull())
@@ -155,9 +145,6 @@ def filename_field(path: Column, group: int) -> Column:
     return let(filename_fields(path), lambda f: field_of(f, group))
 
 
-def filename_date(path: Column) -> Column:
-    return F.try_to_date(filename_field(path, 6), "yyyyMMdd")
-
 
 def header_exposure(header: Column) -> Column:
     """First usable exposure of the known keys: a number, or the leading number of a text, above zero."""

@@ -16,23 +16,18 @@ SERIES = ["source_id", "filter_name"]
 
 # Filter text -> submission filter code.
 FILTER_CODES = {
-    "U": ("u", "johnsonu", "johnson_u"),
-    "B": ("b", "johnsonb", "johnson_b"),
-    "V": ("v", "johnsonv", "johnson_v"),
-    "R": ("r", "rc", "r_c", "cousinsr", "cousins_r"),
-    "I": ("i", "ic", "i_c", "cousinsi", "cousins_i"),
-    "J": ("j",), "H": ("h",), "K": ("k",), "Y": ("y",),
-    "SU": ("su", "sloanu", "sloan_u"), "SG": ("sg", "sloang", "sloan_g"), "SR": ("sr", "sloanr", "sloan_r"),
-    "SI": ("si", "sloani", "sloan_i"), "SZ": ("sz", "sloanz", "sloan_z"),
-    "TB": ("tb",), "TG": ("tg",), "TR": ("tr",), "CV": ("cv", "clear", "unfiltered"), "CR": ("cr",),
-    "HA": ("ha", "h_alpha"), "HAC": ("hac", "h_alpha_continuum"),
-    "STU": ("stu",), "STV": ("stv",), "STB": ("stb",), "STY": ("sty",), "STHBW": ("sthbw",), "STHBN": ("sthbn",),
-    "MA": ("ma",), "MB": ("mb",), "MI": ("mi",),
+    "u": "U", "johnsonu": "U", "johnson_u": "U", "b": "B", "johnsonb": "B", "johnson_b": "B", "v": "V", "johnsonv": "V",
+    "johnson_v": "V", "r": "R", "rc": "R", "r_c": "R", "cousinsr": "R", "cousins_r": "R", "i": "I", "ic": "I", "i_c": "I",
+    "cousinsi": "I", "cousins_i": "I", "j": "J", "h": "H", "k": "K", "y": "Y", "su": "SU", "sloanu": "SU", "sloan_u": "SU",
+    "sg": "SG", "sloang": "SG", "sloan_g": "SG", "sr": "SR", "sloanr": "SR", "sloan_r": "SR", "si": "SI", "sloani": "SI",
+    "sloan_i": "SI", "sz": "SZ", "sloanz": "SZ", "sloan_z": "SZ", "tb": "TB", "tg": "TG", "tr": "TR", "cv": "CV", "clear": "CV",
+    "unfiltered": "CV", "cr": "CR", "ha": "HA", "h_alpha": "HA", "hac": "HAC", "h_alpha_continuum": "HAC", "stu": "STU",
+    "stv": "STV", "stb": "STB", "sty": "STY", "sthbw": "STHBW", "sthbn": "STHBN", "ma": "MA", "mb": "MB", "mi": "MI",
 }
 
 
 def filter_code(filter_name: Column) -> Column:
-    lookup = literal_map({a: code for code, aliases in FILTER_CODES.items() for a in aliases})
+    lookup = literal_map(FILTER_CODES)
     text = F.regexp_replace(F.regexp_replace(F.lower(F.trim(filter_name)), " ", ""), "-", "_")
     return F.coalesce(F.try_element_at(lookup, text), F.lit("O"))
 

@@ -152,6 +152,16 @@ def observation_orbit(spark, d):
     return rounded(ar.orbit_rollup(ar.observation_orbit(days, weekly_after_years=3.0)), 6, exposure_seconds=3)
 
 
+def longest_night(spark, d):
+    out = ar.longest_night(ar.observation_days(_lights(spark, d)))
+    return rounded(out.withColumn("longest_night_date", F.col("longest_night_date").cast("string")), 3)
+
+
+def library_without_root(spark, d):
+    kept = ar.remove_root(_inventory(spark, d), "/data/mirror")
+    return kept.select("path", "root_path", "kind")
+
+
 def timing_summary(spark, d):
     return rounded(ar.timing_summary(si.table(spark, d, "events"), ["event_type", "user_id"], "value"), 6)
 
@@ -161,5 +171,6 @@ QUERIES = {
     for f in (
         frame_inventory, deck_scan, deck_merge, frame_groups, frame_batches, incremental_reuse, designation_filter, band_normalize,
         filter_alias, filename_parse, timestamp_parse, image_kind, deck_stats, observation_map, observation_orbit, timing_summary,
+        longest_night, library_without_root,
     )
 }

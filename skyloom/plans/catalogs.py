@@ -276,6 +276,25 @@ def reference_ranking(spark, d):
     return rounded(rank(m, tolerance=0.75, pool=8, near_saturated=near_saturated()), 6)
 
 
+def stamp_bands(spark, d):
+    m = si.raw_measurements(spark, d)
+    per = m.select("source_id", "source_no", "catalog_magnitude").distinct()
+    v = per.where(F.col("source_no") % 7 != 0).select("source_id", F.lit("V").alias("band"), (F.col("catalog_magnitude") + 0.05).alias("mag"), F.lit(0.01).alias("error"), F.lit("apass").alias("band_source"))
+    b = per.where(F.col("source_no") % 3 != 0).select("source_id", F.lit("B").alias("band"), (F.col("catalog_magnitude") + 0.6).alias("mag"), F.lit(0.02).alias("error"), F.lit("vsp").alias("band_source"))
+    out = ct.stamp_bands(m, v.unionByName(b))
+    at = lambda band, f: F.try_element_at("band_magnitudes", F.lit(band))[f]
+    return rounded(out.select("file_path", "filter_name", "source_id", at("V", "mag").alias("v_mag"), at("B", "mag").alias("b_mag"), at("B", "band_source").alias("b_source")), 5)
+
+
+def folder_match(spark, d):
+    """Stars kept because the folder of their object names them."""
+    k = F.col("c_custkey")
+    text = F.lower(F.regexp_replace("c_name", "#0*", " "))
+    folder = F.when(k % 5 == 0, text).when(k % 5 == 1, F.concat(text, F.lit(" V band"))).when(k % 5 == 2, F.lit("Customer")).when(k % 5 == 3, F.lit("other field")).otherwise(F.lit(""))
+    c = si.table(spark, d, "customer").select(k.alias("source_no"), F.regexp_replace("c_name", "#0*", "-").alias("name"), folder.alias("folder"))
+    return c.withColumn("kept", ct.folder_match(F.col("name"), F.col("folder")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -283,6 +302,6 @@ QUERIES = {
         catalog_union, magnitude_filter, object_type, designation_keys, preferred_identifier, variable_candidates, brightest,
         comparison_candidates, comparison_sets, catalog_search, distance_map, cluster_distance, catalog_dedupe, entity_resolution,
         layer_summary, prediction_merge, cluster_match, adu_screen, mag_error, ccd_flux_error, error_budget, phase_fold, hr_diagram,
-        moonlight_score, reference_ranking,
+        moonlight_score, reference_ranking, stamp_bands, folder_match,
     )
 }

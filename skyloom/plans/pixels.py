@@ -99,10 +99,20 @@ def streaks(spark, d):
     return rounded(out, 4)
 
 
+def cumulative_stack(spark, d):
+    out = px.cumulative_stack(_pixels(spark, d).withColumn("frame_index", F.col("frame_id")), "kind")
+    return rounded(out.select("frame_id", "kind", "y", "x", "stack_count", "stack_value"), 5)
+
+
+def stack_peak(spark, d):
+    stack = _pixels(spark, d).groupBy("kind", "y", "x").agg(F.avg("value").alias("stack_value"))
+    return rounded(px.stack_peak(stack, ["kind"], "stack_value", F.lit(3.5), F.lit(3.5), 2.5), 4)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         master_frames, calibrate, pixel_bin, tile_stats, region_snr, aperture_photometry, hr_planes, frame_fwhm, tracked_stack, shift_stack_sweep,
-        residual_detections, streaks,
+        residual_detections, streaks, cumulative_stack, stack_peak,
     )
 }
