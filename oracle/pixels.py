@@ -46,10 +46,17 @@ SQL = {
     "master_frames": q(PIX, "SELECT kind, y, x, count(*) AS frame_count, round(median(value),6) AS master FROM pix GROUP BY ALL"),
     "calibrate": q(
         PIX,
-        """ms AS (SELECT kind, y, x, median(value*CASE kind WHEN 0 THEN 0.1 WHEN 1 THEN 0.2 ELSE 10.0 END) AS m FROM pix WHERE kind < 3 GROUP BY ALL),
-        j AS (SELECT b.y, b.x, b.m AS b, d.m AS d, f.m - b.m - d.m*0.5 AS fv FROM ms b JOIN ms d USING (y, x) JOIN ms f USING (y, x) WHERE b.kind=0 AND d.kind=1 AND f.kind=2),
-        md AS (SELECT median(fv) FILTER (fv > 0) AS m FROM j)""",
-        """SELECT frame_id, y, x, round((value - b - d*0.5)/CASE WHEN fv/m > 1e-6 THEN fv/m ELSE 1 END,6) AS value FROM pix JOIN j USING (y, x) CROSS JOIN md WHERE kind > 2""",
+        """pe AS (SELECT *, frame_id%2 AS camera, CASE kind WHEN 1 THEN 60.0::DOUBLE + frame_id%3*60 WHEN 2 THEN 20.0::DOUBLE ELSE 30.0::DOUBLE + frame_id%7*40 END AS ex FROM pix),
+        bi AS (SELECT camera, y, x, median(value*0.1) AS b FROM pe WHERE kind=0 GROUP BY ALL),
+        da AS (SELECT camera, ex AS dx, y, x, median(value*0.2) AS d FROM pe WHERE kind=1 GROUP BY ALL),
+        fl AS (SELECT camera, ex, y, x, median(value*10.0) AS f FROM pe WHERE kind=2 GROUP BY ALL),
+        de AS (SELECT DISTINCT camera, dx FROM da), ee AS (SELECT DISTINCT camera, ex FROM pe WHERE kind >= 2),
+        ch AS (SELECT camera, ex, dx, CASE WHEN camera=0 THEN ex/dx ELSE 1.0 END AS sc FROM ee JOIN de USING (camera)
+          QUALIFY row_number() OVER (PARTITION BY camera, ex ORDER BY abs(dx-ex), dx) = 1),
+        fv AS (SELECT camera, y, x, f - b - d*sc AS v FROM fl JOIN bi USING (camera, y, x) JOIN ch USING (camera, ex) JOIN da USING (camera, dx, y, x)),
+        md AS (SELECT camera, median(v) FILTER (v > 0) AS m FROM fv GROUP BY camera)""",
+        """SELECT frame_id, y, x, round((value - b - d*sc)/CASE WHEN v/m > 1e-6 THEN v/m ELSE 1 END,6) AS value FROM pe JOIN ch USING (camera, ex) JOIN da USING (camera, dx, y, x)
+        JOIN bi USING (camera, y, x) JOIN fv USING (camera, y, x) JOIN md USING (camera) WHERE kind > 2""",
     ),
     "pixel_bin": q(PIX, "SELECT frame_id, y//3 AS y, x//3 AS x, round(avg(value),6) AS value, count(*) AS pixel_count FROM pix GROUP BY frame_id, y//3, x//3 HAVING count(*)=9"),
     "tile_stats": q(

@@ -22,31 +22,51 @@ def master_frames(pixels: DataFrame, keys: list[str], fits: bool | None = None)
     return attach(count, group_quantiles(pixels, at, F.col("value"), {"master": 0.5}, fits), at)
 
 
-def normalized_flat(flat: DataFrame, bias: DataFrame, dark: DataFrame, dark_scale: float) -> DataFrame:
-    """(flat - bias - scaled dark) over the median of its positive pixels; unusable pixels become 1."""
-    j = flat.select("y", "x", F.col("master").alias("f")).join(bias.select("y", "x", F.col("master").alias("b")), ["y", "x"], "left").join(
-        dark.select("y", "x", F.col("master").alias("d")), ["y", "x"], "left"
+def normalized_flat(flat: DataFrame, bias: DataFrame, dark: DataFrame, keys: list[str]) -> DataFrame:
+    """(flat - bias - scaled dark) over the median of its positive pixels per key; single unusable pixels become 1.
+
+    ``flat`` and ``dark`` carry ``exposure_seconds``, ``dark`` also ``bias_corrected``. A flat of any key without a
+    positive pixel is an error.
+    """
+    at = [*keys, "y", "x"]
+    chosen = chosen_dark(flat.select(*keys, "exposure_seconds").distinct(), dark, keys)
+    d = chosen.join(dark.select(*at, F.col("exposure_seconds").alias("dark_exposure"), F.col("master").alias("d")), [*keys, "dark_exposure"])
+    j = flat.select(*at, "exposure_seconds", F.col("master").alias("f")).join(bias.select(*at, F.col("master").alias("b")), at, "left").join(
+        d, [*at, "exposure_seconds"], "left"
     )
-    corrected = F.col("f") - F.coalesce("b", F.lit(0.0)) - F.coalesce("d", F.lit(0.0)) * dark_scale
-    rows = j.select("y", "x", corrected.alias("v"), F.lit(1).alias("one"))
-    middle = group_quantiles(rows.where(F.col("v") > 0), ["one"], F.col("v"), {"m": 0.5}).first()
-    level = middle["m"] if middle else None
-    ratio = F.col("v") / F.lit(level) if level else F.lit(None).cast("double")
-    return rows.select("y", "x", F.when(n.finite(ratio) & (ratio > 1e-6), ratio).otherwise(F.lit(1.0)).alias("flat"))
+    corrected = F.col("f") - F.coalesce("b", F.lit(0.0)) - F.coalesce("d", F.lit(0.0)) * F.coalesce("scale", F.lit(1.0))
+    rows = j.select(*at, corrected.alias("v"))
+    level = group_quantiles(rows.where(F.col("v") > 0), keys, F.col("v"), {"m": 0.5})
+    rows = attach(rows, level, keys)
+    ratio = F.when(F.col("m").isNull(), F.raise_error(F.lit("a flat has no positive pixel")).cast("double")).otherwise(F.col("v") / F.col("m"))
+    return rows.withColumn("r", ratio).select(*at, F.when(n.finite("r") & (F.col("r") > 1e-6), F.col("r")).otherwise(F.lit(1.0)).alias("flat"))
 
 
-def dark_scale(light_exposure: float | None, dark_exposure: float | None, bias_corrected: bool) -> float:
+def dark_scale(exposure: Column, dark_exposure: Column, bias_corrected: Column) -> Column:
     """Exposure ratio of a bias-corrected dark; an uncorrected dark is never scaled."""
-    if not bias_corrected or not light_exposure or not dark_exposure:
-        return 1.0
-    return light_exposure / dark_exposure
+    return F.when(bias_corrected & (exposure > 0) & (dark_exposure > 0), exposure / dark_exposure).otherwise(F.lit(1.0))
 
 
-def calibrate(lights: DataFrame, bias: DataFrame, dark: DataFrame, flat: DataFrame, scale: float) -> DataFrame:
-    """(light - bias - scaled dark) / flat; a pixel that is not finite becomes 0."""
-    m = bias.select("y", "x", F.col("master").alias("b")).join(dark.select("y", "x", F.col("master").alias("d")), ["y", "x"], "full_outer").join(flat, ["y", "x"], "full_outer")
-    v = n.ratio(F.col("value") - F.coalesce("b", F.lit(0.0)) - F.coalesce("d", F.lit(0.0)) * scale, F.coalesce("flat", F.lit(1.0)))
-    return lights.join(m, ["y", "x"], "left").select("frame_id", "y", "x", F.when(n.finite(v), v).otherwise(F.lit(0.0)).alias("value"))
+def chosen_dark(frames: DataFrame, dark: DataFrame, keys: list[str]) -> DataFrame:
+    """For every key and exposure of ``frames`` the dark of nearest exposure (ties: the shorter) and its scale."""
+    kinds = dark.groupBy(*keys, F.col("exposure_seconds").alias("dark_exposure")).agg(F.min("bias_corrected").alias("bias_corrected"))
+    wanted = frames.select(*keys, "exposure_seconds").distinct()
+    order = F.struct(F.abs(F.col("dark_exposure") - F.col("exposure_seconds")), F.col("dark_exposure"))
+    near = wanted.join(kinds, keys).groupBy(*keys, "exposure_seconds").agg(F.min_by(F.struct("dark_exposure", "bias_corrected"), order).alias("k"))
+    near = near.select(*keys, "exposure_seconds", "k.*")
+    return near.withColumn("scale", dark_scale(F.col("exposure_seconds"), F.col("dark_exposure"), F.col("bias_corrected"))).drop("bias_corrected")
+
+
+def calibrate(lights: DataFrame, bias: DataFrame, dark: DataFrame, flat: DataFrame, keys: list[str]) -> DataFrame:
+    """(light - bias - scaled dark) / flat with the masters of the frame's key and the dark of nearest exposure, scaled for
+    each frame's own exposure; a pixel that is not finite becomes 0."""
+    at = [*keys, "y", "x"]
+    chosen = chosen_dark(lights.select(*keys, "exposure_seconds").distinct(), dark, keys)
+    d = dark.select(*at, F.col("exposure_seconds").alias("dark_exposure"), F.col("master").alias("d"))
+    j = lights.join(chosen, [*keys, "exposure_seconds"], "left").join(d, [*at, "dark_exposure"], "left")
+    j = j.join(bias.select(*at, F.col("master").alias("b")), at, "left").join(flat.select(*at, "flat"), at, "left")
+    v = n.ratio(F.col("value") - F.coalesce("b", F.lit(0.0)) - F.coalesce("d", F.lit(0.0)) * F.coalesce("scale", F.lit(1.0)), F.coalesce("flat", F.lit(1.0)))
+    return j.select("frame_id", "y", "x", F.when(n.finite(v), v).otherwise(F.lit(0.0)).alias("value"))
 
 
 def pixel_bin(pixels: DataFrame, factor: int) -> DataFrame:

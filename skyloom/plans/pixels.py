@@ -31,11 +31,12 @@ def master_frames(spark, d):
 
 
 def calibrate(spark, d):
-    p = _pixels(spark, d)
-    master = lambda k: px.master_frames(p.where(F.col("kind") == k).withColumn("value", F.col("value") * {0: 0.1, 1: 0.2, 2: 10.0}[k]), ["kind"])
-    bias, dark, flat = master(0), master(1), master(2)
-    scale = px.dark_scale(60.0, 120.0, True)
-    return rounded(px.calibrate(p.where(F.col("kind") > 2), bias, dark, px.normalized_flat(flat, bias, dark, scale), scale))
+    k = F.col("frame_id")
+    p = _pixels(spark, d).withColumn("camera", k % 2).withColumn("exposure_seconds", F.when(F.col("kind") == 1, F.lit(60.0) + k % 3 * 60).when(F.col("kind") == 2, F.lit(20.0)).otherwise(F.lit(30.0) + k % 7 * 40))
+    of = lambda kind, factor: p.where(F.col("kind") == kind).withColumn("value", F.col("value") * factor)
+    bias, flat = px.master_frames(of(0, 0.1), ["camera"]), px.master_frames(of(2, 10.0), ["camera", "exposure_seconds"])
+    dark = px.master_frames(of(1, 0.2), ["camera", "exposure_seconds"]).withColumn("bias_corrected", F.col("camera") == 0)
+    return rounded(px.calibrate(p.where(F.col("kind") > 2), bias, dark, px.normalized_flat(flat, bias, dark, ["camera"]), ["camera"]))
 
 
 def pixel_bin(spark, d):

@@ -322,3 +322,19 @@ def test_filter_folder_below_the_root(spark):
     df = spark.createDataFrame(rows, "path string, root string")
     got = [r["f"] for r in df.select(names.deck_filter(F.lit(None).cast("string"), F.col("path"), F.col("root")).alias("f")).collect()]
     assert got == [None, "B"]
+
+
+def test_dark_is_scaled_for_each_frame(spark):
+    at = "camera string, y long, x long"
+    bias = spark.createDataFrame([("a", 0, 0, 10.0), ("b", 0, 0, 10.0)], f"{at}, master double")
+    dark = spark.createDataFrame([("a", 60.0, True, 0, 0, 6.0), ("a", 300.0, True, 0, 0, 30.0), ("b", 60.0, False, 0, 0, 6.0)], "camera string, exposure_seconds double, bias_corrected boolean, y long, x long, master double")
+    flat = spark.createDataFrame([("a", 0, 0, 2.0), ("b", 0, 0, 1.0)], f"{at}, flat double")
+    lights = spark.createDataFrame(
+        [(1, "a", 30.0, 0, 0, 113.0), (2, "a", 120.0, 0, 0, 122.0), (3, "a", 290.0, 0, 0, 139.0), (4, "b", 30.0, 0, 0, 116.0)],
+        "frame_id long, camera string, exposure_seconds double, y long, x long, value double",
+    )
+    got = {r["frame_id"]: round(r["value"], 6) for r in px.calibrate(lights, bias, dark, flat, ["camera"]).collect()}
+    assert got == {1: 50.0, 2: 50.0, 3: 50.0, 4: 100.0}
+    level = px.normalized_flat(flat.select("camera", F.lit(1.0).alias("exposure_seconds"), "y", "x", F.lit(-5.0).alias("master")), bias, dark, ["camera"])
+    with pytest.raises(Exception, match="no positive pixel"):
+        level.collect()
