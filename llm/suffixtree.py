@@ -35,8 +35,8 @@ DEPTH = 2
 #: Nats by which a context must pay for itself, and training occurrences it needs.
 GAIN = 1.0
 LEAST = 2
-#: Text of one block; about 15 times as much memory is used for it.
-BLOCK_BYTES = 20 << 20
+#: Text of one block; about 20 times as much memory is used for it.
+BLOCK_BYTES = 8 << 20
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _END = np.uint64(int.from_bytes(hashlib.blake2b(b"end of text", digest_size=8, person=b"end").digest(), "little"))
@@ -101,7 +101,7 @@ class Block:
             usable = np.flatnonzero(depth >= k)
             own = string[usable] if k == 0 else string[usable] & mask
             unique, first, inverse = np.unique(own, return_index=True, return_inverse=True)
-            at = np.full(len(word), -1, dtype=np.int64)
+            at = np.full(len(word), -1, dtype=np.int32)
             at[usable] = inverse
             self.unique.append(unique)
             self.first.append(usable[first])
