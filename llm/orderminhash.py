@@ -256,11 +256,21 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         near = (F.least("m", "n_words") >= F.lit(SIMILARITY) * F.greatest("m", "n_words") - 1e-6)
         after = (F.col("o.order") > F.col("h.order")) | ((F.col("o.order") == F.col("h.order")) & (F.col("node") > F.col("leader")))
         met = open_.alias("o").join(head.alias("h"), ["band", "value"]).where(after & near & (agreeing() >= SHARED))
-        pairs = met.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        wanted = cut(pairs)
-        good = cut(_verified(wanted, texts).where("ok").select("a", "b"))
+        slim = stored(met.select("band", "value", "node", "leader", F.col("h.order").alias("first")), "met")
+        # Every member is aligned with its first leader; a pair whose ends then share that leader is connected already.
+        start = cut(slim.groupBy("node").agg(F.min_by("leader", F.struct("first", "leader")).alias("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")))
+        one = cut(_verified(start, texts).where("ok").select("a", "b"))
+        root = lambda name: one.select(F.col("b").alias(name), F.col("a").alias(f"{name}_root"))
+        rooted = slim.join(root("node"), "node", "left").join(root("leader"), "leader", "left")
+        same = F.coalesce("node_root", "node") == F.coalesce("leader_root", "leader")
+        rooted = cut(rooted.select("band", "value", "node", "leader", same.alias("same")))
+        rest_pairs = rooted.where(~F.col("same")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+        wanted = cut(rest_pairs.join(start.select("a", "b"), ["a", "b"], "left_anti"))
+        two = cut(_verified(wanted, texts).where("ok").select("a", "b"))
+        good = one.union(two)
         links = good if links is None else links.union(good)
-        done = met.select("band", "value", "node", "leader").join(good, (F.col("leader") == F.col("a")) & (F.col("node") == F.col("b")))
+        known = two.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.lit(True).alias("linked"))
+        done = rooted.join(known, ["leader", "node"], "left").where(F.col("same") | F.coalesce("linked", F.lit(False)))
         gone = done.select("band", "value", "node").union(head.select("band", "value", F.col("leader").alias("node"))).distinct()
         rest = open_.join(gone, ["band", "value", "node"], "left_anti")
         several = rest.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
