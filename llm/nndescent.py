@@ -4,11 +4,15 @@
 2. Neighbour lists start from cells of random hyperplanes (large cells are split by hash) and are refined: every node
    compares its neighbours and reverse neighbours with each other, and each of them keeps its best. Lists that hold only
    links are saturated and grow. Rounds end when few entries change.
-3. A hashed sample of vectors is compared with all rows of its label in blocks: the audit. Too low a recall starts
-   further rounds with longer lists.
-4. Threshold edges give components. Links are then counted exactly inside every component: members are put in cells by
-   their angle to a pivot, and the triangle inequality settles most pairs of cells without looking at vectors; only the
-   others are multiplied out, cell by cell in double precision. Pairs are never emitted.
+3. Threshold edges give components. A list that once was full of links may have pushed out others, so crowded nodes
+   (``K`` links or more) of different components are compared exactly: cells by the angle to a pivot, of which only those
+   that the triangle inequality leaves open are multiplied out, and one edge of each joins its components.
+4. A hashed sample of vectors (with links, nearly with links, any) is compared with all rows of its label in blocks: the
+   audit, after every list length. Too low a recall starts further rounds with longer lists; where those are at
+   ``K_MOST`` already, all nodes are compared exactly as in 3.
+5. Links are then counted exactly inside every component by the same cells: the triangle inequality settles most pairs
+   of cells without looking at vectors; only the others are multiplied out, cell by cell in double precision. Pairs are
+   never emitted.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite numbers, and rows with a null label, link
 with nothing (n_links 0, component their own vec_id); equal rows link with each other; a vec_id may be null or repeated;
@@ -38,8 +42,12 @@ CELL = 96
 ROUNDS = 6
 CHANGED = 0.002
 AUDIT = 200
+#: Below the threshold by this much, a best neighbour still makes a node one of the audit's second sample.
+NEAR = 0.1
 RECALL = 0.99
 BLOCK = 512
+#: Pivots compared with each other in one task.
+PIVOTS = 4096
 BIN_DEGREES = 2.0
 SEED = 77
 
@@ -169,26 +177,92 @@ def _round(vectors: DataFrame, lists: DataFrame, turn: int, most: int) -> DataFr
     return cut(_kept(entries, state.select("node", "limit"), most))
 
 
-def _audit(vectors: DataFrame, component: DataFrame) -> float:
-    """Share of the true links of a hashed sample that lie inside one component (the sample against all rows)."""
-    sample = vectors.orderBy(F.xxhash64(F.lit(SEED), "node")).limit(AUDIT).select("node", "group", "x").collect()
-    by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def _audit(vectors: DataFrame, component: DataFrame, lists: DataFrame) -> float:
+    """Share of true links that lie inside one component, over all links or as a mean over nodes (the smaller one).
+
+    Three hashed samples are compared with all rows: nodes with a link in their list, nodes that nearly have one, others.
+    """
+    best = lists.groupBy("node").agg(F.max("cosine").alias("best"))
+    level = F.when(F.col("best") >= COSINE, 0).when(F.col("best") >= COSINE - NEAR, 1).otherwise(2)
+    placed = vectors.select("node", "group", "x").join(component, "node")
+    levelled = vectors.select("node").join(best, "node", "left").select("node", level.alias("level"))
+    chosen = [levelled.where(F.col("level") == n).orderBy(F.xxhash64(F.lit(SEED), "node")).limit(AUDIT).select("node") for n in range(3)]
+    sample = placed.join(chosen[0].union(chosen[1]).union(chosen[2]), "node").collect()
+    by: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     for g in {r["group"] for r in sample}:
         own = [r for r in sample if r["group"] == g]
-        by[g] = np.array([r["node"] for r in own]), np.stack([np.frombuffer(r["x"]) for r in own])
+        by[g] = np.array([r["node"] for r in own]), np.array([r["component"] for r in own]), np.stack([np.frombuffer(r["x"]) for r in own])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for g, own in part.groupby("group"):
                 if g in by:
-                    query, x = by[g]
-                    i, j = np.nonzero(x @ _matrix(own["x"]).T >= COSINE)
-                    yield pd.DataFrame({"a": query[i], "b": own["node"].to_numpy()[j]})
-
-    true = vectors.select("node", "group", "x").mapInPandas(run, "a bigint, b bigint").where("a != b")
-    a, b = (component.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
-    row = true.join(a, "a").join(b, "b").agg(F.count(F.lit(1)), F.sum((F.col("ca") == F.col("cb")).cast("long"))).first()
-    return row[1] / row[0] if row[0] else 1.0
+                    query, named, x = by[g]
+                    true = x @ _matrix(own["x"]).T >= COSINE
+                    true &= query[:, None] != own["node"].to_numpy()[None, :]
+                    inside = true & (named[:, None] == own["component"].to_numpy()[None, :])
+                    yield pd.DataFrame({"node": query, "n": true.sum(1), "inside": inside.sum(1)})
+
+    counted = placed.mapInPandas(run, "node bigint, n bigint, inside bigint").groupBy("node").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"))
+    rows = [(r["n"], r["inside"]) for r in counted.where("n > 0").collect()]
+    if not rows:
+        return 1.0
+    return min(sum(i for _, i in rows) / sum(t for t, _ in rows), sum(i / t for t, i in rows) / len(rows))
+
+
+def _pivot_pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of components whose balls around their pivots come as near as a link reaches."""
+    limit = float(np.degrees(np.arccos(COSINE))) + 1e-3
+    found = []
+    y, wide, name = _matrix(right["p"]), right["high"].to_numpy(), right["component"].to_numpy()
+    for start in range(0, len(left), BLOCK):
+        part = left.iloc[start : start + BLOCK]
+        own = part["component"].to_numpy()
+        apart = np.degrees(np.arccos(np.clip(_matrix(part["p"]) @ y.T, -1, 1)))
+        i, j = np.nonzero((apart <= part["high"].to_numpy()[:, None] + wide[None, :] + limit) & (own[:, None] < name[None, :]))
+        found.append(pd.DataFrame({"a": own[i], "b": name[j], "apart": apart[i, j]}))
+    return pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "apart": []})
+
+
+def _first_link(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """The components of two cells as an edge if any of their vectors link."""
+    none = pd.DataFrame({"a": [], "b": []})
+    if left.empty or right.empty or not (_matrix(left["x"]) @ _matrix(right["x"]).T >= COSINE).any():
+        return none
+    return pd.DataFrame({"a": [left["component"].iloc[0]], "b": [right["component"].iloc[0]]})
+
+
+def across_components(vectors: DataFrame, component: DataFrame, crowded: DataFrame) -> DataFrame:
+    """``node, component`` after all links between crowded nodes of different components, found exactly."""
+    member = vectors.select("node", "group", "copies", "x").join(component, "node").join(crowded, "node")
+    celled, cells = _celled(member)
+    reach = celled.groupBy("component").agg(F.max("angle").alias("high"))
+    pivot = _pivots(member).join(reach, "component")
+    shares = cut(pivot.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / PIVOTS).alias("parts")))
+    block = F.xxhash64("group", F.pmod(F.xxhash64("component"), F.col("parts")))
+    parted = stored(pivot.join(shares, "group").select("group", block.alias("block"), "component", "p", "high"), "pivots")
+    blocks = cut(parted.select("group", "block").distinct())
+    two = cut(blocks.select("group", F.col("block").alias("one")).join(blocks.select("group", F.col("block").alias("two")), "group").select("one", "two"))
+    left = two.join(parted, F.col("one") == F.col("block")).select("one", "two", "component", "p", "high")
+    right = _renamed(two.join(parted, F.col("two") == F.col("block")).select(F.col("one").alias("from"), F.col("two").alias("to"), "component", "p", "high"))
+    near = cut(cut(left).groupBy("one", "two").cogroup(right.groupBy("from", "to")).applyInPandas(_pivot_pairs, "a bigint, b bigint, apart double"))
+    if near.isEmpty():
+        return component
+    limit = float(np.degrees(np.arccos(COSINE))) + 1e-3
+    a, b = (cells.select(F.col("component").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("cell", "low", "high")]) for s in "ab")
+    open_ = near.join(a, "a").join(b, "b").where(
+        (F.col("apart") - F.col("high_a") - F.col("high_b") <= limit)
+        & (F.col("low_a") - F.col("apart") - F.col("high_b") <= limit)
+        & (F.col("low_b") - F.col("apart") - F.col("high_a") <= limit)
+    )
+    open_ = cut(open_.select("cell_a", "cell_b"))
+    left = celled.join(open_, F.col("cell") == F.col("cell_a")).select("cell_a", "cell_b", "component", "x")
+    right = _renamed(celled.join(open_, F.col("cell") == F.col("cell_b")).select(F.col("cell_a").alias("one"), F.col("cell_b").alias("two"), "component", "x"))
+    edges = cut(cut(left).groupBy("cell_a", "cell_b").cogroup(right.groupBy("one", "two")).applyInPandas(_first_link, "a bigint, b bigint").distinct())
+    if edges.isEmpty():
+        return component
+    joined = connected_components(component.select(F.col("component").alias("before")).distinct(), edges, "before")
+    return cut(component.select("node", F.col("component").alias("before")).join(joined, "before").select("node", "component"))
 
 
 def neighbour_components(vectors: DataFrame) -> DataFrame:
@@ -205,8 +279,12 @@ def neighbour_components(vectors: DataFrame) -> DataFrame:
                 break
         edges = lists.where(F.col("cosine") >= COSINE - 1e-4).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         component = cut(connected_components(vectors, _checked(edges, vectors), "node"))
-        if most >= K_MOST or _audit(vectors, component) >= RECALL:
+        links = lists.where(F.col("cosine") >= COSINE - 1e-4).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+        component = across_components(vectors, component, cut(links.where(F.col("n") >= K).select("node")))
+        if _audit(vectors, component, lists) >= RECALL:
             return component
+        if most >= K_MOST:
+            return across_components(vectors, component, vectors.select("node"))
         most *= 2
         lists = cut(lists.withColumn("limit", F.greatest("limit", F.lit(most))).withColumn("new", F.lit(True)))
 
@@ -235,11 +313,15 @@ def _block_counts(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": left["node"], "n": linked @ weight})
 
 
-def count_links(vectors: DataFrame, component: DataFrame) -> DataFrame:
-    """``node, n_links``: vectors of the same component at the threshold or above, copies counted."""
-    sized = component.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    member = vectors.join(component.join(sized, "component"), "node")
-    pivot = member.where("node = component").select("component", F.col("x").alias("p"))
+def _pivots(member: DataFrame) -> DataFrame:
+    """``group, component, p``: the vector of each component's smallest member."""
+    return member.groupBy("component").agg(F.first("group").alias("group"), F.min_by("x", "node").alias("p"))
+
+
+def _celled(member: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members with ``angle`` (to the pivot of their component) and ``cell``, and the cells with ``low, high, mass``."""
+    sized = member.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    pivot = _pivots(member).select("component", "p")
 
     def angles(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -259,7 +341,13 @@ def count_links(vectors: DataFrame, component: DataFrame) -> DataFrame:
     parts = cut(placed.groupBy("component", "bin").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")))
     celled = placed.join(parts, ["component", "bin"]).withColumn("cell", F.xxhash64("component", "bin", F.pmod(F.xxhash64("node"), F.col("parts")))).drop("parts")
     celled = stored(celled, "cells")
-    cells = cut(celled.groupBy("component", "cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.sum("copies").alias("mass")))
+    return celled, cut(celled.groupBy("component", "cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.sum("copies").alias("mass")))
+
+
+def count_links(vectors: DataFrame, component: DataFrame) -> DataFrame:
+    """``node, n_links``: vectors of the same component at the threshold or above, copies counted."""
+    sized = component.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    celled, cells = _celled(vectors.join(component.join(sized.select("component"), "component"), "node"))
     limit, slack = float(np.degrees(np.arccos(COSINE))), 1e-3
     a, b = (cells.select("component", *[F.col(c).alias(f"{c}_{s}") for c in ("cell", "low", "high", "mass")]) for s in "ab")
     pairs = cut(a.join(b, "component").where((F.col("low_b") - F.col("high_a") <= limit + slack) & (F.col("low_a") - F.col("high_b") <= limit + slack)))

@@ -49,3 +49,37 @@ def test_empty_and_single(spark):
     assert nndescent.near_duplicate_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
     one = nndescent.near_duplicate_vectors(spark.createDataFrame([(4, [1.0, 0.0], 2, "x")], SCHEMA)).first()
     assert (one["n_links"], one["component_id"], one["kept"]) == (0, 4, True)
+
+
+def test_full_lists_lose_no_link_between_groups(spark):
+    rng = np.random.default_rng(8)
+
+    def group(center, n, first):
+        """Vectors at 0.995 of the center, so that members are nearer to each other than to the other group."""
+        out = []
+        for k in range(n):
+            side = rng.normal(size=32)
+            side[:2] = 0
+            v = 0.995 * center + np.sqrt(1 - 0.995**2) * side / np.linalg.norm(side)
+            out.append((first + k, v.tolist(), 1, "x"))
+        return out
+
+    one, two = np.eye(32)[0], np.zeros(32)
+    two[:2] = 0.95, np.sqrt(1 - 0.95**2)
+    rows = group(one, 70, 0) + group(two, 70, 1000)
+    got = nndescent.near_duplicate_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = brute(rows)
+    assert {c for _, _, c in want} == {0}
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=str) == want
+
+
+def test_audit_sees_rare_links(spark):
+    """A lone link among many vectors without one, split by its components."""
+    rng = np.random.default_rng(9)
+    rows = [(k, rng.normal(size=16).tolist(), 1, "x") for k in range(1500)]
+    rows.append((9000, (np.array(rows[4][1]) + 0.01 * rng.normal(size=16)).tolist(), 1, "x"))
+    units = nndescent._signed(nndescent.nodes_of(spark.createDataFrame(rows, SCHEMA).select("vec_id", "embedding", "label"))).cache()
+    node = {r["vec_id"]: r["node"] for r in units.select("vec_id", "node").collect()}
+    lists = spark.createDataFrame([(node[4], node[9000], 0.99), (node[9000], node[4], 0.99)], "node long, other long, cosine double")
+    apart = units.selectExpr("node", "node AS component")
+    assert nndescent._audit(units, apart, lists) < nndescent.RECALL
