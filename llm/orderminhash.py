@@ -7,8 +7,10 @@ candidates. That favours documents with the same shingles in the same order, tha
 
 Equal word sequences collapse to one node first. Inside a band's bucket a leader is compared with the other members;
 those that do not align with it go to the next round with new leaders, until every member has aligned or has been
-a leader: no member is dropped. A link is ``1 - edit distance / longer length >= 0.8`` in words, exactly computed.
-Connected nodes are one class, named by its smallest doc_id.
+a leader. Then all candidates of a bucket that lie in different components are aligned too, most alike first and until
+none is left, so that no link of a bucket is lost where its ends do not align with the same leader. A link is
+``1 - edit distance / longer length >= 0.8`` in words, exactly computed. Connected nodes are one class, named by its
+smallest doc_id.
 
 Defined results: a null text and an empty one is alone (class is its own id); a text without words counts as one word;
 fewer than five words make one shingle; equal rows share a class; rows with a null doc_id take part and get the class
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from llm.common import cut, row_keys, small_batches, stored
@@ -39,6 +41,8 @@ BANDS = 64
 SHARED = 3
 #: Members without a leader are compared with this many leaders at once after the first round.
 LEADERS = 256
+#: Pairs of two components aligned in the first closing round; each later round takes so many times more.
+CLOSING = 8
 PAIRS_PER_TASK = 256
 REMEMBERED = 300_000
 #: Shingles hashed together.
@@ -219,7 +223,7 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified links ``a, b`` that connect all members of every bucket that align with a leader."""
+    """Verified links ``a, b`` that connect all candidates of every bucket that align."""
     bands = F.array(*[F.xxhash64(F.lit(b), F.col("sketch")[i], F.col("sketch")[j]) for b, (i, j) in enumerate(_PAIRS)])
     member = nodes.select("node", F.posexplode(bands).alias("band", "value"))
     buckets = member.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -242,7 +246,7 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
             total = total + LANES - F.bit_count((apart + F.lit(ones)).bitwiseAND(F.lit(tops)))
         return total
 
-    links, leaders = None, 1
+    links, tried, leaders = None, None, 1
     while not open_.isEmpty():
         if leaders == 1:
             head = open_.groupBy("band", "value").agg(F.min(F.struct("order", "node", "n_words", *[f"lane{i}" for i in range(count)])).alias("h"))
@@ -269,6 +273,8 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         two = cut(_verified(wanted, texts).where("ok").select("a", "b"))
         good = one.union(two)
         links = good if links is None else links.union(good)
+        tested = start.select("a", "b").union(wanted.select("a", "b"))
+        tried = tested if tried is None else tried.union(tested)
         known = two.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.lit(True).alias("linked"))
         done = rooted.join(known, ["leader", "node"], "left").where(F.col("same") | F.coalesce("linked", F.lit(False)))
         gone = done.select("band", "value", "node").union(head.select("band", "value", F.col("leader").alias("node"))).distinct()
@@ -276,7 +282,39 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         several = rest.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         open_ = stored(rest.join(cut(several), ["band", "value"]), "open")
         leaders = LEADERS
-    return links if links is not None else nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    if links is None:
+        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    return links.union(_closing_links(in_buckets, details, links, tried, texts, agreeing()))
+
+
+def _closing_links(in_buckets: DataFrame, details: DataFrame, links: DataFrame, tried: DataFrame, texts: DataFrame, agreeing: Column) -> DataFrame:
+    """Links between candidates of one bucket in different components: all of them are aligned unless others connect them."""
+    component = cut(connected_components(in_buckets.select("node").distinct(), links, "node"))
+    placed = in_buckets.join(component, "node")
+    mixed = placed.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    member = stored(placed.join(cut(mixed.select("band", "value")), ["band", "value"]).join(details, "node"), "mixed")
+    near = F.least("o.n_words", "h.n_words") >= F.lit(SIMILARITY) * F.greatest("o.n_words", "h.n_words") - 1e-6
+    apart = (F.col("o.component") != F.col("h.component")) & (F.col("o.node") > F.col("h.node"))
+    met = member.alias("o").join(member.alias("h"), ["band", "value"]).where(apart & near & (agreeing >= SHARED))
+    pairs = met.select(F.col("h.node").alias("a"), F.col("o.node").alias("b"), agreeing.alias("alike")).distinct()
+    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    open_ = stored(pairs.join(known, ["a", "b"], "left_anti"), "closing")
+    found, most = links.limit(0), CLOSING
+    while True:
+        at = lambda name: component.select(F.col("node").alias(name), F.col("component").alias(f"{name}_root"))
+        rooted = open_.join(at("a"), "a").join(at("b"), "b").where("a_root != b_root")
+        ends = [F.least("a_root", "b_root"), F.greatest("a_root", "b_root")]
+        ranked = cut(rooted.withColumn("place", F.row_number().over(Window.partitionBy(*ends).orderBy(F.col("alike").desc(), "a", "b"))))
+        if ranked.isEmpty():
+            return found
+        good = cut(_verified(ranked.where(F.col("place") <= most).select("a", "b"), texts).where("ok").select("a", "b"))
+        if not good.isEmpty():
+            found = found.union(good)
+            joined = good.join(at("a"), "a").join(at("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+            before = component.select("node", F.col("component").alias("before"))
+            component = cut(before.join(connected_components(before.select("before").distinct(), joined, "before"), "before").select("node", "component"))
+        open_ = ranked.where(F.col("place") > most).select("a", "b", "alike")
+        most *= CLOSING
 
 
 def classes(docs: DataFrame) -> DataFrame:

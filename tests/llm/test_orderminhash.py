@@ -68,6 +68,18 @@ def test_classes_equal_all_pairs(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(d for d, c in want.items() if d == c)
 
 
+def test_chains_through_a_member_that_left_the_bucket(spark):
+    rows = []
+    for k in range(40):  # b links a and c, a and c do not link; where a leads, b leaves with it
+        b = [f"k{k}w{i}" for i in range(100)]
+        c = b[:80] + [f"k{k}c{i}" for i in range(20)]
+        rows += [(10 * k, " ".join(["x", *b[1:]])), (10 * k + 1, " ".join(b)), (10 * k + 2, " ".join(c))]
+    want = brute(rows)
+    assert set(want.values()) == {10 * k for k in range(40)}
+    got = om.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == want
+
+
 def test_empty_and_null_ids(spark):
     schema = "doc_id long, text string"
     assert om.near_duplicates(spark.createDataFrame([], schema)).count() == 0
