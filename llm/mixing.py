@@ -141,7 +141,8 @@ def split_quotas(quotas: DataFrame, shards: int) -> DataFrame:
 
 
 def mix_plan(docs: DataFrame) -> DataFrame:
-    """One row per document: ``k1, k2`` (row key), doc_id, size, source_size, target, taken, and the shard of its first words.
+    """One row per document: ``k1, k2`` (row key), doc_id, size, source_size, target, taken, and the shard of its first words;
+    ``passes`` and ``shards`` hold the words and the shard of each pass over the source.
 
     A hot source is laid out in hashed buckets: offsets of buckets come from a small table, offsets inside a bucket
     from a window over about ``BUCKET_ROWS`` rows.
@@ -181,12 +182,13 @@ def mix_plan(docs: DataFrame) -> DataFrame:
         .select("source_index", "shard", "quota", F.explode(F.sequence(F.col("first_block"), F.col("first_block") + F.col("n_blocks") - 1)).alias("drawn"))
         .select("source_index", "shard", F.pmod(F.col("drawn") * STEP + F.col("source_index"), F.col("quota")).alias("block"))
     )
-    first = F.floor(F.col("start") / BLOCK_WORDS).cast("long")
-    return (
-        laid.withColumn("block", F.when(F.col("taken") > 0, first))
-        .join(place, ["source_index", "block"], "left")
-        .select("k1", "k2", "doc_id", "size", "source_size", "target", "taken", "passes", "shard")
-    )
+    # Each pass of a document goes, uncut, to the shard of the block in which that pass of it begins.
+    for n in range(MOST):
+        first = F.floor((F.col("start") + n * F.col("source_size")) / BLOCK_WORDS).cast("long")
+        own = place.select("source_index", "block", F.col("shard").alias(f"shard_{n}"))
+        laid = laid.withColumn("block", F.when(F.col("passes")[n] > 0, first)).join(own, ["source_index", "block"], "left").drop("block")
+    shards_of = F.array(*[F.col(f"shard_{n}") for n in range(MOST)])
+    return laid.select("k1", "k2", "doc_id", "size", "source_size", "target", "taken", "passes", F.col("shard_0").alias("shard"), shards_of.alias("shards"))
 
 
 def _few(sources: DataFrame) -> bool:
@@ -200,21 +202,22 @@ def mix(docs: DataFrame) -> DataFrame:
     stand together, in hashed order."""
     columns = docs.columns
     keys = row_keys("doc_id", "source", "text")
-    plan = mix_plan(docs).where("taken > 0").select("k1", "k2", "size", "passes", "shard")
+    plan = mix_plan(docs).where("taken > 0").select("k1", "k2", "size", "passes", "shards")
     keyed = docs.withColumns({"__k1": keys[0], "__k2": keys[1]})
     rest = [c for c in columns]
     texts = keyed.groupBy("__k1", "__k2").agg(F.first(F.struct(*rest)).alias("__row"))
-    pieces = plan.withColumn("words", F.explode("passes")).where("words > 0").select(
-        F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("size").alias("__size"), F.col("words").alias("__words"), F.col("shard").alias("__shard")
+    pieces = plan.select("k1", "k2", "size", "shards", F.posexplode("passes").alias("pass", "words")).where("words > 0").select(
+        F.col("pass").alias("__pass"),
+        F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("size").alias("__size"), F.col("words").alias("__words"), F.col("shards")[F.col("pass")].alias("__shard")
     )
     joined = texts.join(pieces, ["__k1", "__k2"])
     text = F.when(F.col("__words") >= F.col("__size"), F.col("__row.text")).otherwise(
         F.array_join(F.slice(F.regexp_extract_all(F.col("__row.text"), F.lit(f"({WORD})"), 1), 1, F.col("__words").cast("int")), " ")
     )
-    out = joined.select("__shard", "__words", "__size", *[(text if c == "text" else F.col(f"__row.{c}")).alias(c) for c in columns])
+    out = joined.select("__shard", "__pass", "__words", "__size", *[(text if c == "text" else F.col(f"__row.{c}")).alias(c) for c in columns])
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("__words") < F.col("__size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    order = F.xxhash64(F.lit(SEED + 2), "doc_id", "text")
+    order = F.xxhash64(F.lit(SEED + 2), "doc_id", "text", "__pass")
     return out.repartitionByRange("__shard", order).sortWithinPartitions("__shard", order).select(*columns)
 
 

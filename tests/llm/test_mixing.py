@@ -78,6 +78,29 @@ def test_mixed_rows_carry_the_taken_words(spark):
     assert words == {d: t for d, t in plan.items() if t}
 
 
+def test_both_passes_follow_the_drawn_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 32)
+    monkeypatch.setattr(mixing, "BLOCKS_PER_SHARD", 8)
+    docs = corpus(spark, [(i, "big" if i % 4 == 0 else "rest", " ".join(f"w{i}_{k}" for k in range(4))) for i in range(400)])
+    ids = [r["doc_id"] for r in mixing.mix(docs).collect()]
+    twice = len(ids) - len(set(ids))
+    assert twice > 90 and sum(a == b for a, b in zip(ids, ids[1:])) < twice / 4
+    plan = mixing.mix_plan(docs).where("doc_id % 4 = 0").collect()
+    target = int(plan[0]["target"])
+    words: dict = {}
+    for r in plan:
+        for n, shard in zip(r["passes"], r["shards"]):
+            if n:
+                words[shard] = words.get(shard, 0) + n
+    sources = mixing.source_targets(docs.select("source", mixing.word_count(F.col("text")).alias("size")))
+    quotas = sources.selectExpr("source_index", "CAST(ceil(floor(target) / 32) AS LONG) AS quota")
+    blocks = quotas.agg(F.sum("quota")).first()[0]
+    drawn = mixing.split_quotas(quotas, 1 << max(0, int(np.ceil(np.log2(blocks / 8))))).where("source_index = 0").collect()
+    assert sum(words.values()) == target
+    # No document is cut at a block's edge here (4 words each); only the last block of the source is short.
+    assert sum(abs(words.get(r["shard"], 0) - 32 * r["n_blocks"]) for r in drawn) <= 32
+
+
 def test_empty_table(spark):
     assert mixing.mix_plan(corpus(spark, [])).count() == 0
     assert mixing.mix(corpus(spark, [])).count() == 0
