@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from llm import decontam, langid, licenses, mixing, nndescent, orderminhash, pii, repeats, suffixtree, tokens
+from llm import bytebpe, decontam, langid, licenses, mixing, nndescent, orderminhash, pii, repeats, suffixtree, tokens
 
 QUERIES = {
     "op1_suffix_tree": suffixtree.op1_suffix_tree,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_suffix_dedup": repeats.op9_suffix_dedup,
     "op10_personal_data": pii.op10_personal_data,
     "op7_mixing": mixing.op7_mixing,
+    "op11_byte_bpe": bytebpe.op11_byte_bpe,
 }
 
 SQL: dict[str, str] = {
