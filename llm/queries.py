@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from llm import bytebpe, decontam, langid, licenses, mixing, nndescent, orderminhash, pii, repeats, suffixtree, tokens
+from llm import bytebpe, decontam, dualtree, langid, licenses, mixing, nndescent, orderminhash, pii, repeats, spelling, suffixtree, tokens
 
 QUERIES = {
     "op1_suffix_tree": suffixtree.op1_suffix_tree,
@@ -16,9 +16,13 @@ QUERIES = {
     "op10_personal_data": pii.op10_personal_data,
     "op7_mixing": mixing.op7_mixing,
     "op11_byte_bpe": bytebpe.op11_byte_bpe,
+    "op12_vector_codes": dualtree.op12_vector_codes,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 SQL: dict[str, str] = {
     "op2_nn_descent": nndescent.ORACLE,
     "op3_decontamination": decontam.ORACLE,
+    "op12_vector_codes": dualtree.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
