@@ -34,6 +34,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 VOCABULARY_LIMIT = 32 << 20
 #: Characters of pre-tokens a task remembers before it starts anew (a speed bound, never a bound on what is encoded).
 REMEMBERED = 16 << 20
+#: Bytes of texts or ids handed to numpy at a time; decoding needs a few numbers for each byte it gives.
+TEXT_BYTES, ID_BYTES = 2 << 20, 512 << 10
 #: Byte b is written as the character FIRST + b.
 FIRST = 0x100
 _TO_PIECE = {b: FIRST + b for b in range(256)}
@@ -144,7 +146,7 @@ def encode(docs: DataFrame, text: str = "text", to: str = "ids", vocabulary: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*sent.value, pattern)
-        for batch in small_batches(batches, text):
+        for batch in small_batches(batches, text, TEXT_BYTES):
             ids = [encoder.encode(t) for t in batch.column(text).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
             yield _with_column(batch, to, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32())))
@@ -186,7 +188,7 @@ def decode(tokens: DataFrame, ids: str = "ids", to: str = "decoded", vocabulary:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(*sent.value)
-        for batch in small_batches(batches, ids):
+        for batch in small_batches(batches, ids, ID_BYTES):
             lists = batch.column(ids)
             values = lists.flatten().cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
             found = decoder.decode(values, pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
