@@ -106,3 +106,32 @@ def nearest_within(
         F.min_by(F.col("r_d"), F.struct("separation_arcsec", f"r_d.{tie}")).alias("m"),
     )
     return best.select(*key, *[F.col(f"m.{c}").alias(f"m_{c}") for c in fields], F.col("b.sep").alias("separation_arcsec"))
+
+
+#: Columns of a frame's tangent-plane solution: sky and pixel of the reference point (pixels from 0) and degrees per pixel.
+SOLUTION = ("crval1", "crval2", "crpix1", "crpix2", "cd11", "cd12", "cd21", "cd22")
+
+
+def to_pixel(ra, dec) -> tuple[Column, Column]:
+    """Pixel of a sky position by the row's ``SOLUTION`` columns; null on the far side of the sky and for a singular matrix."""
+    ra, dec = [F.radians(F.col(c) if isinstance(c, str) else c) for c in (ra, dec)]
+    ra0, dec0 = F.radians("crval1"), F.radians("crval2")
+    depth = F.sin(dec) * F.sin(dec0) + F.cos(dec) * F.cos(dec0) * F.cos(ra - ra0)
+    front = F.when(depth > 1e-6, depth)
+    xi = F.degrees(F.cos(dec) * F.sin(ra - ra0) / front)
+    eta = F.degrees((F.sin(dec) * F.cos(dec0) - F.cos(dec) * F.sin(dec0) * F.cos(ra - ra0)) / front)
+    det = F.col("cd11") * F.col("cd22") - F.col("cd12") * F.col("cd21")
+    usable = F.when(det != 0, det)
+    x = F.col("crpix1") + (F.col("cd22") * xi - F.col("cd12") * eta) / usable
+    y = F.col("crpix2") + (F.col("cd11") * eta - F.col("cd21") * xi) / usable
+    return x, y
+
+
+def to_sky(x, y) -> tuple[Column, Column]:
+    """Sky position of a pixel by the row's ``SOLUTION`` columns."""
+    dx, dy = [(F.col(c) if isinstance(c, str) else c) - F.col(p) for c, p in ((x, "crpix1"), (y, "crpix2"))]
+    xi, eta = F.radians(F.col("cd11") * dx + F.col("cd12") * dy), F.radians(F.col("cd21") * dx + F.col("cd22") * dy)
+    dec0 = F.radians("crval2")
+    out = F.cos(dec0) - eta * F.sin(dec0)
+    ra = F.pmod(F.col("crval1") + F.degrees(F.atan2(xi, out)), F.lit(360.0))
+    return ra, F.degrees(F.atan2(F.sin(dec0) + eta * F.cos(dec0), F.sqrt(xi * xi + out * out)))

@@ -240,33 +240,51 @@ def stamp_bands(measurements: DataFrame, bands: DataFrame) -> DataFrame:
     return measurements.join(per, "source_id", "left")
 
 
+#: Nested cells of the unit sphere: bits added in a round, and the finest level.
+CELL_BITS, FINEST_CELL = 2, 50
+
+
 def nearest_catalog(detections: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
-    """Nearest catalog entry of every detection at any distance.
+    """Nearest catalog entry of every detection at any distance (ties: the smaller name).
 
-    Tries a radius of about twice the mean spacing and widens it fourfold for the rows still without a neighbour.
+    The catalog's places lie in nested cells of the unit sphere. Each detection goes down through the cells that can hold
+    its neighbour: of the cells met, those stay whose nearest corner is no farther than the farthest corner of another, so
+    a crowded part of the sky is entered by the detections next to it and only along their neighbours. Rows per detection
+    stay a few dozen whatever the density.
     """
-    count = catalog.count()
-    if count == 0:
-        return detections.select(key, F.lit(None).cast("string").alias("m_name"), F.lit(None).cast("double").alias("separation_arcsec"))
-    radius = 2.0 * (41253.0 / count) ** 0.5 * sky.ARCSEC
-    places = detections.select("ra_deg", "dec_deg").distinct()
-    todo, found = places, None
+    unit = lambda: {"ux": F.cos(F.radians("dec_deg")) * F.cos(F.radians("ra_deg")), "uy": F.cos(F.radians("dec_deg")) * F.sin(F.radians("ra_deg")), "uz": F.sin(F.radians("dec_deg"))}
+    axes = ("ux", "uy", "uz")
+    sane = n.finite("ra_deg") & n.finite("dec_deg")
+    stars = cut(catalog.where(sane).groupBy("ra_deg", "dec_deg").agg(F.min("name").alias("m_name")).withColumns(unit()))
+    spots = cut(detections.where(sane).select("ra_deg", "dec_deg").distinct().withColumns(unit()))
+    cell = lambda level: [F.floor((F.least(F.col(a), F.lit(1.0 - 1e-15)) + 1.0) * float(2.0 ** (level - 1))).cast("long").alias(f"c_{a}") for a in axes]
+    cells = [f"c_{a}" for a in axes]
+
+    def boxes(level: int) -> DataFrame:
+        sides = [f(a).alias(f"{side}_{a}") for a in axes for f, side in ((F.min, "low"), (F.max, "high"))]
+        rows = stars.select(*axes, *cell(level)).groupBy(*cells).agg(*sides, F.count(F.lit(1)).alias("held"))
+        return rows.withColumns({f"p_{a}": F.shiftright(f"c_{a}", CELL_BITS) for a in axes})
+
+    state, level = spots.withColumns({f"p_{a}": F.lit(0).cast("long") for a in axes}), 0
+    spot = ["ra_deg", "dec_deg"]
     while True:
-        radius = min(radius, 180.0 * sky.ARCSEC)
-        hit = cut(
-            sky.nearest_within(
-                todo.withColumn("a", F.col("ra_deg")).withColumn("d", F.col("dec_deg")), catalog, ["a", "d"], radius, ["name"], "name"
-            )
-        )
-        found = hit if found is None else found.unionByName(hit)
-        if radius >= 180.0 * sky.ARCSEC:
-            break
-        todo = todo.join(hit.select(F.col("a").alias("ra_deg"), F.col("d").alias("dec_deg")), ["ra_deg", "dec_deg"], "left_anti")
-        if todo.isEmpty():
+        level += CELL_BITS
+        met = state.join(boxes(level), [f"p_{a}" for a in axes])
+        gap, far = F.lit(0.0), F.lit(0.0)
+        for a in axes:
+            away = F.greatest(F.lit(0.0), F.col(f"low_{a}") - F.col(a), F.col(a) - F.col(f"high_{a}"))
+            most = F.greatest(F.abs(F.col(a) - F.col(f"low_{a}")), F.abs(F.col(a) - F.col(f"high_{a}")))
+            gap, far = gap + away * away, far + most * most
+        met = met.select(*spot, *axes, *cells, "held", F.sqrt(gap).alias("gap"), F.sqrt(far).alias("far"))
+        bound = F.min("far").over(Window.partitionBy(*spot))
+        state = cut(met.withColumn("bound", bound).where(F.col("gap") <= F.col("bound") + 1e-14).select(*spot, *axes, *[F.col(f"c_{a}").alias(f"p_{a}") for a in axes], "held"))
+        if level >= FINEST_CELL or state.where("held > 1").isEmpty():
             break
-        radius *= 4.0
-    found = found.withColumnsRenamed({"a": "ra_deg", "d": "dec_deg"})
-    return detections.select(key, "ra_deg", "dec_deg").join(found, ["ra_deg", "dec_deg"], "left").drop("ra_deg", "dec_deg")
+        state = state.drop("held")
+    last = stars.select(F.col("ra_deg").alias("s_ra"), F.col("dec_deg").alias("s_dec"), "m_name", *[c.alias(f"p_{a}") for a, c in zip(axes, cell(level))])
+    pairs = state.join(last, [f"p_{a}" for a in axes]).withColumn("separation_arcsec", sky.separation_arcsec("ra_deg", "dec_deg", "s_ra", "s_dec"))
+    best = pairs.groupBy(*spot).agg(F.min(F.struct("separation_arcsec", "m_name")).alias("b")).select(*spot, "b.m_name", "b.separation_arcsec")
+    return detections.select(key, *spot).join(best, spot, "left").drop(*spot)
 
 
 def match_tolerance_px(pixel_scale: float, aperture: float) -> float:

@@ -120,7 +120,7 @@ def source_pixels(pixels: DataFrame, sources: DataFrame, keys: list[str], reach:
 
 def aperture_photometry(
     pixels: DataFrame, sources: DataFrame, keys: list[str], radius: float, inner: float, outer: float, clip: float = 3.0, rounds: int = 2,
-    saturation: float | None = None, recentre: bool = True,
+    saturation: float | Column | None = None, recentre: bool = True,
 ) -> DataFrame:
     """Aperture sum minus clipped annulus median, error, SNR and saturation of every source.
 

@@ -8,7 +8,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ("photometry", "archive", "catalogs", "series", "reports", "pixels", "linking", "learning")
+AREAS = ("photometry", "archive", "catalogs", "series", "reports", "pixels", "linking", "learning", "forced")
 
 
 def _in_utc(fn):

@@ -17,6 +17,7 @@ from skyloom.operators import catalogs as ct
 from skyloom.operators import clusters as cl
 from skyloom.operators import fits as ft
 from skyloom.operators import linking as lk
+from skyloom.operators import periods as pr
 from skyloom.operators import photometry as ph
 from skyloom.operators import pixels as px
 from skyloom.operators import quality as ql
@@ -147,7 +148,7 @@ def test_period_search_recovers_injected_period(spark):
     found = sr.best_frequency(sr.lomb_scargle(p, b)).first()["period_hours"] / 24
     ratio = found / 1.7
     assert abs(ratio - round(ratio)) < 0.03 and round(ratio) in (1, 2, 3, 4)
-    scan = ft.harmonic_scan(p, b, grid=60, chunks=2).first()["period_hours"] / 24 / 1.7
+    scan = pr.harmonic_scan(p, b, grid=60, chunks=2).first()["period_hours"] / 24 / 1.7
     assert abs(scan - round(scan)) < 0.02
 
 
