@@ -42,7 +42,78 @@ bk AS (SELECT kind, y, x, median(value) AS m FROM pix GROUP BY ALL),
 res AS (SELECT frame_id, kind, y, x, value - m AS value FROM pix JOIN bk USING (kind, y, x))
 """
 
+MAD_STD = 1.482602218505602
+
+
+def rejected(name: str, rows: str, averaged: bool) -> str:
+    """Five rounds of 3-spread clipping of ``rows`` (kind, y, x, frame_id, value, snr) around the median or mean."""
+    out = [f"{name}_0 AS (SELECT * FROM {rows})"]
+    for i in range(5):
+        out.append(f"{name}_m{i} AS (SELECT kind, y, x, median(value) AS m, avg(value) AS a FROM {name}_{i} GROUP BY ALL)")
+        out.append(f"{name}_d{i} AS (SELECT kind, y, x, m, a, median(abs(value-m)) AS d FROM {name}_{i} JOIN {name}_m{i} USING (kind, y, x) GROUP BY ALL)")
+        out.append(
+            f"{name}_{i + 1} AS MATERIALIZED (SELECT r.* FROM {name}_{i} r JOIN {name}_d{i} USING (kind, y, x) WHERE abs(value-{'a' if averaged else 'm'}) <= 3*{MAD_STD}::DOUBLE*d)"
+        )
+    return ",\n".join([*out, f"{name} AS (SELECT * FROM {name}_5)"])
+
+
+def integrated(rejection: str, rows: str) -> str:
+    return f"""SELECT kind, y, x, '{rejection}' AS rejection, count(*) AS used_count, round(avg(value),4) AS average_value, round(sum(snr*value)/sum(snr),4) AS mean_value,
+        round(min(value),4) AS min_value, round(max(value),4) AS max_value FROM {rows} GROUP BY kind, y, x"""
+
+
+WEIGHTS = """
+fb AS (SELECT frame_id, median(value) AS bg, max(value) AS mx FROM pix GROUP BY ALL),
+fd AS (SELECT frame_id, greatest(1e-6, 1.4826*median(abs(value-bg))) AS sg, avg(greatest(value-bg, 0)) AS av, any_value(mx-bg) AS tp FROM pix JOIN fb USING (frame_id) GROUP BY frame_id),
+fw AS MATERIALIZED (SELECT frame_id, greatest(1e-6, av) AS av, greatest(1e-6, tp/sg) AS snr FROM fd)
+"""
+
+
+def squares(name: str, asks: str, pixels: str, keys: str, radius: int) -> str:
+    """Local peak around (px, py) of each row of ``asks``: x, y, pk, bg, sg, fl, off."""
+    on = " AND ".join(f"p.{k} = a.{k}" for k in keys.split(", ") if k in ("frame_id", "kind"))
+    return f"""
+{name}_r AS (SELECT a.*, p.y, p.x, p.value FROM {asks} a JOIN {pixels} p ON {on} AND p.y BETWEEN round_even(py,0)-{radius} AND round_even(py,0)+{radius} AND p.x BETWEEN round_even(px,0)-{radius} AND round_even(px,0)+{radius}),
+{name}_m AS (SELECT {keys}, median(value) AS bg, max(value) AS pk, arg_max(x, (value, -y, -x)) AS mx, arg_max(y, (value, -y, -x)) AS my, any_value(px) AS px, any_value(py) AS py FROM {name}_r GROUP BY {keys}),
+{name} AS (SELECT {keys}, any_value(m.bg) AS bg, any_value(m.pk) AS pk, any_value(mx) AS x, any_value(my) AS y, greatest(1e-6, 1.4826*median(abs(value-m.bg))) AS sg,
+  sum(value-m.bg) FILTER ((r.y-my)*(r.y-my)+(r.x-mx)*(r.x-mx) <= 12.25) AS fl, any_value(sqrt(pow(mx-m.px,2)+pow(my-m.py,2))) AS off FROM {name}_r r JOIN {name}_m m USING ({keys}) GROUP BY {keys})"""
+
+
 SQL = {
+    "frame_weights": q(
+        PIX, WEIGHTS, "ak AS (SELECT vec_id AS frame_id, 3.2::DOUBLE + vec_id%3 AS px, 3.6::DOUBLE AS py FROM embeddings)", squares("lp", "ak", "pix", "frame_id", 3),
+        """SELECT frame_id, round(greatest(1e-6, fl),5) AS psf_signal_weight, round(greatest(1e-6, (pk-bg)/sg),5) AS psf_snr, round(snr,5) AS snr, round(av,5) AS average_signal_strength
+        FROM fw JOIN lp USING (frame_id)""",
+    ),
+    "stack_modes": q(
+        PIX, WEIGHTS, shifted("mv0", "pix", "kind, frame_id", "(frame_id%8*0.35::DOUBLE)", "(frame_id%8*(-0.2)::DOUBLE)"),
+        "mv AS MATERIALIZED (SELECT mv0.*, snr FROM mv0 JOIN fw USING (frame_id))", rejected("sc", "mv", False), rejected("ac", "mv", True),
+        """xt AS (SELECT kind, y, x, count(*) AS n, arg_min(frame_id, (value, frame_id)) AS lo, arg_max(frame_id, (value, -frame_id)) AS hi FROM mv GROUP BY ALL),
+        nx AS (SELECT mv.* FROM mv JOIN xt USING (kind, y, x) WHERE NOT (n > 2 AND (frame_id = lo OR frame_id = hi))),
+        wl AS (SELECT kind, y, x, min(value) AS lo, max(value) AS hi FROM sc GROUP BY ALL),
+        wi AS (SELECT kind, y, x, frame_id, snr, greatest(lo, least(hi, value)) AS value FROM mv JOIN wl USING (kind, y, x))""",
+        " UNION ALL ".join(
+            integrated(r, t) for r, t in (("no_rejection", "mv"), ("min_max", "nx"), ("sigma_clipping", "sc"), ("averaged_sigma_clipping", "ac"), ("winsorized_sigma_clipping", "wi"))
+        ),
+    ),
+    "sweep_confirmation": q(
+        PIX, RES,
+        """vec AS (SELECT i AS vector_id, (i//12+1)*1.0*cos(radians((i%12)*30.0)) AS vx, (i//12+1)*1.0*sin(radians((i%12)*30.0)) AS vy FROM (SELECT unnest(generate_series(0,35)) AS i)),
+        tr AS (SELECT kind, vector_id, frame_id, y, x, greatest(0,value) AS value, ((frame_id//10)%8)/8.0::DOUBLE*vx AS ddx, ((frame_id//10)%8)/8.0::DOUBLE*vy AS ddy FROM res CROSS JOIN vec)""",
+        shifted("mv", "tr", "kind, vector_id, frame_id", "ddx", "ddy"),
+        """st AS (SELECT kind, vector_id, y, x, avg(value) AS sv FROM mv GROUP BY ALL),
+        m AS (SELECT kind, vector_id, median(sv) AS md FROM st GROUP BY ALL),
+        s AS (SELECT kind, vector_id, 1.4826*median(abs(sv-md)) AS sc FROM st JOIN m USING (kind, vector_id) GROUP BY ALL),
+        pks AS (SELECT kind, vector_id, y AS sy, x AS sx FROM st JOIN m USING (kind, vector_id) JOIN s USING (kind, vector_id) WHERE (sv-md)/sc >= 2.5),
+        pos AS MATERIALIZED (SELECT frame_id, kind, y, x, greatest(0,value) AS value FROM res),
+        fr AS (SELECT DISTINCT kind, frame_id, (frame_id//10)%8/8.0::DOUBLE AS h FROM res), fb AS (SELECT kind, min(h) AS h0 FROM fr GROUP BY kind),
+        ak AS (SELECT k.kind, vector_id, sy, sx, frame_id, h, sx + vx*(h-h0) AS px, sy + vy*(h-h0) AS py FROM pks k JOIN vec USING (vector_id) JOIN fr ON fr.kind = k.kind JOIN fb ON fb.kind = k.kind)""",
+        squares("lp", "ak", "pos", "kind, frame_id, vector_id, sy, sx, h", 2),
+        """ok AS (SELECT kind, vector_id, sy, sx, count(*) AS n, avg((pk-bg)/sg) AS a, max(pk) AS p, avg(off) AS mo, regr_slope(x, h) AS vx, regr_slope(y, h) AS vy,
+          sqrt(pow(arg_max(x, (h, frame_id)) - arg_min(x, (h, frame_id)), 2) + pow(arg_max(y, (h, frame_id)) - arg_min(y, (h, frame_id)), 2)) AS dp FROM lp WHERE off <= 2.8 GROUP BY ALL)""",
+        """SELECT kind, vector_id, sy AS stack_y, sx AS stack_x, n AS frame_count, round(a,4) AS average_snr, round(p,4) AS peak_value, round(mo,4) AS mean_offset_px, round(vx,4) AS vx, round(vy,4) AS vy,
+        round(dp,4) AS displacement_px, round(sqrt(vx*vx+vy*vy),4) AS motion_px_per_hour FROM ok WHERE n >= 3 AND dp >= 0.5""",
+    ),
     "master_frames": q(PIX, "SELECT kind, y, x, count(*) AS frame_count, round(median(value),6) AS master FROM pix GROUP BY ALL"),
     "calibrate": q(
         PIX,

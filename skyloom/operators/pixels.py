@@ -266,8 +266,11 @@ def motion_grid(spark, max_speed: float = 12.0, speed_step: float = 1.0, angle_s
     return grid.withColumn("vx", F.col("speed") * F.cos(F.radians("angle"))).withColumn("vy", F.col("speed") * F.sin(F.radians("angle")))
 
 
-def shift_stack_sweep(residuals: DataFrame, group: str, vectors: DataFrame, min_snr: float = 6.0, top: int | None = None) -> DataFrame:
-    """Mean stack of the positive residuals along every trial motion, and its peaks by strength (the first ``top``, or all).
+def shift_stack_sweep(
+    residuals: DataFrame, group: str, vectors: DataFrame, min_snr: float = 6.0, top: int | None = None, combine: str = "mean"
+) -> DataFrame:
+    """Mean (``clipped_mean``: sigma-clipped) stack of the positive residuals along every trial motion, and its peaks by
+    strength (the first ``top``, or all).
 
     Residual rows are expanded by the fixed vector grid and summed map-side per (group, vector, pixel). Needs ``hours``.
     """
@@ -277,6 +280,12 @@ def shift_stack_sweep(residuals: DataFrame, group: str, vectors: DataFrame, min_
     trial = pos.withColumn("v", F.explode(literal)).withColumns({"vector_id": F.col("v.vector_id"), "__dx": F.col("hours") * F.col("v.vx"), "__dy": F.col("hours") * F.col("v.vy")})
     moved = shifted(trial, [group, "vector_id", "frame_id"], F.col("__dx"), F.col("__dy"))
     at = [group, "vector_id"]
+    if combine == "clipped_mean":
+        from skyloom.operators.stacks import clipped
+
+        moved = clipped(moved, [*at, "y", "x"]).where(F.col("__v").isNotNull())
+    elif combine != "mean":
+        raise ValueError(f"unknown combination {combine}")
     stack = moved.groupBy(*at, "y", "x").agg(F.avg("value").alias("stack_value"), F.count(F.lit(1)).alias("frame_count"))
     rows = with_robust_scale(stack, at, F.col("stack_value"), "__m", "__s", groups_fit(stack, at))
     rows = rows.withColumn("snr", (F.col("stack_value") - F.col("__m")) / F.col("__s")).where(F.col("snr") >= min_snr)

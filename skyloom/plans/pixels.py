@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skyloom.functions.groups import attach
+from skyloom.functions.lineage import cut
 from skyloom.functions.numeric import rounded
 from skyloom.operators import pixels as px
+from skyloom.operators import stacks as sk
 from skyloom.plans import standins as si
 
 
@@ -110,10 +113,35 @@ def stack_peak(spark, d):
     return rounded(px.stack_peak(stack, ["kind"], "stack_value", F.lit(3.5), F.lit(3.5), 2.5), 4)
 
 
+def frame_weights(spark, d):
+    places = si.table(spark, d, "embeddings").select(F.col("vec_id").alias("frame_id"), (F.lit(3.2) + F.col("vec_id") % 3).alias("px"), F.lit(3.6).alias("py"))
+    return rounded(sk.frame_weights(_pixels(spark, d), places, radius=3), 5)
+
+
+def stack_modes(spark, d):
+    """Every rejection with every integration, the mean weighted by the frames' SNR."""
+    weights = sk.frame_weights(_pixels(spark, d))
+    p = _pixels(spark, d).withColumn("frame_index", F.col("frame_id"))
+    rows = attach(px.shifted(p, ["kind", "frame_id", "frame_index"], F.col("frame_id") % 8 * 0.35, F.col("frame_id") % 8 * -0.2), weights.select("frame_id", "snr"), ["frame_id"])
+    rows = cut(rows)
+    out = None
+    for rejection in sk.REJECTIONS:
+        one = sk.integrate(sk.rejected(rows, ["kind", "y", "x"], rejection), ["kind", "y", "x"], F.col("snr")).withColumn("rejection", F.lit(rejection))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, 4)
+
+
+def sweep_confirmation(spark, d):
+    r = cut(px.residual_pixels(_indexed(spark, d), "kind").withColumn("hours", F.col("frame_index") / 8.0))
+    vectors = px.motion_grid(spark, 3.0, 1.0, 30.0)
+    peaks = px.shift_stack_sweep(r, "kind", vectors, min_snr=2.5)
+    return rounded(sk.confirmed_peaks(peaks, r, "kind", vectors, min_frames=3, min_displacement_px=0.5), 4)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         master_frames, calibrate, pixel_bin, tile_stats, region_snr, aperture_photometry, hr_planes, frame_fwhm, tracked_stack, shift_stack_sweep,
-        residual_detections, streaks, cumulative_stack, stack_peak,
+        residual_detections, streaks, cumulative_stack, stack_peak, frame_weights, stack_modes, sweep_confirmation,
     )
 }
