@@ -279,4 +279,47 @@ SQL = {
         """SELECT object_name, filter_name, source_id, reference_id, row_number() OVER (PARTITION BY object_name, filter_name, source_id ORDER BY dm, j.d2, lower(nm), reference_id) AS rank,
         round(dm,6) AS delta_mag, round(d2,6) AS d2 FROM j QUALIFY rank <= 8""",
     ),
+    "fallback_ranking": q(
+        MEAS_RAW,
+        """mc AS (SELECT *, CASE WHEN source_no%3=0 THEN instrumental_magnitude + 22.0 END AS cal, CASE WHEN source_no%5<>1 THEN catalog_magnitude END AS cat FROM meas),
+        kn AS (SELECT DISTINCT source_id, CASE WHEN source_no%4=0 THEN 8.0::DOUBLE + (source_no%80)/10.0::DOUBLE WHEN source_no%16=1 THEN 9.0::DOUBLE END AS km FROM meas WHERE source_no%8<>4),
+        tg AS (SELECT object_name, filter_name, source_id, arg_min(ra_deg, (observation_time, file_path)) AS ra, arg_min(dec_deg, (observation_time, file_path)) AS de, median(cal) AS mcal, median(cat) AS mcat
+          FROM mc WHERE NOT is_reference GROUP BY ALL),
+        tm AS (SELECT tg.*, coalesce(km, mcal, mcat) AS tmag FROM tg LEFT JOIN kn USING (source_id)),
+        rf AS (SELECT object_name, filter_name, source_id AS reference_id, arg_min(ra_deg, (observation_time, file_path)) AS rra, arg_min(dec_deg, (observation_time, file_path)) AS rde,
+          lower(arg_min(source_name, (observation_time, file_path))) AS nm FROM mc WHERE is_reference AND flux>0 AND NOT is_saturated AND NOT (peak_pixel_value/450.0>=0.95) GROUP BY ALL),
+        rm AS (SELECT rf.*, km AS rmag FROM rf LEFT JOIN kn ON kn.source_id = rf.reference_id),
+        j AS (SELECT tm.object_name, tm.filter_name, tm.source_id, reference_id, nm, tmag, rmag, (rra-ra)*(rra-ra)+(rde-de)*(rde-de) AS d2, CASE WHEN tmag IS NOT NULL AND rmag IS NULL THEN 1 ELSE 0 END AS uk,
+          CASE WHEN tmag IS NOT NULL THEN coalesce(abs(rmag-tmag), 0) ELSE 0 END AS ofs FROM tm JOIN rm USING (object_name, filter_name))""",
+        """SELECT object_name, filter_name, source_id, reference_id, row_number() OVER (PARTITION BY object_name, filter_name, source_id ORDER BY uk, ofs, j.d2, nm, reference_id) AS rank,
+        round(tmag,6) AS target_magnitude, CASE WHEN tmag IS NOT NULL AND rmag IS NOT NULL THEN round(ofs,6) END AS delta_mag, round(d2,6) AS d2 FROM j QUALIFY rank <= 8""",
+    ),
+    "sampled_sets": q(
+        CATALOG, VARIABLES, REFSTARS,
+        """f AS (SELECT field, source_id, rank AS p, count(*) OVER (PARTITION BY field) AS n FROM refstars WHERE rank <= 20),
+        al AS (SELECT a.field, a.source_id || '|' || b.source_id || '|' || c.source_id || '|' || d.source_id AS set_id, row_number() OVER (PARTITION BY a.field ORDER BY a.p, b.p, c.p, d.p) - 1 AS no, count(*) OVER (PARTITION BY a.field) AS total
+          FROM f a JOIN f b ON a.field=b.field AND a.p<b.p JOIN f c ON c.field=b.field AND b.p<c.p JOIN f d ON d.field=c.field AND c.p<d.p),
+        pk AS (SELECT al.field, set_id, 2 AS kind, i FROM al JOIN (SELECT DISTINCT field, total FROM al WHERE total > 200) t USING (field), (SELECT unnest(range(200)) AS i) g WHERE no = (i*2147483647) % al.total
+          UNION ALL SELECT field, set_id, 0, no FROM al WHERE total <= 200
+          UNION ALL SELECT field, set_id, 1, 0 FROM al WHERE total > 200 AND no = 0
+          UNION ALL SELECT a.field, string_agg(a.source_id, '|' ORDER BY a.p), 0, 0 FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY p) AS k FROM f WHERE p%3=0) a JOIN (SELECT DISTINCT field FROM al WHERE total > 200) t USING (field)
+            WHERE k <= 4 GROUP BY a.field HAVING count(*) = 4),
+        oc AS (SELECT field, set_id, min((kind, i)) AS o FROM pk GROUP BY ALL)""",
+        "SELECT field, set_id FROM oc QUALIFY row_number() OVER (PARTITION BY field ORDER BY o, set_id) <= 200",
+    ),
+    "prediction_identity": q(
+        """ex AS (SELECT c_custkey AS id, CASE WHEN c_custkey%3<>0 THEN 'Obj ' || (c_custkey%900) END AS name, CASE WHEN c_custkey%2=0 THEN '2020 AB' || (c_custkey%1300) END AS designation,
+          c_acctbal::DOUBLE AS magnitude, (c_custkey%50)::DOUBLE AS ra_rate, 'b' AS side FROM customer),
+        au AS (SELECT s_suppkey, CASE WHEN s_suppkey%2=0 THEN 'OBJ-' || (s_suppkey*7) END, CASE WHEN s_suppkey%3<>0 THEN '2020ab' || (s_suppkey*6) END, CASE WHEN s_suppkey%4<>0 THEN s_acctbal::DOUBLE END, NULL, 'a' FROM supplier),
+        al AS (SELECT side || '/' || lpad(CAST(id AS VARCHAR), 19, '0') AS row, * FROM (SELECT * FROM ex UNION ALL SELECT * FROM au)),
+        ky AS (SELECT DISTINCT row, k FROM (SELECT row, unnest([regexp_replace(lower(name), '[^a-z0-9]', '', 'g'), regexp_replace(lower(designation), '[^a-z0-9]', '', 'g')]) AS k FROM al) WHERE k <> ''),
+        fi AS (SELECT k, min(row) AS b FROM ky GROUP BY k),
+        lk AS MATERIALIZED (SELECT DISTINCT row AS a, b FROM ky JOIN fi USING (k) UNION SELECT b, row FROM ky JOIN fi USING (k)),
+        cc AS (SELECT row, row AS root FROM al UNION SELECT lk.b, cc.root FROM cc JOIN lk ON lk.a = cc.row),
+        co AS (SELECT row, min(root) AS c FROM cc GROUP BY row),
+        g AS (SELECT c, count(*) AS matched_rows, arg_min(id, row) FILTER (side='a') AS aid, arg_min(id, row) FILTER (side='b') AS bid FROM al JOIN co USING (row) GROUP BY c)""",
+        """SELECT coalesce(aid, bid) AS prediction_id, coalesce(a.name, b.name) AS name, coalesce(a.designation, b.designation) AS designation, coalesce(a.magnitude, b.magnitude) AS magnitude,
+        coalesce(a.ra_rate, b.ra_rate) AS ra_rate, CASE WHEN aid IS NULL THEN 'existing' WHEN bid IS NULL THEN 'authoritative' ELSE 'merged' END AS origin, matched_rows
+        FROM g LEFT JOIN al a ON a.side='a' AND a.id=aid LEFT JOIN al b ON b.side='b' AND b.id=bid""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
 }

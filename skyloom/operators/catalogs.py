@@ -591,6 +591,39 @@ def prediction_merge(existing: DataFrame, authoritative: DataFrame, key: str, fi
     return both.select(key, *out, source.alias("origin"))
 
 
+def identity_keys(*texts: Column) -> Column:
+    """Names and designations in one form: lower case, letters and digits only; empty ones are left out."""
+    plain = F.transform(F.array(*texts), lambda t: F.regexp_replace(F.lower(t), "[^a-z0-9]", ""))
+    return F.array_distinct(F.filter(plain, lambda t: t.isNotNull() & (t != "")))
+
+
+def merge_predictions(existing: DataFrame, authoritative: DataFrame, filled: list[str], names: list[str] | None = None) -> DataFrame:
+    """One row per object of two prediction tables whose rows carry several names (``name``, ``designation``).
+
+    Rows that share a name or designation, directly or through other rows, are one object: every row links to the first row
+    of each of its keys, and components of these links are found in rounds, so a key shared by many rows costs one edge a
+    row. The authoritative row (the least ``prediction_id``) wins; its missing values of ``filled`` come from the existing
+    row. ``matched_rows`` counts the rows of the object; rows without any key stay apart.
+    """
+    names = names or ["name", "designation"]
+    fields = existing.columns
+    number = lambda df, side: df.select(*fields).withColumn("__side", F.lit(side)).withColumn("__row", F.concat_ws("/", F.lit(side), F.lpad(F.col("prediction_id").cast("string"), 19, "0")))
+    rows = cut(number(existing, "b").unionByName(number(authoritative, "a")))
+    keyed = rows.select("__row", F.explode(identity_keys(*[F.col(c) for c in names])).alias("__key"))
+    firsts = keyed.groupBy("__key").agg(F.min("__row").alias("b"))
+    comp = connected_components(rows, keyed.join(firsts, "__key").select(F.col("__row").alias("a"), "b"), "__row")
+    best = rows.join(comp, "__row").groupBy("component").agg(
+        *[F.min_by(F.when(F.col("__side") == s, F.struct(*fields)), F.when(F.col("__side") == s, F.col("__row"))).alias(s) for s in ("a", "b")],
+        F.count(F.lit(1)).alias("matched_rows"),
+    )
+    out = []
+    for c in fields:
+        old = F.when(F.col("a").isNull(), F.col(f"b.{c}"))
+        out.append((old.otherwise(F.coalesce(f"a.{c}", f"b.{c}")) if c in filled else old.otherwise(F.col(f"a.{c}"))).alias(c))
+    origin = F.when(F.col("a").isNull(), "existing").when(F.col("b").isNull(), "authoritative").otherwise("merged")
+    return best.select(*out, origin.alias("origin"), "matched_rows")
+
+
 def cluster_match(stars: DataFrame, entries: DataFrame, fields: DataFrame, scale: float = 1.15, margin_deg: float = 0.35, dense: int = 5) -> DataFrame:
     """Best cluster entry per field: 10 per star inside the scaled visible radius, 100 when in the footprint, minus separation."""
     largest = entries.agg(F.max("visible_radius_deg")).first()[0] or 0.0

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.functions import numeric as n
 from skyloom.functions.groups import attach, group_quantiles, groups_fit
+from skyloom.functions.lineage import cut
 
 # Forest size and seed, share held out for validation.
 TREES, SEED, VALIDATION_SHARE = 160, 42, 0.25
@@ -115,7 +118,7 @@ def train_classifier(examples: DataFrame, features: list[str], trees: int = TREE
 
     Held-out rows are the lowest digests of each label. Missing features count as 0.
     """
-    rows = examples.select("candidate_key", "label", *[F.coalesce(n.finite_or_null(F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in features]).cache()
+    rows = cut(examples.select("candidate_key", "label", *[F.coalesce(n.finite_or_null(F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in features]))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if sum(counts.values()) < 2 or len(counts) < 2:
         raise ValueError("training needs at least two labels")
@@ -129,7 +132,7 @@ def train_classifier(examples: DataFrame, features: list[str], trees: int = TREE
         cuts = group_quantiles(rows.withColumn("__h", F.xxhash64("candidate_key").cast("double")), ["label"], F.col("__h"), {"__cut": VALIDATION_SHARE})
         split = attach(rows.withColumn("__h", F.xxhash64("candidate_key").cast("double")), cuts, ["label"])
         train, held = split.where(F.col("__h") > F.col("__cut")), split.where(F.col("__h") <= F.col("__cut"))
-        scored = Pipeline(stages=stages).fit(_balanced(train)).transform(_balanced(held)).cache()
+        scored = Pipeline(stages=stages).fit(_balanced(train)).transform(_balanced(held))
         for name, metric in (("accuracy", "accuracy"), ("precision", "weightedPrecision"), ("recall", "weightedRecall"), ("f1", "f1")):
             metrics[f"validation_{name}"] = MulticlassClassificationEvaluator(labelCol="label_index", metricName=metric).evaluate(scored)
         metrics["validation_count"] = float(scored.count())
@@ -145,3 +148,53 @@ def score_candidates(model: PipelineModel, candidates: DataFrame, features: list
     return out.select(
         "candidate_key", label.alias("predicted_label"), F.array_max("__p").alias("confidence"), *[F.col("__p")[i].alias(f"p_{x}") for i, x in enumerate(names)]
     )
+
+
+MODEL_SCHEMA = "mode string, version long, model_id string, features array<string>, example_count long, metrics map<string,double>, trained_at timestamp"
+
+
+def save_model(spark: SparkSession, folder: str, mode: str, model: PipelineModel, features: list[str], examples: DataFrame, metrics: dict[str, float]) -> str:
+    """Store a trained model as the latest of its mode; returns its id.
+
+    The model is written to a folder of its own first. The row that names it is one small file that appears whole, so a
+    reader sees the old model or the new one, and a lost driver leaves at worst a folder that nothing names.
+    """
+    model_id = uuid.uuid4().hex
+    model.write().save(f"{folder}/models/{model_id}")
+    before = [r["version"] for r in [_latest(spark, folder, mode)] if r]
+    row = [(mode, (before[0] if before else 0) + 1, model_id, list(features), examples.count(), {k: float(v) for k, v in metrics.items()})]
+    fresh = spark.createDataFrame(row, MODEL_SCHEMA.rsplit(",", 1)[0]).withColumn("trained_at", F.current_timestamp())
+    fresh.coalesce(1).write.mode("append").parquet(f"{folder}/index")
+    return model_id
+
+
+def models(spark: SparkSession, folder: str) -> DataFrame:
+    """All stored models; none when nothing has been stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/index")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], MODEL_SCHEMA)
+    return spark.read.schema(MODEL_SCHEMA).parquet(f"{folder}/index")
+
+
+def _latest(spark: SparkSession, folder: str, mode: str):
+    order = F.struct("version", "trained_at", "model_id")
+    found = models(spark, folder).where(F.col("mode") == mode).agg(F.max_by(F.struct("model_id", "version", "features", "example_count"), order).alias("m")).first()
+    return found["m"]
+
+
+def score_latest(spark: SparkSession, folder: str, mode: str, candidates: DataFrame) -> DataFrame | None:
+    """Scores by the latest stored model of the mode, without a fit; None when there is none. Features that the model knows
+    and the candidates lack count as 0."""
+    latest = _latest(spark, folder, mode)
+    if latest is None:
+        return None
+    lacking = {c: F.lit(0.0) for c in latest["features"] if c not in candidates.columns}
+    model = PipelineModel.load(f"{folder}/models/{latest['model_id']}")
+    return score_candidates(model, candidates.withColumns(lacking), list(latest["features"])).withColumn("model_id", F.lit(latest["model_id"]))
+
+
+def training_summary(spark: SparkSession, folder: str, labels: DataFrame) -> DataFrame:
+    """Labels per mode and class beside the latest stored model of the mode."""
+    order = F.struct("version", "trained_at", "model_id")
+    last = models(spark, folder).groupBy("mode").agg(F.max_by("model_id", order).alias("model_id"), F.max("version").alias("version"), F.max_by("example_count", order).alias("example_count"))
+    return label_summary(labels).join(last, "mode", "left")

@@ -200,6 +200,21 @@ def prediction_merge(spark, d):
     return rounded(ct.prediction_merge(old, new, "identity", ["magnitude", "ra_rate", "uncertainty"]))
 
 
+def prediction_identity(spark, d):
+    """Predictions matched by name or designation, in other spellings and through third rows."""
+    c, s = si.table(spark, d, "customer"), si.table(spark, d, "supplier")
+    k, q = F.col("c_custkey"), F.col("s_suppkey")
+    old = c.select(
+        k.alias("prediction_id"), F.when(k % 3 != 0, F.concat(F.lit("Obj "), (k % 900).cast("string"))).alias("name"), F.when(k % 2 == 0, F.concat(F.lit("2020 AB"), (k % 1300).cast("string"))).alias("designation"),
+        F.col("c_acctbal").cast("double").alias("magnitude"), (k % 50).cast("double").alias("ra_rate"),
+    )
+    new = s.select(
+        q.alias("prediction_id"), F.when(q % 2 == 0, F.concat(F.lit("OBJ-"), (q * 7).cast("string"))).alias("name"), F.when(q % 3 != 0, F.concat(F.lit("2020ab"), (q * 6).cast("string"))).alias("designation"),
+        F.when(q % 4 != 0, F.col("s_acctbal").cast("double")).alias("magnitude"), F.lit(None).cast("double").alias("ra_rate"),
+    )
+    return rounded(ct.merge_predictions(old, new, ["name", "designation", "magnitude", "ra_rate"]))
+
+
 def cluster_match(spark, d):
     c, v = si.catalog(spark, d), si.variables(spark, d)
     fields = c.where(F.col("source_no") < 10).select("field", "ra_deg", "dec_deg", (F.lit(5.0) + F.col("source_no")).alias("radius_deg"))
@@ -276,6 +291,27 @@ def reference_ranking(spark, d):
     return rounded(rank(m, tolerance=0.75, pool=8, near_saturated=near_saturated()), 6)
 
 
+def fallback_ranking(spark, d):
+    """References in order for every target, also for those without a known magnitude."""
+    from skyloom.operators import comparison as cp
+
+    u = F.col("source_no")
+    m = si.raw_measurements(spark, d).withColumn("calibrated_magnitude", F.when(u % 3 == 0, F.col("instrumental_magnitude") + 22.0)).withColumn("catalog_magnitude", F.when(u % 5 != 1, F.col("catalog_magnitude")))
+    stars = m.select("source_id", "source_no").distinct()
+    known = stars.where(u % 8 != 4).select("source_id", F.when(u % 4 == 0, F.lit(8.0) + (u % 80) / F.lit(10.0)).when(u % 16 == 1, F.lit(9.0)).alias("magnitude"))
+    refs = cp.usable_references(m, known, near_saturated())
+    out = cp.ranked_references(cp.target_magnitudes(m, known), refs, 8)
+    return rounded(out, 6)
+
+
+def sampled_sets(spark, d):
+    """Sets of four of twenty favourites: more than are tried, so a spread sample with the preferred and the nearest set."""
+    from skyloom.operators import comparison as cp
+
+    f = ct.reference_stars(si.catalog(spark, d), si.variables(spark, d), limit=20).select("field", "source_id", F.col("rank").alias("position"))
+    return cp.sets_of(f, "field", 4, 200, f.where("position % 3 = 0")).select("field", "set_id")
+
+
 def stamp_bands(spark, d):
     m = si.raw_measurements(spark, d)
     per = m.select("source_id", "source_no", "catalog_magnitude").distinct()
@@ -301,7 +337,7 @@ QUERIES = {
         reference_stars, crossmatch_bands, nearest_catalog, hr_match, unique_match, isolated_sources, cone_search, nearest_snapshot,
         catalog_union, magnitude_filter, object_type, designation_keys, preferred_identifier, variable_candidates, brightest,
         comparison_candidates, comparison_sets, catalog_search, distance_map, cluster_distance, catalog_dedupe, entity_resolution,
-        layer_summary, prediction_merge, cluster_match, adu_screen, mag_error, ccd_flux_error, error_budget, phase_fold, hr_diagram,
-        moonlight_score, reference_ranking, stamp_bands, folder_match,
+        layer_summary, prediction_merge, prediction_identity, cluster_match, adu_screen, mag_error, ccd_flux_error, error_budget, phase_fold, hr_diagram,
+        moonlight_score, reference_ranking, fallback_ranking, sampled_sets, stamp_bands, folder_match,
     )
 }
