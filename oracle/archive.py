@@ -57,8 +57,8 @@ SQL = {
     "deck_merge": q(
         FILES,
         f"""SELECT {ROOT_OF} AS root_path, CASE WHEN root_path='/data/archive/nested' THEN 'nested' ELSE object_name END AS target_name,
-        CASE WHEN k%2=0 THEN 2 ELSE 1 END AS version, count(*) AS file_count, CAST(sum(k) AS BIGINT) AS file_no_sum
-        FROM files WHERE k%3<>0 OR k%2=0 GROUP BY ALL""",
+        version, count(*) AS file_count, CAST(sum(k) AS BIGINT) AS file_no_sum
+        FROM files, (VALUES (1), (2)) AS v(version) WHERE version=2 OR k%2<>0 GROUP BY ALL""",
     ),
     "frame_groups": q(
         FILES,

@@ -124,8 +124,8 @@ SQL = {
     ),
     "variable_candidates": q(
         CATALOG, VARIABLES, REFSTARS,
-        """SELECT source_id, round(magnitude,6) AS magnitude FROM catalog WHERE source_id NOT IN (SELECT source_id FROM refstars)
-        AND source_no NOT IN (SELECT source_no*15 FROM variables) AND magnitude BETWEEN 9 AND 17 ORDER BY catalog.magnitude, lower(name), source_id LIMIT 60""",
+        """SELECT field, source_id, round(magnitude,6) AS magnitude FROM catalog WHERE source_id NOT IN (SELECT source_id FROM refstars)
+        AND source_no NOT IN (SELECT source_no*15 FROM variables) AND magnitude BETWEEN 9 AND 17 QUALIFY row_number() OVER (PARTITION BY field ORDER BY catalog.magnitude, lower(name), source_id) <= 60""",
     ),
     "brightest": q(
         CATALOG,
@@ -135,11 +135,11 @@ SQL = {
         "SELECT object_type, source_id, round(m,6) AS magnitude, rank FROM r WHERE rank <= greatest(1, floor(n*12.5/100.0))",
     ),
     "comparison_candidates": q(
-        CATALOG,
-        """t AS (SELECT source_id AS target_id, ra_deg, dec_deg, magnitude, CASE WHEN source_no%2=0 THEN bp_rp END AS c FROM catalog WHERE source_no%15=0),
+        CATALOG, VARIABLES,
+        """t AS (SELECT source_id AS target_id, ra_deg, dec_deg + 0.02::DOUBLE AS dec_deg, magnitude, CASE WHEN source_no%2=0 THEN 0.2::DOUBLE + source_no%25/10.0::DOUBLE END AS c FROM variables),
         j AS (SELECT t.target_id, r.source_id, r.name, degrees(acos(least(1.0, greatest(-1.0, sin(radians(t.dec_deg))*sin(radians(r.dec_deg))
           + cos(radians(t.dec_deg))*cos(radians(r.dec_deg))*cos(radians(t.ra_deg)-radians(r.ra_deg))))))*60 AS s, abs(r.magnitude-t.magnitude) AS dm,
-          abs(r.bp_rp-t.c) AS dc FROM t JOIN catalog r ON r.source_no%15<>0),
+          abs(r.bp_rp-t.c) AS dc FROM t, catalog r),
         k AS (SELECT *, dm/2.0 + coalesce(dc/0.6,0) + s/600.0 AS score FROM j WHERE s<=600 AND dm<=2.0 AND coalesce(dc<=0.6,true))""",
         """SELECT target_id, source_id, round(s,6) AS separation_arcmin, round(dm,6) AS delta_mag, round(dc,6) AS delta_color, round(score,6) AS score,
         row_number() OVER (PARTITION BY target_id ORDER BY k.score, s, lower(name), source_id) AS rank FROM k QUALIFY rank <= 10""",
@@ -160,12 +160,17 @@ SQL = {
     "distance_map": q(
         CATALOG,
         """m AS (SELECT *, 1000.0/parallax_mas AS d, parallax_mas/parallax_error_mas AS snr FROM catalog WHERE parallax_mas/parallax_error_mas >= 5
-          AND 1000.0/parallax_mas <= 500 ORDER BY magnitude, 1000.0/parallax_mas, name LIMIT 500)""",
+          AND 1000.0/parallax_mas <= 500)""",
         """SELECT source_id, round(magnitude,4) AS magnitude, round(d,4) AS distance_pc, round(snr,4) AS parallax_snr,
         round(1000.0/(parallax_mas+parallax_error_mas),4) AS near_pc, round(1000.0/greatest(parallax_mas-parallax_error_mas,1e-6),4) AS far_pc,
         round(d*cos(radians(dec_deg))*cos(radians(ra_deg)),4) AS x_pc, round(d*cos(radians(dec_deg))*sin(radians(ra_deg)),4) AS y_pc,
         round(d*sin(radians(dec_deg)),4) AS z_pc FROM m""",
     ),
+    "distance_rejections": q(
+        CATALOG,
+        """m AS (SELECT field, CASE WHEN source_no%11<>0 THEN CASE WHEN source_no%13=0 THEN -parallax_mas ELSE parallax_mas END END AS p, CASE WHEN source_no%17<>0 THEN parallax_error_mas END AS e FROM catalog)""",
+        """SELECT field, CASE WHEN e IS NULL OR p IS NULL OR p <= 0 OR p/e < 5 THEN 'low_snr' WHEN 1000.0/p > 500 THEN 'distance' ELSE 'kept' END AS outcome, count(*) AS star_count FROM m GROUP BY ALL""",
+    ),
     "cluster_distance": q(
         CATALOG,
         """SELECT object_type, count(*) AS member_count,
@@ -174,7 +179,7 @@ SQL = {
     ),
     "catalog_dedupe": q(
         CATALOG, VARIABLES,
-        f"""p AS (SELECT *, 'al' || (source_no%700) AS al FROM catalog WHERE source_no%2=1),
+        f"""p AS (SELECT *, 'al' || (source_no%700) AS al FROM catalog),
         s AS (SELECT *, 'al' || (source_no*11) AS al FROM variables),
         st AS (SELECT source_id FROM s WHERE NOT EXISTS (SELECT 1 FROM p WHERE round(p.ra_deg,4)=round(s.ra_deg,4) AND round(p.dec_deg,4)=round(s.dec_deg,4))
           AND NOT EXISTS (SELECT 1 FROM p WHERE p.source_no%3=0 AND {sep('p', 's')} <= 432.0)),

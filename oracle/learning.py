@@ -66,7 +66,7 @@ SQL = {
     ),
     "moving_features": q(
         DET,
-        """l AS (SELECT night, u, regr_slope(x,h) AS vx, regr_intercept(x,h) AS ix, regr_slope(y,h) AS vy, regr_intercept(y,h) AS iy, min(h) AS t0, max(h) AS t1 FROM det WHERE u%3<>0 GROUP BY night, u HAVING count(*)>=3),
+        """l AS (SELECT night, u, regr_slope(x,h) AS vx, regr_intercept(x,h) AS ix, regr_slope(y,h) AS vy, regr_intercept(y,h) AS iy, min(h) AS t0, max(h) AS t1 FROM det GROUP BY night, u HAVING count(*)>=3),
         r AS (SELECT det.*, l.* EXCLUDE (night, u), pow(x-ix-vx*h,2)+pow(y-iy-vy*h,2) AS o2 FROM det JOIN l USING (night, u)),
         a AS (SELECT night, u, count(*) AS n, (max(fi)-min(fi)+1)::DOUBLE AS sp, avg(snr) AS s1, min(snr) AS s2, max(snr) AS s3, stddev_pop(snr) AS s4, median(snr) AS s5, min(pk) AS p1, max(pk) AS p2, median(pk) AS p3,
           sqrt(avg(o2)) AS rms, sqrt(max(o2)) AS mx, stddev_pop(x) AS xs, stddev_pop(y) AS ys, (max(h)-min(h))*3600.0 AS span, any_value(ix+vx*t0) AS x0, any_value(iy+vy*t0) AS y0, any_value(ix+vx*t1) AS x1,

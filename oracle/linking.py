@@ -11,8 +11,8 @@ DET = """
 d0 AS (SELECT user_id AS u, CAST(floor(epoch_us(ts)/1e6/86400) AS BIGINT) AS night, CAST(floor(epoch_us(ts)/1e6/10800) AS BIGINT)%8 AS fi, avg(value) AS v, max(value) AS pk, count(*) AS k FROM events GROUP BY ALL),
 det AS (SELECT night, fi, u, fi*3.0::DOUBLE AS h, v/5.0 AS snr, pk, (u*37%1000) + CASE WHEN u%3<>0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END*(u%7-3)*0.8::DOUBLE*(fi*3.0::DOUBLE) + k%3*0.1::DOUBLE AS x,
   (u*91%1000) + CASE WHEN u%3<>0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END*(u%5-2)*0.7::DOUBLE*(fi*3.0::DOUBLE) AS y FROM d0),
-known AS (SELECT night, 'K' || u AS object_id, fi, x+0.5 AS x, y, u FROM det WHERE u%3=1 AND u%2=0),
-cand AS (SELECT night, 'C' || u AS candidate_id, fi, x, y, snr FROM det WHERE u%3<>0),
+known AS (SELECT night, 'K' || u AS object_id, fi, x + CASE WHEN u%3=1 AND u%2=0 THEN 0.5::DOUBLE ELSE 2000.0::DOUBLE + u*10 END AS x, y, u FROM det),
+cand AS (SELECT night, 'C' || u AS candidate_id, fi, x - CASE WHEN u%3<>0 THEN 0.0::DOUBLE ELSE 3000.0::DOUBLE END AS x, y, snr FROM det),
 ov AS (SELECT c.night, candidate_id, object_id, count(*) AS mf, sqrt(avg(pow(c.x-k.x,2)+pow(c.y-k.y,2))) AS rms, sqrt(max(pow(c.x-k.x,2)+pow(c.y-k.y,2))) AS mx, avg(snr) AS asnr
   FROM cand c JOIN known k ON c.night=k.night AND c.fi=k.fi AND pow(c.x-k.x,2)+pow(c.y-k.y,2) <= 20.25 GROUP BY ALL HAVING count(*) >= 3)
 """
@@ -58,7 +58,7 @@ SQL = {
     "known_objects_in_field": q(
         DET,
         """p AS (SELECT night, fi, object_id, x AS px, y AS py, 10.0::DOUBLE+u%9 AS pm, u%40-5 AS alt, (u%4)::DOUBLE AS tr FROM known WHERE x BETWEEN 0 AND 900 AND y BETWEEN 0 AND 950 AND u%40-5 > 0),
-        d4 AS (SELECT * FROM det WHERE u%4<>0), fr AS (SELECT DISTINCT night, fi FROM d4),
+        d4 AS (SELECT * REPLACE (x + CASE WHEN u%4<>0 THEN 0.0::DOUBLE ELSE 30.0::DOUBLE END AS x) FROM det), fr AS (SELECT DISTINCT night, fi FROM d4),
         j AS (SELECT p.*, d.u AS did, d.snr, sqrt(pow(d.x-px,2)+pow(d.y-py,2)) AS o FROM p JOIN fr USING (night, fi) LEFT JOIN d4 d ON d.night=p.night AND d.fi=p.fi AND pow(d.x-px,2)+pow(d.y-py,2) <= 36
           QUALIFY row_number() OVER (PARTITION BY p.night, p.fi, object_id ORDER BY o, did)=1),
         c AS (SELECT *, greatest(0, least(0.99, 0.1 + greatest(0,least(0.25,(15.0-pm)/15.0)) + CASE WHEN snr IS NOT NULL THEN greatest(0,least(0.4,snr/20.0)) ELSE 0 END
@@ -101,7 +101,7 @@ SQL = {
     "astrometry_check": q(
         MEAS_RAW, FRAME,
         """p AS (SELECT frame_id, source_no AS a, ra_deg*1000 AS x, dec_deg*1000 AS y FROM fs),
-        d AS (SELECT frame_id, source_no AS b, ra_deg*1000+1.5+source_no%3*0.4::DOUBLE AS x, dec_deg*1000-0.7 AS y FROM fs WHERE source_no%5<>0),
+        d AS (SELECT frame_id, source_no AS b, ra_deg*1000+1.5+source_no%3*0.4::DOUBLE + CASE WHEN source_no%5<>0 THEN 0.0::DOUBLE ELSE 20000.0::DOUBLE END AS x, dec_deg*1000-0.7 AS y FROM fs),
         j AS (SELECT frame_id, a, b, d.x-p.x AS dx, d.y-p.y AS dy, pow(p.x-d.x,2)+pow(p.y-d.y,2) AS d2 FROM p JOIN d USING (frame_id) WHERE pow(p.x-d.x,2)+pow(p.y-d.y,2)<=36
           QUALIFY row_number() OVER (PARTITION BY frame_id, a ORDER BY d2, b)=1),
         m AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY frame_id, b ORDER BY d2, a)=1),

@@ -161,7 +161,7 @@ SQL = {
     ),
     "hr_planes": q(
         """e AS (SELECT vec_id AS frame_id, unnest(embedding)::DOUBLE AS v, unnest(generate_series(0,63)) AS pos FROM embeddings),
-        p0 AS (SELECT frame_id, ['red','green','blue'][pos//21+1] AS plane, pos%21//7 AS y, pos%21%7 AS x, 100.0::DOUBLE+50.0::DOUBLE*v AS value FROM e WHERE pos < 63),
+        p0 AS (SELECT frame_id, ['red','green','blue'][pos%3+1] AS plane, pos//21 AS y, pos//3%7 AS x, 100.0::DOUBLE+50.0::DOUBLE*v AS value FROM e),
         pl AS (SELECT frame_id, plane, y, x, value FROM p0 UNION ALL SELECT frame_id, 'lum', y, x, avg(value) FROM p0 GROUP BY frame_id, y, x),
         ss AS (SELECT DISTINCT frame_id, plane, 'c' AS source_id, 3.0::DOUBLE AS sx, 1.0::DOUBLE AS sy FROM pl)""",
         near("n1", "pl", "ss", "frame_id, plane", 1.5, 3.2),

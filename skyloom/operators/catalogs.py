@@ -390,15 +390,18 @@ def choose_field(stars: DataFrame) -> DataFrame:
 
 
 def variable_candidates(stars: DataFrame, variables: DataFrame, references: DataFrame, low=None, high=None, limit: int = 60) -> DataFrame:
+    """The brightest ``limit`` stars of each field (0: all) that are neither known to vary (variables, exoplanet hosts among
+    them) nor references."""
     known = variables.select("source_id").union(references.select("source_id")).distinct()
     out = stars.join(known, "source_id", "left_anti").where(n.finite("magnitude"))
     if low is not None:
         out = out.where(F.col("magnitude") >= low)
     if high is not None:
         out = out.where(F.col("magnitude") <= high)
-    out = out.withColumn("name_key", F.lower("name"))
-    out = out.orderBy("magnitude", "name_key", "source_id").limit(limit) if limit > 0 else out
-    return out.drop("name_key")
+    if limit <= 0:
+        return out
+    w = Window.partitionBy("field").orderBy("magnitude", F.lower("name"), "source_id")
+    return out.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= limit).drop("__r")
 
 
 def brightest(stars: DataFrame, keys: list[str], percent: float | None = None, count: int | None = None, fits: bool | None = None) -> DataFrame:

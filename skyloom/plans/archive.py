@@ -32,8 +32,9 @@ def deck_merge(spark, d):
     deck = si.orders_with_path(spark, d).select(
         "path", "root_path", "file_no", ar.target_name(F.col("path"), F.col("root_path")).alias("target_name"), F.lit(1).alias("version")
     )
-    incoming = deck.where(F.col("file_no") % 2 == 0).withColumn("version", F.lit(2))
-    merged = ar.deck_merge(deck.where(F.col("file_no") % 3 != 0), incoming)
+    # the scan brings every file again, the odd ones under a new path
+    path = F.when(F.col("file_no") % 2 == 0, F.col("path")).otherwise(F.concat("path", F.lit(".v2")))
+    merged = ar.deck_merge(deck, deck.withColumns({"path": path, "version": F.lit(2)}))
     return merged.groupBy("root_path", "target_name", "version").agg(
         F.count(F.lit(1)).alias("file_count"), F.sum("file_no").alias("file_no_sum")
     )
@@ -67,7 +68,8 @@ def incremental_reuse(spark, d):
         )
 
     size = F.floor("o_totalprice")
-    stored = inputs(F.when(n % 3 == 1, size + 1).otherwise(size), F.when(n % 7 == 0, "ap5").otherwise("ap4")).where(F.col("frame_id") % 5 != 0)
+    stored = inputs(F.when(n % 3 == 1, size + 1).otherwise(size), F.when(n % 7 == 0, "ap5").otherwise("ap4"))
+    stored = stored.withColumn("frame_id", F.when(F.col("frame_id") % 5 == 0, -F.col("frame_id") - 1).otherwise(F.col("frame_id")))  # results of other frames
     stored = stored.withColumn("reuse_key", ar.reuse_key())
     out = ar.incremental_reuse(inputs(size, F.lit("ap4")), stored)
     return out.withColumn("changed_inputs", F.concat_ws(";", "changed_inputs"))

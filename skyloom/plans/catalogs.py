@@ -121,7 +121,7 @@ def variable_candidates(spark, d):
     c, v = si.catalog(spark, d), si.variables(spark, d)
     known = v.select(F.concat(F.lit("G"), F.lpad((F.col("source_no") * 15).cast("string"), 9, "0")).alias("source_id"))
     out = ct.variable_candidates(c, known, ct.reference_stars(c, v), 9.0, 17.0, 60)
-    return rounded(out.select("source_id", "magnitude"))
+    return rounded(out.select("field", "source_id", "magnitude"))
 
 
 def brightest(spark, d):
@@ -131,8 +131,9 @@ def brightest(spark, d):
 
 def comparison_candidates(spark, d):
     c = si.catalog(spark, d)
-    t = c.where(F.col("source_no") % 15 == 0).withColumn("target_id", F.col("source_id")).withColumn("bp_rp", F.when(F.col("source_no") % 2 == 0, F.col("bp_rp")))
-    return rounded(ct.comparison_candidates(t, c.where(F.col("source_no") % 15 != 0), 2.0, 0.6, 600.0, 10), 6)
+    k = F.col("source_no")
+    t = si.variables(spark, d).withColumn("dec_deg", F.col("dec_deg") + 0.02).withColumn("target_id", F.col("source_id")).withColumn("bp_rp", F.when(k % 2 == 0, F.lit(0.2) + k % 25 / F.lit(10.0)))
+    return rounded(ct.comparison_candidates(t, c, 2.0, 0.6, 600.0, 10), 6)
 
 
 def _favourites(spark, d):
@@ -156,8 +157,14 @@ def catalog_search(spark, d):
 
 def distance_map(spark, d):
     m = ct.distance_map(si.catalog(spark, d))
-    top = m.where(F.col("rejected").isNull()).orderBy("magnitude", "distance_pc", "name").limit(500)
-    return rounded(top.select("source_id", "magnitude", "distance_pc", "parallax_snr", "near_pc", "far_pc", "x_pc", "y_pc", "z_pc"), 4)
+    return rounded(m.where(F.col("rejected").isNull()).select("source_id", "magnitude", "distance_pc", "parallax_snr", "near_pc", "far_pc", "x_pc", "y_pc", "z_pc"), 4)
+
+
+def distance_rejections(spark, d):
+    c = si.catalog(spark, d)
+    k = F.col("source_no")
+    c = c.withColumns({"parallax_mas": F.when(k % 11 != 0, F.when(k % 13 == 0, -F.col("parallax_mas")).otherwise(F.col("parallax_mas"))), "parallax_error_mas": F.when(k % 17 != 0, F.col("parallax_error_mas"))})
+    return ct.distance_map(c).groupBy("field", F.coalesce("rejected", F.lit("kept")).alias("outcome")).agg(F.count(F.lit(1)).alias("star_count"))
 
 
 def cluster_distance(spark, d):
@@ -166,7 +173,7 @@ def cluster_distance(spark, d):
 
 def catalog_dedupe(spark, d):
     c, v = si.catalog(spark, d), si.variables(spark, d)
-    prim = c.where(F.col("source_no") % 2 == 1).select("source_id", "ra_deg", "dec_deg", "name", F.array(F.concat(F.lit("al"), (F.col("source_no") % 700).cast("string"))).alias("aliases"), (F.col("source_no") % 3 == 0).alias("is_named"))
+    prim = c.select("source_id", "ra_deg", "dec_deg", "name", F.array(F.concat(F.lit("al"), (F.col("source_no") % 700).cast("string"))).alias("aliases"), (F.col("source_no") % 3 == 0).alias("is_named"))
     sec = v.select("source_id", "ra_deg", "dec_deg", "name", F.array(F.concat(F.lit("AL"), (F.col("source_no") * 11).cast("string"))).alias("aliases"), F.lit(False).alias("is_named"))
     stars = ct.merge_star_catalogs(prim, sec).groupBy("origin").agg(F.count(F.lit(1)).alias("row_count"), F.min("source_id").alias("first_id"), F.max("source_id").alias("last_id"))
     deep = ct.merge_deep_sky(prim, sec).groupBy(F.lit("deep_sky").alias("origin")).agg(F.count(F.lit(1)).alias("row_count"), F.min("source_id").alias("first_id"), F.max("source_id").alias("last_id"))
@@ -336,7 +343,7 @@ QUERIES = {
     for f in (
         reference_stars, crossmatch_bands, nearest_catalog, hr_match, unique_match, isolated_sources, cone_search, nearest_snapshot,
         catalog_union, magnitude_filter, object_type, designation_keys, preferred_identifier, variable_candidates, brightest,
-        comparison_candidates, comparison_sets, catalog_search, distance_map, cluster_distance, catalog_dedupe, entity_resolution,
+        comparison_candidates, comparison_sets, catalog_search, distance_map, distance_rejections, cluster_distance, catalog_dedupe, entity_resolution,
         layer_summary, prediction_merge, prediction_identity, cluster_match, adu_screen, mag_error, ccd_flux_error, error_budget, phase_fold, hr_diagram,
         moonlight_score, reference_ranking, fallback_ranking, sampled_sets, stamp_bands, folder_match,
     )

@@ -44,8 +44,7 @@ def candidate_features(spark, d):
 
 
 def moving_features(spark, d):
-    det = lp._detections(spark, d).where(F.col("detection_id") % 3 != 0)
-    return rounded(ln.moving_features(det, ["night", "detection_id"]).where(F.col("detection_count") >= 3), 9)
+    return rounded(ln.moving_features(lp._detections(spark, d), ["night", "detection_id"]).where(F.col("detection_count") >= 3), 9)
 
 
 def source_features(spark, d):

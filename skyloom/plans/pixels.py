@@ -63,10 +63,10 @@ def aperture_photometry(spark, d):
 
 def hr_planes(spark, d):
     names = F.array(F.lit("red"), F.lit("green"), F.lit("blue"))
-    p = si.table(spark, d, "embeddings").select(F.col("vec_id").alias("frame_id"), F.posexplode("embedding").alias("pos", "v")).where(F.col("pos") < 63)
+    p = si.table(spark, d, "embeddings").select(F.col("vec_id").alias("frame_id"), F.posexplode("embedding").alias("pos", "v"))
     p = p.select(
-        "frame_id", F.element_at(names, (F.floor(F.col("pos") / 21) + 1).cast("int")).alias("plane"), F.floor(F.col("pos") % 21 / 7).cast("long").alias("y"),
-        (F.col("pos") % 21 % 7).cast("long").alias("x"), (F.lit(100.0) + F.lit(50.0) * F.col("v").cast("double")).alias("value"),
+        "frame_id", F.element_at(names, (F.col("pos") % 3 + 1).cast("int")).alias("plane"), F.floor(F.col("pos") / 21).cast("long").alias("y"),
+        (F.floor(F.col("pos") / 3) % 7).cast("long").alias("x"), (F.lit(100.0) + F.lit(50.0) * F.col("v").cast("double")).alias("value"),
     )
     s = si.table(spark, d, "embeddings").select(F.col("vec_id").alias("frame_id"), F.lit("c").alias("source_id"), F.lit(3.0).alias("sx"), F.lit(1.0).alias("sy"))
     return rounded(px.planes_photometry(p, s, 1.1, 1.5, 3.2), 5)
