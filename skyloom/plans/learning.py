@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skyloom.functions.lineage import cut
 from skyloom.functions.numeric import rounded
 from skyloom.operators import clusters as cl
 from skyloom.operators import learning as ln
+from skyloom.operators import quality as ql
 from skyloom.plans import linking as lp
 from skyloom.plans import standins as si
 
@@ -40,11 +42,13 @@ def _transient_detections(spark, d):
 
 
 def candidate_features(spark, d):
-    return rounded(ln.transient_features(_transient_detections(spark, d), "user_id"), 5)
+    found = lp.transient_candidates(spark, d).withColumnRenamed("group_id", "user_id")
+    return rounded(ln.with_candidate_values(ln.transient_features(_transient_detections(spark, d), "user_id"), found, "user_id"), 5)
 
 
 def moving_features(spark, d):
-    return rounded(ln.moving_features(lp._detections(spark, d), ["night", "detection_id"]).where(F.col("detection_count") >= 3), 9)
+    scale = F.when(F.col("night") % 2 == 0, F.lit(1.5))
+    return rounded(ln.moving_features(lp._detections(spark, d), ["night", "detection_id"], scale).where(F.col("detection_count") >= 3), 9)
 
 
 def source_features(spark, d):
@@ -53,6 +57,20 @@ def source_features(spark, d):
     return rounded(ln.source_features(ph.scored(spark, d)), 4)
 
 
+def training_features(spark, d):
+    from skyloom.plans import photometry as ph
+
+    fits = ph.series_fit(spark, d)
+    scored = cut(ph.scored(spark, d, fits).withColumn("background_level", F.col("flux") * 0.2).withColumn("saturation_fraction", F.col("peak_pixel_value") / 450.0))
+    series = ql.variability_metrics(scored, fits)
+    frames = si.raw_measurements(spark, d).select("object_name", "file_path", "frame_no").distinct().select(
+        "object_name", (F.lit(30.0) + F.col("frame_no") % 5 * 15).alias("exposure_seconds"), F.lit(4096.0).alias("width"), (F.lit(2048.0) + F.col("frame_no") % 3).alias("height"), (F.lit(1.0) + F.col("frame_no") % 2).alias("binning")
+    )
+    stars = si.raw_measurements(spark, d).where(F.col("source_no") % 5 < 4).select("source_id", F.col("catalog_magnitude").alias("magnitude")).distinct()
+    settings = {"site_latitude_deg": 48.5, "bortle_scale": 5, "aperture_mode": "fwhm_scaled", "aperture_radius_fwhm_scale": 1.75}
+    return rounded(ln.training_features(scored, series, frames, stars, settings), 4)
+
+
 def _labels(spark, d):
     lab = si.table(spark, d, "labels")
     key = ln.candidate_key(F.lit("doc"), F.col("doc_id"))
@@ -96,6 +114,6 @@ def score_candidates(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        motion_groups, distance_clusters, candidate_features, moving_features, source_features, label_summary, train_classifier, score_candidates,
+        motion_groups, distance_clusters, candidate_features, moving_features, source_features, training_features, label_summary, train_classifier, score_candidates,
     )
 }
