@@ -66,6 +66,16 @@ SQL = {
         arg_min(path, (coalesce(observation_date, DATE '0001-01-01'), path)) AS first_path, arg_max(path, (coalesce(observation_date, DATE '0001-01-01'), path)) AS last_path
         FROM inv WHERE has_wcs GROUP BY ALL""",
     ),
+    "frame_group_members": q(
+        FILES,
+        """SELECT coalesce(filter_name,'Unknown') AS filter_name, exposure_seconds, row_number() OVER (PARTITION BY coalesce(filter_name,'Unknown'), exposure_seconds ORDER BY observation_date NULLS FIRST, path) AS position, path
+        FROM inv WHERE has_wcs""",
+    ),
+    "deck_instruments": q(
+        FILES, COUNTING,
+        """i AS (SELECT DISTINCT root_path || '/' || object_name AS target, 'cam' || (c%4) AS instrument FROM cf), e AS (SELECT * FROM i UNION ALL SELECT DISTINCT 'all', instrument FROM i)""",
+        "SELECT target, count(*) AS instrument_count, string_agg(instrument, ';' ORDER BY instrument) AS instruments FROM e GROUP BY target",
+    ),
     "frame_batches": q(
         FILES,
         """fr AS (SELECT 'c' || (c%50) AS target_name, path, observation_time,

@@ -231,6 +231,16 @@ SQL = {
         """SELECT field, entry_id, star_count, in_footprint, round(score,6) AS score FROM g
         QUALIFY row_number() OVER (PARTITION BY field ORDER BY g.score DESC, entry_id DESC) = 1""",
     ),
+    "cluster_members": q(
+        CATALOG, VARIABLES,
+        f"""f AS (SELECT field, ra_deg, dec_deg, 5.0::DOUBLE + source_no AS r FROM catalog WHERE source_no < 10),
+        e AS (SELECT source_id AS entry_id, ra_deg, dec_deg, 4.0::DOUBLE + source_no%5 AS vr FROM variables),
+        n AS (SELECT c.field, e.entry_id, count(*) AS star_count FROM catalog c JOIN e ON {sep('c', 'e')} <= vr*1.15*3600 GROUP BY ALL),
+        p AS (SELECT f.field, e.entry_id, coalesce(n.star_count,0) AS star_count, {sep('f', 'e')}/3600 AS s, {sep('f', 'e')} <= (greatest(0.1,r)+vr+0.35)*3600 AS in_footprint
+          FROM f CROSS JOIN e LEFT JOIN n ON n.field=f.field AND n.entry_id=e.entry_id),
+        b AS (SELECT field, entry_id FROM p WHERE in_footprint OR star_count>=5 QUALIFY row_number() OVER (PARTITION BY field ORDER BY star_count*10.0 + CASE WHEN in_footprint THEN 100.0 ELSE 0 END - s DESC, entry_id DESC) = 1)""",
+        f"""SELECT c.field, e.entry_id, c.source_id, round({sep('c', 'e')}/3600,5) AS separation_deg FROM catalog c JOIN b USING (field) JOIN e ON e.entry_id = b.entry_id WHERE {sep('c', 'e')}/3600 <= vr*1.15""",
+    ),
     "adu_screen": q(
         MEAS_RAW,
         """SELECT filter_name, count(*) AS row_count, count(DISTINCT source_id) AS source_count, max(peak_pixel_value*10) AS top_peak FROM meas
@@ -328,3 +338,10 @@ SQL = {
         FROM g LEFT JOIN al a ON a.side='a' AND a.id=aid LEFT JOIN al b ON b.side='b' AND b.id=bid""",
     ).replace("WITH ", "WITH RECURSIVE ", 1),
 }
+SQL["snapshot_entries"] = f"""SELECT query_id, snapshot_id, l_linenumber::BIGINT AS rank, l_partkey AS object_no, round(l_extendedprice::DOUBLE, 6) AS brightness
+  FROM ({SQL['nearest_snapshot']}) s JOIN lineitem ON l_orderkey = snapshot_id"""
+SQL["folder_references"] = q(
+    CATALOG, VARIABLES, REFSTARS, f"kp AS ({SQL['folder_match']})",
+    "bo AS (SELECT source_id, field, magnitude, true AS is_extra FROM kp JOIN catalog USING (source_no) WHERE kept UNION ALL SELECT source_id, field, magnitude, false FROM refstars)",
+    "SELECT source_id, field, round(magnitude,6) AS magnitude, is_extra FROM bo QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY NOT is_extra, field) = 1",
+)

@@ -168,8 +168,9 @@ SQL = {
         """a AS (SELECT frame_id, plane, source_id, any_value(bg) AS bg, any_value(sd) AS sd, any_value(na) AS na, count(*) FILTER (r<=1.1) AS ap, sum(value) FILTER (r<=1.1) AS s FROM n1 GROUP BY ALL),
         f AS (SELECT *, s-ap*bg AS fl, sqrt(abs(s-ap*bg)+ap*sd*sd*(1+ap/na)) AS fe, CASE WHEN s-ap*bg>0 THEN -2.5*log10(s-ap*bg) END AS mg FROM a)""",
         "SELECT frame_id, source_id, "
-        + ", ".join(f"round(max(fl) FILTER (plane='{p}'),5) AS {p}_flux, round(max(mg) FILTER (plane='{p}'),5) AS {p}_mag, round(max(fl/fe) FILTER (plane='{p}'),5) AS {p}_snr" for p in ("lum", "red", "green", "blue"))
-        + ", round(max(mg) FILTER (plane='blue') - max(mg) FILTER (plane='red'),5) AS blue_minus_red FROM f GROUP BY frame_id, source_id",
+        + ", ".join(f"round(max(fl) FILTER (plane='{p}'),5) AS {p}_flux, round(max(mg) FILTER (plane='{p}'),5) AS {p}_mag, round(max(fl/fe) FILTER (plane='{p}'),5) AS {p}_snr, round(max(fe) FILTER (plane='{p}'),5) AS {p}_flux_error" for p in ("lum", "red", "green", "blue"))
+        + ", round(max(mg) FILTER (plane='blue') - max(mg) FILTER (plane='red'),5) AS blue_minus_red, round(coalesce(CASE WHEN frame_id%3=0 THEN frame_id%20/10.0::DOUBLE END, max(mg) FILTER (plane='blue') - max(mg) FILTER (plane='red')),5) AS colour,"
+        + " CASE WHEN frame_id%3=0 THEN 'catalog' WHEN max(mg) FILTER (plane='blue') - max(mg) FILTER (plane='red') IS NOT NULL THEN 'instrumental' ELSE 'none' END AS colour_source FROM f GROUP BY frame_id, source_id",
     ),
     "frame_fwhm": q(
         PIX, SRC,
@@ -224,6 +225,18 @@ SQL = {
         """SELECT frame_id, y, x, round(value,5) AS value, round((value-md)/sc,5) AS local_snr FROM res r JOIN s USING (frame_id) WHERE value > md+1.5*sc AND y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6
         AND NOT EXISTS (SELECT 1 FROM res b WHERE b.frame_id=r.frame_id AND abs(b.y-r.y)<=1 AND abs(b.x-r.x)<=1 AND b.value > r.value)""",
     ),
+    "frame_signal": q(
+        PIX, "m AS (SELECT frame_id, median(value) AS b, quantile_cont(value, 0.995) AS t FROM pix GROUP BY ALL), d AS (SELECT frame_id, 1.4826*median(abs(value-b)) AS n, any_value(b) AS b, any_value(t) AS t FROM pix JOIN m USING (frame_id) GROUP BY frame_id)",
+        "SELECT frame_id, round(b,6) AS background, round(t-b,6) AS signal, round(n,6) AS noise, round((t-b)/n,6) AS snr FROM d",
+    ),
+    "unknown_residuals": q(
+        PIX, RES,
+        """m AS (SELECT frame_id, median(value) AS md FROM res GROUP BY ALL),
+        s AS (SELECT frame_id, 1.4826*median(abs(value-md)) AS sc, any_value(md) AS md FROM res JOIN m USING (frame_id) GROUP BY ALL)""",
+        """SELECT frame_id, y, x, round(value,5) AS value, round((value-md)/sc,5) AS local_snr FROM res r JOIN s USING (frame_id) WHERE value > md+1.5*sc AND y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6
+        AND NOT EXISTS (SELECT 1 FROM res b WHERE b.frame_id=r.frame_id AND abs(b.y-r.y)<=1 AND abs(b.x-r.x)<=1 AND b.value > r.value)
+        AND (value-md)/sc BETWEEN 1.6 AND 4.0 AND pow(x-(2+frame_id%4),2)+pow(y-(3+frame_id%3),2) > 2.25""",
+    ),
     "streaks": "WITH RECURSIVE " + q(
         PIX, RES,
         """r2 AS (SELECT frame_id, y, x, value + 20.0 AS value FROM res),

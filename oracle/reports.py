@@ -104,3 +104,30 @@ SQL = {
         WHEN candidate_score>=25 THEN 'discovered' ELSE 'below minimum score' END AS outcome, set_id, candidate_score FROM tg LEFT JOIN best ON sid=tg.source_id AND best.filter_name=tg.filter_name""",
     ),
 }
+
+_WARNINGS = {
+    "unmatched_filter_code": "skip IS NULL AND code='O'", "check_star_missing": "skip IS NULL AND cid IS NULL", "airmass_missing": "skip IS NULL AND air IS NULL",
+    "differential_only": "skip IS NULL AND cal IS NULL", "rows_skipped": "skip IS NOT NULL",
+}
+SQL["submission_warnings"] = q(
+    MEAS_RAW, PAIRS, DIFF, QUALITY, SCIENCE, SUBMIT,
+    "w AS ("
+    + " UNION ALL ".join(f"SELECT object_name, '{k}' AS warning, count(*) FILTER ({c}) AS row_count FROM sub1 GROUP BY object_name" for k, c in _WARNINGS.items())
+    + " UNION ALL SELECT object_name, 'nothing_to_submit', CASE WHEN count(*) FILTER (skip IS NULL) = 0 THEN 1 ELSE 0 END FROM sub1 GROUP BY object_name)",
+    "SELECT object_name, warning, row_count::BIGINT AS row_count FROM w WHERE row_count > 0",
+)
+
+
+def _counted(column: str) -> str:
+    return f"(SELECT string_agg(v || '=' || c, ';' ORDER BY v) FROM (SELECT coalesce({column}, '') AS v, count(*) AS c FROM sc WHERE sc.object_name = b.object_name GROUP BY 1))"
+
+
+SQL["provenance_manifest"] = q(
+    MEAS_RAW, f"sc AS ({SQL['science_rows']})",
+    """b AS (SELECT object_name, count(DISTINCT file_path) AS file_count, min(observation_time) AS t0, max(observation_time) AS t1, string_agg(DISTINCT filter_name, ';' ORDER BY filter_name) AS filters,
+      count(DISTINCT source_id) FILTER (is_variable) AS vc, count(DISTINCT source_id) FILTER (is_reference) AS rc, median(3.0 + source_no%4*0.5) AS ar FROM meas GROUP BY object_name),
+    a AS (SELECT object_name, count(*) FILTER (accepted) AS ac, count(*) FILTER (NOT accepted) AS rj FROM sc GROUP BY object_name)""",
+    f"""SELECT object_name, file_count, round(t0,3) AS observation_start, round(t1,3) AS observation_end, filters, vc AS variable_star_count, ac AS accepted_count, rj AS rejected_count, rc AS reference_star_count,
+    {_counted('calibration_state')} AS calibration_states, {_counted('comparison_method')} AS comparison_methods, {_counted('filter_name')} AS filter_counts, round(ar,3) AS median_aperture_radius
+    FROM b JOIN a USING (object_name)""",
+)

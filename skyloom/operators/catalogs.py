@@ -627,6 +627,25 @@ def merge_predictions(existing: DataFrame, authoritative: DataFrame, filled: lis
     return best.select(*out, origin.alias("origin"), "matched_rows")
 
 
+def cluster_members(stars: DataFrame, entries: DataFrame, matched: DataFrame, scale: float = 1.15) -> DataFrame:
+    """Stars of each field inside the scaled visible radius of the entry matched to it, nearest first."""
+    chosen = matched.select("field", "entry_id").join(entries.select("entry_id", F.col("ra_deg").alias("__era"), F.col("dec_deg").alias("__ede"), "visible_radius_deg"), "entry_id")
+    sep = sky.separation_arcsec("ra_deg", "dec_deg", "__era", "__ede") / 3600.0
+    rows = stars.select("field", "source_id", "ra_deg", "dec_deg").join(chosen, "field").withColumn("separation_deg", sep)
+    return rows.where(F.col("separation_deg") <= F.col("visible_radius_deg") * scale).select("field", "entry_id", "source_id", "separation_deg")
+
+
+def snapshot_entries(found: DataFrame, entries: DataFrame) -> DataFrame:
+    """Entries of each query's snapshot by their rank."""
+    return found.select("query_id", "snapshot_id").join(entries, "snapshot_id")
+
+
+def with_extras_first(extras: DataFrame, stars: DataFrame) -> DataFrame:
+    """Extras and stars without repeats of a source: an extra (``is_extra``) stands before a star of the same id."""
+    both = extras.withColumn("is_extra", F.lit(True)).unionByName(stars.withColumn("is_extra", F.lit(False)))
+    return first_per_key(both.withColumn("__o", F.when(F.col("is_extra"), 0).otherwise(1)), ["source_id"], ["__o", "field"]).drop("__o")
+
+
 def cluster_match(stars: DataFrame, entries: DataFrame, fields: DataFrame, scale: float = 1.15, margin_deg: float = 0.35, dense: int = 5) -> DataFrame:
     """Best cluster entry per field: 10 per star inside the scaled visible radius, 100 when in the footprint, minus separation."""
     largest = entries.agg(F.max("visible_radius_deg")).first()[0] or 0.0

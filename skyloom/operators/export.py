@@ -164,6 +164,44 @@ def submission_preflight(lines: DataFrame) -> DataFrame:
     )
 
 
+def submission_warnings(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Warnings of a submission, one row per object and kind: unfiltered or unknown filters, lines without a check star,
+    without airmass, by differential magnitude only, and objects of which nothing is submitted."""
+    told = lines.join(rows.select(*ROW, "object_name", F.col("check").isNull().alias("__unchecked")), ROW)
+    sent, skipped = F.col("skip_reason").isNull(), F.col("skip_reason").isNotNull()
+    kinds = {
+        "unmatched_filter_code": sent & (F.col("filter_code") == "O"), "check_star_missing": sent & F.col("__unchecked"), "airmass_missing": sent & F.col("export_line").contains("Airmass unavailable"),
+        "differential_only": sent & (F.col("mtype") == "DIF"), "rows_skipped": skipped,
+    }
+    per = told.groupBy("object_name").agg(*[F.count_if(c).alias(k) for k, c in kinds.items()], F.count_if(sent).alias("__sent"))
+    per = per.withColumn("nothing_to_submit", F.when(F.col("__sent") == 0, F.lit(1)).otherwise(F.lit(0)).cast("long"))
+    return per.select("object_name", F.stack(F.lit(6), *[x for k in (*kinds, "nothing_to_submit") for x in (F.lit(k), F.col(k))]).alias("warning", "row_count")).where(F.col("row_count") > 0)
+
+
+def _counted(rows: DataFrame, key: str, column: str, name: str) -> DataFrame:
+    """Counts of a column's values as one text per key: ``value=count`` joined by ``;`` in the order of the values."""
+    per = rows.groupBy(key, F.coalesce(column, F.lit("")).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    return per.groupBy(key).agg(F.concat_ws(";", F.transform(F.array_sort(F.collect_list(F.struct("__v", "__c"))), lambda s: F.concat_ws("=", s["__v"], s["__c"].cast("string")))).alias(name))
+
+
+def provenance_manifest(science: DataFrame, measurements: DataFrame, references: DataFrame) -> DataFrame:
+    """One row per object with what a report says about its making: files, filters, time range, accepted and rejected rows,
+    calibration states, comparison methods, reference stars and median aperture radii (null without such columns)."""
+    key = ["object_name"]
+    base = measurements.groupBy(*key).agg(
+        F.count_distinct("file_path").alias("file_count"), F.min("observation_time").alias("observation_start"), F.max("observation_time").alias("observation_end"),
+        F.concat_ws(";", F.array_sort(F.collect_set("filter_name"))).alias("filters"), F.count_distinct(F.when(F.col("is_variable"), F.col("source_id"))).alias("variable_star_count"),
+    )
+    rows = science.groupBy(*key).agg(F.count_if("accepted").alias("accepted_count"), F.count_if(~F.col("accepted")).alias("rejected_count"))
+    out = attach(attach(base, rows, key), references.groupBy(*key).agg(F.count_distinct("source_id").alias("reference_star_count")), key)
+    for column, name in (("calibration_state", "calibration_states"), ("comparison_method", "comparison_methods"), ("filter_name", "filter_counts")):
+        out = attach(out, _counted(science, "object_name", column, name), key)
+    for column in ("aperture_radius", "annulus_inner_radius", "annulus_outer_radius"):
+        if column in measurements.columns:
+            out = attach(out, group_quantiles(measurements, key, F.col(column), {f"median_{column}": 0.5}), key)
+    return out
+
+
 def reference_manifest(science: DataFrame, references: DataFrame) -> DataFrame:
     """Use and health of every reference star."""
     used = science.select(F.explode("comparison_source_ids").alias("source_id"), (~F.col("excluded_from_analysis") & ~F.col("is_saturated")).alias("ok"))

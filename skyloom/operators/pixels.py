@@ -104,6 +104,21 @@ def region_snr(pixels: DataFrame, signal: Column, background: Column, fits: bool
     return j.select(*key, level.alias("signal"), noise.alias("noise"), n.ratio(level, noise).alias("snr"))
 
 
+def frame_signal(pixels: DataFrame, fits: bool | None = None) -> DataFrame:
+    """Signal and noise of whole frames: the 99.5th percentile over the median, and 1.4826 MAD (spread when the MAD is 0)."""
+    key = ["frame_id"]
+    good = pixels.where(n.finite("value"))
+    fits = groups_fit(good, key) if fits is None else fits
+    level = group_quantiles(good, key, F.col("value"), {"background": 0.5, "__top": 0.995}, fits)
+    dev = attach(good, level, key)
+    mad = group_quantiles(dev, key, F.abs(F.col("value") - F.col("background")), {"__mad": 0.5}, fits)
+    spread = good.groupBy(*key).agg(F.stddev_pop("value").alias("__sd"))
+    j = attach(attach(level, mad, key), spread, key)
+    noise = F.when(F.col("__mad") > 0, F.col("__mad") * n.MAD_TO_SIGMA).otherwise(F.col("__sd"))
+    signal = F.col("__top") - F.col("background")
+    return j.select(*key, "background", signal.alias("signal"), noise.alias("noise"), n.ratio(signal, noise).alias("snr"))
+
+
 def source_pixels(pixels: DataFrame, sources: DataFrame, keys: list[str], reach: float) -> DataFrame:
     """Pixels within ``reach`` of each source: sources are copied to the image squares their circle touches."""
     side = max(1, int(np.ceil(reach)))
@@ -182,11 +197,17 @@ def planes_photometry(planes: DataFrame, sources: DataFrame, radius: float, inne
     wide = sources.withColumn("plane", F.explode(F.array(*[F.lit(p) for p in ("lum", "red", "green", "blue")])))
     phot = aperture_photometry(every, wide, keys, radius, inner, outer, recentre=False)
     out = phot.groupBy("frame_id", "source_id").pivot("plane", ["lum", "red", "green", "blue"]).agg(
-        F.first("flux").alias("flux"), F.first("instrumental_magnitude").alias("mag"), F.first("snr").alias("snr")
+        F.first("flux").alias("flux"), F.first("instrumental_magnitude").alias("mag"), F.first("snr").alias("snr"), F.first("flux_error").alias("flux_error"),
     )
     return out.withColumn("blue_minus_red", F.col("blue_mag") - F.col("red_mag"))
 
 
+def colour_of(catalog_colour: Column, instrumental_colour: Column) -> tuple[Column, Column]:
+    """Colour of a source and where it is from: the catalog's, else the instrumental one of its planes."""
+    known, own = n.finite_or_null(catalog_colour), n.finite_or_null(instrumental_colour)
+    return F.coalesce(known, own), F.when(known.isNotNull(), "catalog").when(own.isNotNull(), "instrumental").otherwise("none")
+
+
 def frame_fwhm(pixels: DataFrame, sources: DataFrame, reach: float) -> DataFrame:
     """Full width at half maximum of each source from its radial median profile, and the frame's median."""
     key = ["frame_id", "source_id"]
@@ -328,10 +349,12 @@ def _merge_bright_first(peaks: DataFrame, radius: float) -> DataFrame:
 
 def residual_detections(
     residuals: DataFrame, sigma: float = 5.0, edge: int = 6, size: tuple[int, int] | None = None, merge_radius: float = 2.0, limit: int | None = None,
-    known: DataFrame | None = None, known_radius: float = 6.0,
+    known: DataFrame | None = None, known_radius: float = 6.0, min_snr: float | None = None, max_snr: float | None = None,
 ) -> DataFrame:
     """Local maxima above sigma times the clipped frame spread, merged brightest first within a frame.
 
+    ``min_snr`` and ``max_snr`` bound the local SNR before merging; ``known`` positions of a frame keep detections off.
+
     ``limit`` keeps the brightest of each frame and is off by default.
     """
     key = ["frame_id"]
@@ -355,6 +378,10 @@ def residual_detections(
         near = p.join(k, ["frame_id", "__ty", "__tx"]).where(d2 <= side * side).select("frame_id", "y", "x").distinct()
         peaks = peaks.join(near, ["frame_id", "y", "x"], "left_anti")
     slim = peaks.select("frame_id", "y", "x", "value", ((F.col("value") - F.col("__m")) / F.col("__s")).alias("local_snr"))
+    if min_snr is not None:
+        slim = slim.where(F.col("local_snr") >= min_snr)
+    if max_snr is not None:
+        slim = slim.where(F.col("local_snr") <= max_snr)
     kept = _merge_bright_first(slim, merge_radius)
     if limit is None:
         return kept

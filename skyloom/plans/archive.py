@@ -45,6 +45,15 @@ def frame_groups(spark, d):
     return ar.frame_groups(frames)
 
 
+def frame_group_members(spark, d):
+    frames = _inventory(spark, d).withColumn("observation_time", F.unix_date("observation_date"))
+    return ar.frame_group_members(frames).select("filter_name", "exposure_seconds", F.col("position").cast("long").alias("position"), F.col("path"))
+
+
+def deck_instruments(spark, d):
+    return ar.deck_instruments(_deck(spark, d))
+
+
 def frame_batches(spark, d):
     files = si.orders_with_path(spark, d)
     rows = files.select("path", "observation_time", F.concat(F.lit("c"), (F.col("o_custkey") % 50).cast("string")).alias("target_name"))
@@ -171,7 +180,7 @@ def timing_summary(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        frame_inventory, deck_scan, deck_merge, frame_groups, frame_batches, incremental_reuse, designation_filter, band_normalize,
+        frame_inventory, deck_scan, deck_merge, frame_groups, frame_group_members, deck_instruments, frame_batches, incremental_reuse, designation_filter, band_normalize,
         filter_alias, filename_parse, timestamp_parse, image_kind, deck_stats, observation_map, observation_orbit, timing_summary,
         longest_night, library_without_root,
     )

@@ -229,6 +229,25 @@ def cluster_match(spark, d):
     return rounded(ct.cluster_match(c, entries, fields))
 
 
+def cluster_members(spark, d):
+    c, v = si.catalog(spark, d), si.variables(spark, d)
+    fields = c.where(F.col("source_no") < 10).select("field", "ra_deg", "dec_deg", (F.lit(5.0) + F.col("source_no")).alias("radius_deg"))
+    entries = v.select(F.col("source_id").alias("entry_id"), "ra_deg", "dec_deg", (F.lit(4.0) + F.col("source_no") % 5).alias("visible_radius_deg"))
+    return rounded(ct.cluster_members(c, entries, ct.cluster_match(c, entries, fields)), 5)
+
+
+def snapshot_entries(spark, d):
+    line = si.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("snapshot_id"), F.col("l_linenumber").cast("long").alias("rank"), F.col("l_partkey").alias("object_no"), F.col("l_extendedprice").cast("double").alias("brightness"))
+    return rounded(ct.snapshot_entries(nearest_snapshot(spark, d), line))
+
+
+def folder_references(spark, d):
+    """Stars named by their folder first, then the reference stars of the fields."""
+    refs = ct.reference_stars(si.catalog(spark, d), si.variables(spark, d)).select("source_id", "field", "magnitude")
+    named = folder_match(spark, d).where("kept").join(si.catalog(spark, d).select("source_no", "source_id", "field", "magnitude"), "source_no")
+    return rounded(ct.with_extras_first(named.select("source_id", "field", "magnitude"), refs))
+
+
 def adu_screen(spark, d):
     m = si.raw_measurements(spark, d).withColumn("background_level", F.col("flux") * 0.2).withColumn("peak_pixel_value", F.col("peak_pixel_value") * 10.0).withColumn("saturation_threshold", F.lit(4500.0))
     return ct.adu_screen(m).groupBy("filter_name").agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("source_id").alias("source_count"), F.max("peak_pixel_value").alias("top_peak"))
@@ -344,7 +363,7 @@ QUERIES = {
         reference_stars, crossmatch_bands, nearest_catalog, hr_match, unique_match, isolated_sources, cone_search, nearest_snapshot,
         catalog_union, magnitude_filter, object_type, designation_keys, preferred_identifier, variable_candidates, brightest,
         comparison_candidates, comparison_sets, catalog_search, distance_map, distance_rejections, cluster_distance, catalog_dedupe, entity_resolution,
-        layer_summary, prediction_merge, prediction_identity, cluster_match, adu_screen, mag_error, ccd_flux_error, error_budget, phase_fold, hr_diagram,
+        layer_summary, prediction_merge, prediction_identity, cluster_match, cluster_members, snapshot_entries, folder_references, adu_screen, mag_error, ccd_flux_error, error_budget, phase_fold, hr_diagram,
         moonlight_score, reference_ranking, fallback_ranking, sampled_sets, stamp_bands, folder_match,
     )
 }

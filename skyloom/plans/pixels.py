@@ -69,7 +69,9 @@ def hr_planes(spark, d):
         (F.floor(F.col("pos") / 3) % 7).cast("long").alias("x"), (F.lit(100.0) + F.lit(50.0) * F.col("v").cast("double")).alias("value"),
     )
     s = si.table(spark, d, "embeddings").select(F.col("vec_id").alias("frame_id"), F.lit("c").alias("source_id"), F.lit(3.0).alias("sx"), F.lit(1.0).alias("sy"))
-    return rounded(px.planes_photometry(p, s, 1.1, 1.5, 3.2), 5)
+    out = px.planes_photometry(p, s, 1.1, 1.5, 3.2)
+    colour, source = px.colour_of(F.when(F.col("frame_id") % 3 == 0, F.col("frame_id") % 20 / 10.0), F.col("blue_minus_red"))
+    return rounded(out.withColumns({"colour": colour, "colour_source": source}), 5)
 
 
 def frame_fwhm(spark, d):
@@ -98,6 +100,18 @@ def residual_detections(spark, d):
     return rounded(px.residual_detections(_residuals(spark, d), sigma=1.5, edge=1, size=(8, 8), merge_radius=0.9), 5)
 
 
+def frame_signal(spark, d):
+    return rounded(px.frame_signal(_pixels(spark, d)), 6)
+
+
+def unknown_residuals(spark, d):
+    """Residual detections off the predicted places of known objects, with bounds on the local SNR."""
+    k = F.col("vec_id")
+    known = si.table(spark, d, "embeddings").select(k.alias("frame_id"), (F.lit(2.0) + k % 4).cast("double").alias("x"), (F.lit(3.0) + k % 3).cast("double").alias("y"))
+    out = px.residual_detections(_residuals(spark, d), sigma=1.5, edge=1, size=(8, 8), merge_radius=0.9, known=known, known_radius=1.5, min_snr=1.6, max_snr=4.0)
+    return rounded(out, 5)
+
+
 def streaks(spark, d):
     out = px.streaks(_residuals(spark, d).withColumn("value", F.col("value") + 20.0), sigma=0.4, width=8, min_area=4, fwhm=1.0, elongation=1.3)
     return rounded(out, 4)
@@ -142,6 +156,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         master_frames, calibrate, pixel_bin, tile_stats, region_snr, aperture_photometry, hr_planes, frame_fwhm, tracked_stack, shift_stack_sweep,
-        residual_detections, streaks, cumulative_stack, stack_peak, frame_weights, stack_modes, sweep_confirmation,
+        residual_detections, frame_signal, unknown_residuals, streaks, cumulative_stack, stack_peak, frame_weights, stack_modes, sweep_confirmation,
     )
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skyloom.functions.lineage import cut
 from skyloom.functions.numeric import rounded
 from skyloom.operators import catalogs as ct
 from skyloom.operators import comparison as cp
@@ -32,11 +33,15 @@ def science_rows(spark, d):
     return rounded(ex.science_rows(_science(spark, d)), 5)
 
 
-def _submission(spark, d):
+def _submitted(spark, d):
     from skyloom.functions.names import literal_map
 
     rows = _science(spark, d).withColumn("filter_name", F.element_at(literal_map(FILTERS), F.col("filter_name")))
-    return ex.submission_rows(rows.withColumn("airmass", F.when(F.col("source_no") % 3 != 0, F.lit(1.0) + F.col("source_no") % 10 / 10.0)), chart_id="X1")
+    return rows.withColumn("airmass", F.when(F.col("source_no") % 3 != 0, F.lit(1.0) + F.col("source_no") % 10 / 10.0))
+
+
+def _submission(spark, d):
+    return ex.submission_rows(_submitted(spark, d), chart_id="X1")
 
 
 def submission_rows(spark, d):
@@ -51,6 +56,16 @@ def reference_manifest(spark, d):
     return rounded(ex.reference_manifest(ph.scored(spark, d), si.raw_measurements(spark, d).where("is_reference")))
 
 
+def submission_warnings(spark, d):
+    rows = cut(_submitted(spark, d))
+    return ex.submission_warnings(rows, ex.submission_rows(rows, chart_id="X1"))
+
+
+def provenance_manifest(spark, d):
+    raw = si.raw_measurements(spark, d).withColumn("aperture_radius", F.lit(3.0) + F.col("source_no") % 4 * 0.5)
+    return rounded(ex.provenance_manifest(ex.science_rows(_science(spark, d)), raw, raw.where("is_reference")), 3)
+
+
 def report_summary(spark, d):
     ok = ~F.col("excluded_from_analysis") & ~F.col("is_saturated")
     return ex.report_summary(ph.scored(spark, d), ok)
@@ -65,8 +80,6 @@ def _best_sets(spark, d):
     sets = ct.comparison_sets(favourites, "series_key", 3).select(parts[0].alias("filter_name"), parts[1].alias("source_id"), "set_id", "members")
     fits = ph.series_fit(spark, d)
     scored = ql.quality_score(pm.differential_photometry(cp.comparison_trials(raw, sets), automatic=False), fits=fits)
-    from skyloom.functions.lineage import cut
-
     scored = cut(scored.select("file_path", "source_id", "filter_name", "observation_time", "flux", "flux_error", "instrumental_magnitude", "differential_magnitude", "differential_magnitude_error", "excluded_from_analysis", "quality_score", "comparison_scatter"))
     return cp.best_comparison_set(scored, ql.variability_metrics(scored, fits), fits)
 
@@ -84,6 +97,6 @@ def variable_discovery(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        check_rms, science_rows, submission_rows, submission_preflight, reference_manifest, report_summary, best_comparison_set, variable_discovery,
+        check_rms, science_rows, submission_rows, submission_preflight, reference_manifest, submission_warnings, provenance_manifest, report_summary, best_comparison_set, variable_discovery,
     )
 }
