@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_scan(df: DataFrame, key: str) -> DataFrame:
+    """A table of one small file in as many partitions as there are cores, for costly work on its rows; a table whose scan
+    has them already is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def epoch(ts) -> F.Column:
     """Seconds since 1970 (double) of a zone-free timestamp read in a UTC session."""
     return F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)
@@ -118,7 +125,7 @@ def jd_of(column) -> F.Column:
 def orders_with_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as image files: path text, root, header map, frame columns."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    t = table(spark, sf_dir, "orders").withColumn("d", F.col("o_orderdate").cast("date"))
+    t = spread_scan(table(spark, sf_dir, "orders"), "o_orderkey").withColumn("d", F.col("o_orderdate").cast("date"))
     root = F.when(c % 7 == 0, "/data/archive/nested").when(c % 7 == 1, "/data/mirror").otherwise("/data/archive")
     folder = (
         F.when(k % 11 == 0, "flats").when(k % 13 == 0, "masters").when(k % 17 == 0, "Integration").when(k % 19 == 0, "processed")
