@@ -118,3 +118,8 @@ SQL = {
     ),
 }
 SQL["snr_bins"] = "WITH RECURSIVE " + SQL["snr_bins"].split("WITH RECURSIVE ")[-1].removeprefix("WITH ").lstrip()
+
+SQL["predicted_positions"] = """WITH e AS (SELECT event_id, 10.0::DOUBLE + (user_id*37%1000)/1000.0::DOUBLE AS ra, 20.0::DOUBLE + (user_id*91%1000)/1000.0::DOUBLE AS de,
+      coalesce(CASE WHEN user_id%5<>0 THEN (user_id%41-20)*1.5::DOUBLE END, 0) AS a, coalesce(CASE WHEN user_id%7<>0 THEN (user_id%23-11)*0.8::DOUBLE END, 0) AS b,
+      ((floor(epoch_us(ts)/1e6/86400)+1)*86400 - epoch_us(ts)/1e6)/3600.0 AS h FROM events)
+    SELECT event_id, round(ra + a*h/3600.0, 7) AS ra_deg, round(de + b*h/3600.0, 7) AS dec_deg, round(sqrt(a*a+b*b), 7) AS arcsec_per_hour FROM e"""

@@ -75,6 +75,13 @@ def motion_rate(ra_rate, dec_rate) -> Column:
     return n.quadrature(ra_rate, dec_rate)
 
 
+def position_at(ra_deg, dec_deg, ra_rate, dec_rate, hours) -> tuple[Column, Column]:
+    """Position after so many hours of linear motion (arcseconds per hour along each coordinate; a missing rate counts 0)."""
+    ra, dec, h = [F.col(c) if isinstance(c, str) else c for c in (ra_deg, dec_deg, hours)]
+    a, b = [F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0.0)) for c in (ra_rate, dec_rate)]
+    return ra + a * h / 3600.0, dec + b * h / 3600.0
+
+
 def event_forecast(
     stars: DataFrame, now_jd: float, back_days: float = 2.0, ahead_days: float = 4.0, limit: int = 48
 ) -> DataFrame:
