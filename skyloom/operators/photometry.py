@@ -102,11 +102,26 @@ def _top_k(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _nearest_of_few(carried: DataFrame, fields: DataFrame, k: int) -> DataFrame:
+    columns = [c for c in fields.columns if c.startswith("ref_")]
+    lists = fields.groupBy("__file_path", "__filter_name").agg(F.collect_list(F.struct(*columns)).alias("__refs"))  # at most SMALL_REFERENCE_SET each
+    joined = carried.join(lists, _same_frame()).drop("__file_path", "__filter_name")
+
+    def measured(r: Column, i: Column) -> Column:
+        dra, ddec = r["ref_ra_deg"] - F.col("ra_deg"), r["ref_dec_deg"] - F.col("dec_deg")
+        return F.struct((dra * dra + ddec * ddec).alias("d2"), r["ref_source_id"].alias("id"), i.alias("i"))
+
+    near = F.slice(F.array_sort(F.transform("__refs", measured)), 1, k)
+    chosen = F.transform(near, lambda t: F.struct(t["d2"].alias("d2"), F.get("__refs", t["i"]).alias("r")))
+    out = joined.select(*carried.columns, F.posexplode(chosen).alias("__p", "__t"))
+    return out.select(*carried.columns, *[F.col(f"__t.r.{c}").alias(c) for c in columns], F.col("__t.d2").alias("d2"), (F.col("__p") + 1).alias("rank"))
+
+
 def nearest_references(targets: DataFrame, refs: DataFrame, k: int = 5, small: int | None = None) -> DataFrame:
     """The k nearest references (planar degrees) in the same frame and filter of each target row.
 
-    Frames with few references join directly: that join and the ranking share one shuffle on the frame key. A frame with
-    many references is gridded so that a cell holds about k of them. A target looks at its 3x3 block and is finished when
+    Frames with few references bring them as one short list to each target, which picks its k from it: no pair becomes a
+    row before it is chosen. A frame with many references is gridded so that a cell holds about k of them. A target looks at its 3x3 block and is finished when
     its k-th distance fits in the block; the rest try a grid four times coarser, and so on up to one cell, which is exact.
     """
     small = SMALL_REFERENCE_SET if small is None else small
@@ -123,8 +138,7 @@ def nearest_references(targets: DataFrame, refs: DataFrame, k: int = 5, small: i
     )
     largest = sizes.agg(F.max("__n")).first()[0] or 0
     if largest <= small:
-        pairs = carried.join(fields, _same_frame()).withColumn("d2", _planar_d2())
-        return _top_k(pairs.drop("__file_path", "__filter_name"), k)
+        return _nearest_of_few(carried, fields, k)
 
     divisions, m = [], int((largest / k) ** 0.5)
     while m > 1:
