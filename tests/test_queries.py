@@ -18,7 +18,7 @@ CHECKED = [
     "differential_photometry", "quality_score", "candidate_score", "deck_stats", "deck_merge", "frame_batches", "observation_orbit", "reference_stars",
     "crossmatch_bands", "nearest_snapshot", "catalog_dedupe", "entity_resolution", "lomb_scargle", "snr_bins", "submission_rows", "aperture_photometry",
     "tracked_stack", "streaks", "transient_groups", "known_object_match", "motion_groups", "label_summary", "visible_limit", "calibrate", "stack_peak",
-    "best_variant", "stamp_bands", "folder_match",
+    "best_variant", "stamp_bands", "folder_match", "flagged_photometry", "transient_search", "stack_modes", "fallback_ranking", "prediction_identity",
 ]
 
 
