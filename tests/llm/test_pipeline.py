@@ -51,8 +51,8 @@ def test_empty_table_runs_through(spark, tmp_path):
 
 def test_queries_are_registered():
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{n}" for n in range(1, 11)}
-    assert "pipeline" in names and {"op2_nn_descent", "op3_decontamination"} <= set(entry.oracle_sql())
+    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{n}" for n in range(1, 14)}
+    assert "pipeline" in names and {"op2_nn_descent", "op3_decontamination", "op12_vector_codes", "op13_spelling_variants"} <= set(entry.oracle_sql())
 
 
 def test_library_works_without_the_package():
