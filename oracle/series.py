@@ -90,14 +90,16 @@ SQL = {
           QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY n DESC, lower(nm), source_id) <= 8),
         ck AS (SELECT DISTINCT tg.target_id, m.source_id, 'check' AS role FROM tg JOIN meas m ON m.object_name = tg.object_name AND m.is_check),
         o AS (SELECT * FROM cp UNION ALL SELECT * FROM ck),
-        allm AS (SELECT file_path, filter_name, source_id, flux, instrumental_magnitude AS ins, dm, cal, std FROM diff
-          UNION ALL SELECT file_path, filter_name, source_id, flux, instrumental_magnitude, NULL, NULL, NULL FROM meas WHERE is_reference),
+        allm AS (SELECT file_path, filter_name, source_id, flux, instrumental_magnitude AS ins, dm, cal, std, flux_error AS fe, dme, cale, stde FROM diff
+          UNION ALL SELECT file_path, filter_name, source_id, flux, instrumental_magnitude, NULL, NULL, NULL, flux_error, NULL, NULL, NULL FROM meas WHERE is_reference),
         x AS (SELECT o.target_id, o.role, a.source_id, a.filter_name, coalesce(a.dm, -2.5*log10(a.flux/c.rflux)) AS dm, coalesce(a.cal, a.ins + c.zpz) AS cal,
-          coalesce(a.std, a.ins + c.sz) AS std FROM o JOIN allm a USING (source_id)
+          coalesce(a.std, a.ins + c.sz) AS std, CASE WHEN a.dm IS NOT NULL THEN a.dme WHEN c.rflux IS NOT NULL THEN 2.5/ln(10)*sqrt(pow(a.fe/a.flux,2)+pow(a.fe/c.rflux,2)) END AS dme,
+          CASE WHEN a.cal IS NOT NULL THEN a.cale WHEN c.zpz IS NOT NULL THEN sqrt(pow(2.5/ln(10)*a.fe/a.flux,2)+pow(coalesce(c.zpe,0),2)) END AS cale,
+          CASE WHEN a.std IS NOT NULL THEN a.stde WHEN c.sz IS NOT NULL THEN sqrt(pow(2.5/ln(10)*a.fe/a.flux,2)+pow(coalesce(c.sze,0),2)) END AS stde FROM o JOIN allm a USING (source_id)
           LEFT JOIN diff c ON c.source_id = o.target_id AND c.file_path = a.file_path AND c.filter_name = a.filter_name
-          UNION ALL SELECT source_id, 'target', source_id, filter_name, dm, cal, std FROM diff WHERE is_variable)""",
+          UNION ALL SELECT source_id, 'target', source_id, filter_name, dm, cal, std, dme, cale, stde FROM diff WHERE is_variable)""",
         """SELECT target_id, role, source_id, filter_name, count(*) AS point_count, round(avg(dm),5) AS mean_differential, round(avg(cal),5) AS mean_calibrated,
-        round(avg(std),5) AS mean_standard FROM x GROUP BY ALL""",
+        round(avg(std),5) AS mean_standard, round(avg(dme),5) AS mean_differential_error, round(avg(cale),5) AS mean_calibrated_error, round(avg(stde),5) AS mean_standard_error FROM x GROUP BY ALL""",
     ),
     "event_forecast": q(
         """s AS (SELECT p_partkey AS k, p_type IN ('ECONOMY','STANDARD') AS ecl, 0.2::DOUBLE + p_size/10.0::DOUBLE AS per, 2460310.0::DOUBLE + p_partkey%100/10.0::DOUBLE AS ep,
