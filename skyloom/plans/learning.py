@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from skyloom.functions.lineage import cut
+from skyloom.functions.lineage import checkpoint_dir, cut
 from skyloom.functions.numeric import rounded
 from skyloom.operators import clusters as cl
 from skyloom.operators import learning as ln
@@ -106,6 +108,14 @@ def train_classifier(spark, d):
     return spark.createDataFrame([(k, float(v)) for k, v in sorted(metrics.items())], "metric string, value double")
 
 
+def stored_scores(spark, d):
+    """Scores by the latest model of a store in the shared folder, which is loaded and not fitted again."""
+    feats, (model, metrics) = _trained(spark, d)
+    folder = f"{checkpoint_dir(spark)}/classifier-{uuid.uuid4().hex}"
+    ln.save_model(spark, folder, "document", model, FEATURES, feats, metrics)
+    return rounded(ln.score_latest(spark, folder, "document", feats).drop("model_id"), 4)
+
+
 def score_candidates(spark, d):
     feats, (model, _) = _trained(spark, d)
     return rounded(ln.score_candidates(model, feats, FEATURES), 4)
@@ -114,6 +124,6 @@ def score_candidates(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        motion_groups, distance_clusters, candidate_features, moving_features, source_features, training_features, label_summary, train_classifier, score_candidates,
+        motion_groups, distance_clusters, candidate_features, moving_features, source_features, training_features, label_summary, train_classifier, score_candidates, stored_scores,
     )
 }
