@@ -94,6 +94,24 @@ def test_gridded_nearest_equals_direct(spark):
     assert len(direct) > 20 and pick(3) == direct
 
 
+def test_nearest_references_are_found_once_per_place(spark):
+    rng = random.Random(5)
+    places = [(rng.gauss(10.0, 0.001) if i % 2 else rng.uniform(9.0, 11.0), rng.gauss(20.0, 0.001) if i % 2 else rng.uniform(19.0, 21.0)) for i in range(150)]
+    refs = [_ref(f"{i:03d}{j}", ra_deg=x, dec_deg=y) for i, (x, y) in enumerate(places) for j in range(2)]
+    spots = [places[3], (10.0, 20.0), (9.2, 19.1), (25.0, 3.0)]
+    m = _frame(spark, [{"source_id": f"t{i}_{j}", "ra_deg": x, "dec_deg": y} for i, (x, y) in enumerate(spots) for j in range(5)] + refs)
+    targets, usable = ph.science_targets(m), ph.eligible_references(m)
+    want = {
+        (f"t{i}_{j}", n + 1, r)
+        for i, (x, y) in enumerate(spots) for j in range(5)
+        for n, (_, r) in enumerate(sorted(((r["ra_deg"] - x) * (r["ra_deg"] - x) + (r["dec_deg"] - y) * (r["dec_deg"] - y), r["source_id"]) for r in refs)[:3])
+    }
+    for limit in (4, None):
+        assert ph.nearest_by_place(targets, usable, 3, limit=limit).count() == len(spots) * 3
+        got = {(r["source_id"], r["rank"], r["ref_source_id"]) for r in ph.nearest_references(targets, usable, 3, limit=limit).collect()}
+        assert got == want
+
+
 def test_quality_excludes_an_outlier_and_large_form_agrees(spark):
     rng = random.Random(1)
     rows = [
