@@ -134,6 +134,13 @@ def test_variability_large_form_agrees(spark):
             assert (v is None and w is None) or v == w or abs(v - w) < 1e-6 * max(1.0, abs(v)), (k, c)
 
 
+def test_empirical_scatter_counts_residuals_without_a_value(spark):
+    rows = [("a", v) for v in (1.0, 2.0, 3.0, None, float("nan"))] + [("b", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = ql.empirical_scatter(df, ["g"], "v", fits=True).collect()
+    assert [(r["g"], r["residual_count"], r["kept_count"], round(r["empirical_scatter"], 6)) for r in got] == [("a", 5, 3, 1.4826)]
+
+
 def test_error_budget_values(spark):
     row = spark.range(1).select(
         n.ccd_flux_error(F.lit(10000.0), F.lit(100.0), F.lit(50.0), 500.0, 5.0, 0.02, 60.0, 2.0).alias("e"), n.total_mag_error(F.lit(0.03), F.lit(0.04), F.lit(None).cast("double")).alias("t"),
