@@ -5,10 +5,10 @@ occurrence number, so repeats count. A sketch takes the ``KEPT`` smallest hashes
 those shingles in text order; two sketches make a band. Documents that agree on a band and on ``SHARED`` sketches in all are
 candidates. That favours documents with the same shingles in the same order, that is, a high edit similarity.
 
-Equal word sequences collapse to one node first. Inside a band's bucket a leader is compared with the other members;
-those that do not align with it go to the next round with new leaders, until every member has aligned or has been
-a leader. Then all candidates of a bucket that lie in different components are aligned too, most alike first and until
-none is left, so that no link of a bucket is lost where its ends do not align with the same leader. A link is
+Equal word sequences collapse to one node first. Inside a band's bucket a leader is compared with the other members.
+Then candidates of a bucket that lie in different components are aligned too, some members of each component first and
+more in every round until none is left, so that no link of a bucket is lost where its ends do not align with the same
+leader. A link is
 ``1 - edit distance / longer length >= 0.8`` in words, exactly computed. Connected nodes are one class, named by its
 smallest doc_id.
 
@@ -39,9 +39,7 @@ SKETCHES = 32
 BANDS = 64
 #: Sketches two texts must share before they are aligned (of ``SKETCHES``; at the similarity wanted about eight agree).
 SHARED = 3
-#: Members without a leader are compared with this many leaders at once after the first round.
-LEADERS = 256
-#: Pairs of two components aligned in the first closing round; each later round takes so many times more.
+#: Members of each component of a bucket aligned in the first closing round; each later round takes so many times more.
 CLOSING = 8
 PAIRS_PER_TASK = 256
 REMEMBERED = 300_000
@@ -246,74 +244,56 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
             total = total + LANES - F.bit_count((apart + F.lit(ones)).bitwiseAND(F.lit(tops)))
         return total
 
-    links, tried, leaders = None, None, 1
-    while not open_.isEmpty():
-        if leaders == 1:
-            head = open_.groupBy("band", "value").agg(F.min(F.struct("order", "node", "n_words", *[f"lane{i}" for i in range(count)])).alias("h"))
-            head = head.select("band", "value", "h.order", F.col("h.node").alias("leader"), F.col("h.n_words").alias("m"), *[f"h.lane{i}" for i in range(count)])
-        else:
-            first = Window.partitionBy("band", "value").orderBy("order", "node")
-            head = open_.withColumn("place", F.row_number().over(first)).where(F.col("place") <= leaders).select(
-                "band", "value", "order", F.col("node").alias("leader"), F.col("n_words").alias("m"), *[f"lane{i}" for i in range(count)]
-            )
-        head = stored(head, "leaders")
-        near = (F.least("m", "n_words") >= F.lit(SIMILARITY) * F.greatest("m", "n_words") - 1e-6)
-        after = (F.col("o.order") > F.col("h.order")) | ((F.col("o.order") == F.col("h.order")) & (F.col("node") > F.col("leader")))
-        met = open_.alias("o").join(head.alias("h"), ["band", "value"]).where(after & near & (agreeing() >= SHARED))
-        slim = stored(met.select("band", "value", "node", "leader", F.col("h.order").alias("first")), "met")
-        # Every member is aligned with its first leader; a pair whose ends then share that leader is connected already.
-        start = cut(slim.groupBy("node").agg(F.min_by("leader", F.struct("first", "leader")).alias("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")))
-        one = cut(_verified(start, texts).where("ok").select("a", "b"))
-        root = lambda name: one.select(F.col("b").alias(name), F.col("a").alias(f"{name}_root"))
-        rooted = slim.join(root("node"), "node", "left").join(root("leader"), "leader", "left")
-        same = F.coalesce("node_root", "node") == F.coalesce("leader_root", "leader")
-        rooted = cut(rooted.select("band", "value", "node", "leader", same.alias("same")))
-        rest_pairs = rooted.where(~F.col("same")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        wanted = cut(rest_pairs.join(start.select("a", "b"), ["a", "b"], "left_anti"))
-        two = cut(_verified(wanted, texts).where("ok").select("a", "b"))
-        good = one.union(two)
-        links = good if links is None else links.union(good)
-        tested = start.select("a", "b").union(wanted.select("a", "b"))
-        tried = tested if tried is None else tried.union(tested)
-        known = two.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.lit(True).alias("linked"))
-        done = rooted.join(known, ["leader", "node"], "left").where(F.col("same") | F.coalesce("linked", F.lit(False)))
-        gone = done.select("band", "value", "node").union(head.select("band", "value", F.col("leader").alias("node"))).distinct()
-        rest = open_.join(gone, ["band", "value", "node"], "left_anti")
-        several = rest.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        open_ = stored(rest.join(cut(several), ["band", "value"]), "open")
-        leaders = LEADERS
-    if links is None:
-        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    return links.union(_closing_links(in_buckets, details, links, tried, texts, agreeing()))
-
-
-def _closing_links(in_buckets: DataFrame, details: DataFrame, links: DataFrame, tried: DataFrame, texts: DataFrame, agreeing: Column) -> DataFrame:
-    """Links between candidates of one bucket in different components: all of them are aligned unless others connect them."""
-    component = cut(connected_components(in_buckets.select("node").distinct(), links, "node"))
-    placed = in_buckets.join(component, "node")
-    mixed = placed.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    member = stored(placed.join(cut(mixed.select("band", "value")), ["band", "value"]).join(details, "node"), "mixed")
+    head = open_.groupBy("band", "value").agg(F.min(F.struct("order", "node", "n_words", *[f"lane{i}" for i in range(count)])).alias("h"))
+    head = stored(head.select("band", "value", "h.order", F.col("h.node").alias("leader"), F.col("h.n_words").alias("m"), *[f"h.lane{i}" for i in range(count)]), "leaders")
+    near = (F.least("m", "n_words") >= F.lit(SIMILARITY) * F.greatest("m", "n_words") - 1e-6)
+    met = open_.alias("o").join(head.alias("h"), ["band", "value"]).where((F.col("node") != F.col("leader")) & near & (agreeing() >= SHARED))
+    slim = stored(met.select("node", "leader", F.col("h.order").alias("first")).distinct(), "met")
+    # Every member is aligned with its first leader; a pair whose ends then share that leader is connected already.
+    start = cut(slim.groupBy("node").agg(F.min_by("leader", F.struct("first", "leader")).alias("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    one = cut(_verified(start, texts).where("ok").select("a", "b"))
+    root = lambda name: one.select(F.col("b").alias(name), F.col("a").alias(f"{name}_root"))
+    rooted = slim.join(root("node"), "node", "left").join(root("leader"), "leader", "left")
+    same = F.coalesce("node_root", "node") == F.coalesce("leader_root", "leader")
+    rest = rooted.where(~same).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    wanted = cut(rest.join(start.select("a", "b"), ["a", "b"], "left_anti"))
+    two = cut(_verified(wanted, texts).where("ok").select("a", "b"))
+    return _closing_links(open_, one.union(two), start.select("a", "b").union(wanted.select("a", "b")), texts, agreeing())
+
+
+def _closing_links(members: DataFrame, links: DataFrame, tried: DataFrame, texts: DataFrame, agreeing: Column) -> DataFrame:
+    """``links``, and what connects candidates of one bucket in different components.
+
+    A round aligns the first members of a bucket's components with each other, and the next one more of them, until all
+    have been. Components that a link has joined are one from then on, so a large group of copies meets itself no more.
+    """
+    component = cut(connected_components(members.select("node").distinct(), links, "node"))
     near = F.least("o.n_words", "h.n_words") >= F.lit(SIMILARITY) * F.greatest("o.n_words", "h.n_words") - 1e-6
     apart = (F.col("o.component") != F.col("h.component")) & (F.col("o.node") > F.col("h.node"))
-    met = member.alias("o").join(member.alias("h"), ["band", "value"]).where(apart & near & (agreeing >= SHARED))
-    pairs = met.select(F.col("h.node").alias("a"), F.col("o.node").alias("b"), agreeing.alias("alike")).distinct()
-    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    open_ = stored(pairs.join(known, ["a", "b"], "left_anti"), "closing")
-    found, most = links.limit(0), CLOSING
+    at = lambda name: component.select(F.col("node").alias(name), F.col("component").alias(f"{name}_root"))
+    tried = cut(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    most = CLOSING
     while True:
-        at = lambda name: component.select(F.col("node").alias(name), F.col("component").alias(f"{name}_root"))
-        rooted = open_.join(at("a"), "a").join(at("b"), "b").where("a_root != b_root")
-        ends = [F.least("a_root", "b_root"), F.greatest("a_root", "b_root")]
-        ranked = cut(rooted.withColumn("place", F.row_number().over(Window.partitionBy(*ends).orderBy(F.col("alike").desc(), "a", "b"))))
-        if ranked.isEmpty():
-            return found
-        good = cut(_verified(ranked.where(F.col("place") <= most).select("a", "b"), texts).where("ok").select("a", "b"))
+        placed = members.join(component, "node")
+        mixed = placed.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        members = stored(placed.join(cut(mixed.select("band", "value")), ["band", "value"]), "mixed")
+        largest = members.groupBy("band", "value", "component").count().agg(F.max("count")).first()[0]
+        if largest is None:
+            return links
+        place = F.row_number().over(Window.partitionBy("band", "value", "component").orderBy("order", "node"))
+        first = stored(members.withColumn("place", place).where(F.col("place") <= most).drop("place"), "first")
+        met = first.alias("o").join(first.alias("h"), ["band", "value"]).where(apart & near & (agreeing >= SHARED))
+        pairs = met.select(F.col("h.node").alias("a"), F.col("o.node").alias("b")).distinct()
+        fresh = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        good = cut(_verified(fresh, texts).where("ok").select("a", "b"))
+        links = links.union(good)
+        if largest <= most:
+            return links
         if not good.isEmpty():
-            found = found.union(good)
             joined = good.join(at("a"), "a").join(at("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
             before = component.select("node", F.col("component").alias("before"))
             component = cut(before.join(connected_components(before.select("before").distinct(), joined, "before"), "before").select("node", "component"))
-        open_ = ranked.where(F.col("place") > most).select("a", "b", "alike")
+        tried, members = tried.union(fresh), members.drop("component")
         most *= CLOSING
 
 

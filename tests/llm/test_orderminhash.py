@@ -1,6 +1,7 @@
 """Alignment against plain dynamic programming, and classes against all pairs."""
 
 import random
+from collections import Counter
 
 from llm import orderminhash as om
 from llm.decontam import words_of
@@ -87,3 +88,26 @@ def test_empty_and_null_ids(spark):
     got = sorted(om.near_duplicates(spark.createDataFrame(rows, schema)).collect(), key=str)
     assert sorted(r["class_id"] or 0 for r in got) == [0, 4, 4]
     assert om.deduplicate(spark.createDataFrame(rows, schema)).count() == 2
+
+
+def test_rows_of_a_large_group_of_copies_grow_with_its_members(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(500):  # about half of the pairs are within the limit
+        words = list(base)
+        for at in rng.sample(range(150), 16):
+            words[at] = f"k{k}x{at}"
+        rows.append((k, " ".join(words)))
+    sizes = {}
+
+    def counted(df, name):
+        out = plain_stored(df, name)
+        sizes[name] = sizes.get(name, 0) + out.count()
+        return out
+
+    plain_stored = om.stored
+    monkeypatch.setattr(om, "stored", counted)
+    got = om.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert max(Counter(r["class_id"] for r in got).values()) >= 450  # scattered changes leave some without a common band
+    assert sizes["met"] <= sizes["members"], sizes  # a member meets the leader of each of its buckets, then only other components
