@@ -1,8 +1,10 @@
 """Bins without flux, period matches, member lists, binning keys and warnings on small hand-made rows."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from skyloom.functions.numeric import rounded
 from skyloom.operators import archive as ar
 from skyloom.operators import catalogs as ct
 from skyloom.operators import comparison as cp
@@ -85,3 +87,11 @@ def test_colour_fallback_and_flat_frames(spark):
     flat = spark.createDataFrame([(1, 0, i, 7.0) for i in range(9)] + [(2, 0, i, float(i == 3) * 9) for i in range(9)], "frame_id long, y long, x long, value double")
     got = {r["frame_id"]: r for r in px.frame_signal(flat).collect()}
     assert got[1]["noise"] == 0.0 and got[1]["snr"] is None and got[2]["noise"] > 0
+
+
+def test_rounding_equals_sql(spark):
+    duck = duckdb.connect()
+    values = [68.834375, -68.834375, 1.005, 2.675, 0.5, -0.0, 1e300, None] + [k / 1e5 + 5e-6 for k in range(0, 90000, 91)]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    got = {r["i"]: r["v"] for r in rounded(rows, 5).collect()}
+    assert got == {i: duck.execute("select round(?::double, 5) + 0.0", [v]).fetchall()[0][0] for i, v in enumerate(values)}
