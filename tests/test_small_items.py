@@ -95,3 +95,15 @@ def test_rounding_equals_sql(spark):
     rows = spark.createDataFrame(list(enumerate(values)), "i int, v double")
     got = {r["i"]: r["v"] for r in rounded(rows, 5).collect()}
     assert got == {i: duck.execute("select round(?::double, 5) + 0.0", [v]).fetchall()[0][0] for i, v in enumerate(values)}
+
+
+def test_comparison_candidates_of_rounds_equal_one_search(spark, monkeypatch):
+    k = F.col("id")
+    refs = spark.range(4000).select(F.concat(F.lit("r"), k).alias("source_id"), F.concat(F.lit("N"), k % 7).alias("name"), (k * 7 % 400 / 10.0).alias("ra_deg"), (k * 13 % 300 / 10.0).alias("dec_deg"), F.when(k % 50 != 0, 8.0 + k % 91 / 10.0).alias("magnitude"), F.when(k % 3 != 0, k % 25 / 10.0).alias("bp_rp"))
+    targets = spark.range(60).select(F.concat(F.lit("t"), k).alias("target_id"), (k * 11 % 70).cast("double").alias("ra_deg"), (k % 30).cast("double").alias("dec_deg"), F.when(k % 9 != 0, 8.5 + k % 80 / 10.0).alias("magnitude"), F.when(k % 2 == 0, k % 25 / 10.0).alias("bp_rp"))
+    whole = {tuple(r) for r in ct._ranked_candidates(targets, refs, 2.0, 0.6, 600.0, 4, 1.0).collect()}
+    shares, once = [], ct._ranked_candidates
+    monkeypatch.setattr(ct, "_ranked_candidates", lambda *a: shares.append((a[-1], a[0].count())) or once(*a))
+    got = ct.comparison_candidates(targets, refs, 2.0, 0.6, 600.0, 4).collect()
+    assert len(got) == len(whole) and {tuple(r) for r in got} == whole
+    assert shares[0][0] < shares[-1][0] == 1.0 and 0 < shares[-1][1] < shares[0][1] == 60
