@@ -8,6 +8,7 @@ from skyloom.functions.numeric import rounded
 from skyloom.operators import archive as ar
 from skyloom.operators import catalogs as ct
 from skyloom.operators import comparison as cp
+from skyloom.operators import photometry as pm
 from skyloom.operators import pixels as px
 from skyloom.operators import planning as pl
 from skyloom.operators import series as sr
@@ -107,3 +108,14 @@ def test_comparison_candidates_of_rounds_equal_one_search(spark, monkeypatch):
     got = ct.comparison_candidates(targets, refs, 2.0, 0.6, 600.0, 4).collect()
     assert len(got) == len(whole) and {tuple(r) for r in got} == whole
     assert shares[0][0] < shares[-1][0] == 1.0 and 0 < shares[-1][1] < shares[0][1] == 60
+
+
+def test_sets_of_equal_members_have_the_center_and_scatter_of_sql(spark):
+    duck = duckdb.connect()
+    rows = [(g, f"r{i}", i, 3.7 + g * 0.13, (3.7 + g * 0.13) ** 0.5 / 3.0) for g in range(200) for i in range(2)]
+    pairs = spark.createDataFrame(rows, "g int, ref_source_id string, rank int, ref_flux double, ref_flux_error double")
+    got = {r["g"]: (r["comparison_reference_flux"], r["comparison_scatter"]) for r in pm.ensemble(pairs, ["g"]).collect()}
+    for g, _, _, f, e in rows[::2]:
+        c = duck.execute("select (2*(f/(e*e)))/(2*(1/(e*e))) from (select ?::double f, ?::double e)", [f, e]).fetchall()[0][0]
+        s = duck.execute("select sqrt((2*((f-c)*(f-c)/(e*e)))/(2*(1/(e*e))))/c from (select ?::double f, ?::double e, ?::double c)", [f, e, c]).fetchall()[0][0]
+        assert got[g] == (c, s)
